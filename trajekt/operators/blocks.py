@@ -57,13 +57,14 @@ def with_halo(
     idx: str,
     before: int,
     after: int,
-    build: Callable[[WindowSpec], Mapping[str, Column]],
+    build: Callable[[WindowSpec], Mapping[str, Column] | Sequence[Mapping[str, Column]]],
     rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Columns over a frame reaching at most ``before``/``after`` positions of a dense index.
 
     Rows next to a block edge are copied into the neighbouring block, so each block is complete by
-    itself; copies are dropped again afterwards.
+    itself; copies are dropped again afterwards. ``build`` may return several steps, later ones over
+    columns of earlier ones; the reach must cover their sum.
     """
     rows = max(rows, before + after + 1)
     own = index_block(idx, rows)
@@ -72,7 +73,9 @@ def with_halo(
     )
     window = Window.partitionBy(*keys, "__blk").orderBy(idx)
     out = df.withColumn("__blk", F.explode(copies))
-    out = out.withColumns(dict(build(window)))
+    steps = build(window)
+    for step in [steps] if isinstance(steps, Mapping) else steps:
+        out = out.withColumns(dict(step))
     return out.where(F.col("__blk") == own).drop("__blk")
 
 

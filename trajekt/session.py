@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,13 +31,22 @@ def build_session(cores: str | int = "*", shuffle_partitions: int | None = None)
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names; make a private one only where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
     if configured:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(configured)
         return configured
-    if not context.master.startswith("local"):
+    if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder before running on a cluster")
     private = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    context.setCheckpointDir(private)
+    spark.conf.set("spark.checkpoint.dir", private)
     return private
+
+
+def materialise(df, label: str = "stage"):
+    """Cut lineage: write once as Parquet under the shared checkpoint folder and read it back.
+
+    Used where a result feeds several later passes; unlike ``checkpoint()`` it computes the input once
+    and later reads prune columns. Survives lost executors because nothing is kept on a worker.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/trajekt-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
