@@ -5,6 +5,8 @@ from importlib import import_module
 FAMILIES = (
     "geometry_queries",
     "temporal_queries",
+    "quality_queries",
+    "evaluation_queries",
 )
 
 
