@@ -168,3 +168,13 @@ def runs(df: DataFrame, keys: Sequence[str], idx: str, flag: Column, breaks: Col
     return filled.withColumns(
         {"run_start": F.when(on, F.col("run_start")), "run_end": F.when(on, F.col("run_end"))}
     ).drop("__on", "__id", "__open", "__close")
+
+
+def expand_range(df: DataFrame, keys: Sequence[str], start: Column, stop: Column, out: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per integer in [start, stop]. Ranges are cut into blocks that are spread over tasks
+    before they are expanded, so one long range is neither one array nor one task."""
+    cut = df.withColumns({"__a": start.cast("long"), "__z": stop.cast("long")}).where("__z >= __a")
+    cut = cut.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__z") - F.col("__a")) / rows).cast("long"))))
+    spread = cut.repartition(*keys, "__part")
+    low = F.col("__a") + F.col("__part") * rows
+    return spread.withColumn(out, F.explode(F.sequence(low, F.least(F.col("__z"), low + rows - 1)))).drop("__a", "__z", "__part")

@@ -7,6 +7,7 @@ FAMILIES = (
     "temporal_queries",
     "quality_queries",
     "evaluation_queries",
+    "alignment_queries",
 )
 
 
