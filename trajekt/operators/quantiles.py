@@ -84,3 +84,28 @@ def median_mad(df: DataFrame, keys: Sequence[str], value: Column, median: str =
     center = exact_quantiles(base, keys, F.col("__x"), {median: 0.5})
     spread = exact_quantiles(base.join(center, keys), keys, F.abs(F.col("__x") - F.col(median)), {mad: 0.5})
     return center.join(spread, keys)
+
+
+def weighted_median(df: DataFrame, keys: Sequence[str], value: Column, weight: Column, out: str = "weighted_median") -> DataFrame:
+    """Smallest value whose cumulative weight reaches half of the total; not interpolated."""
+    keys = list(keys)
+    counts = (
+        df.select(*keys, value.cast("double").alias("__v"), weight.cast("double").alias("__w"))
+        .where("__v IS NOT NULL AND __w > 0")
+        .withColumn("__b", value_bucket(F.col("__v")))
+        .groupBy(*keys, "__b", "__v").agg(F.sum("__w").alias("__m"))
+    )
+    by_bucket = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    histogram = (
+        counts.groupBy(*keys, "__b").agg(F.sum("__m").alias("__n"))
+        .withColumn("__before", F.coalesce(F.sum("__n").over(by_bucket), F.lit(0.0)))
+        .withColumn("__half", 0.5 * F.sum("__n").over(Window.partitionBy(*keys)))
+    )
+    # the first bucket that reaches half, or the last one if rounding keeps every sum just below it
+    reach = F.struct(F.when(F.col("__before") + F.col("__n") >= F.col("__half"), 0).otherwise(1), F.when(F.col("__before") + F.col("__n") >= F.col("__half"), F.col("__b")).otherwise(-F.col("__b")))
+    target = histogram.groupBy(*keys).agg(F.min_by(F.struct("__b", "__before", "__half"), reach).alias("__t")).select(*keys, "__t.*")
+    ordered = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = counts.join(target, [*keys, "__b"]).withColumn("__cum", F.col("__before") + F.sum("__m").over(ordered))
+    return inside.groupBy(*keys).agg(
+        F.coalesce(F.min(F.when(F.col("__cum") >= F.col("__half"), F.col("__v"))), F.max("__v")).alias(out)
+    )

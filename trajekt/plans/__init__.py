@@ -8,6 +8,7 @@ FAMILIES = (
     "quality_queries",
     "evaluation_queries",
     "alignment_queries",
+    "estimation_queries",
 )
 
 

@@ -263,3 +263,18 @@ def r6(text: str, digits: int = 6) -> str:
     """Oracle side of ``functions.numeric.fixed``."""
     scale = f"1e{digits}::DOUBLE"
     return f"(floor(({text}) * {scale} + 0.5) / {scale})"
+
+
+def projected_views(spark: SparkSession, sf: str) -> DataFrame:
+    """Views with the projection (qx, qy) and camera depth of the 3D point beside the observation."""
+    rig = pose2d(spark, sf).join(F.broadcast(cameras(spark).select("camera_id", "p")), "camera_id")
+    u, v, w = (
+        F.col("p")[4 * r] * F.col("x") + F.col("p")[4 * r + 1] * F.col("y") + F.col("p")[4 * r + 2] * F.col("z") + F.col("p")[4 * r + 3]
+        for r in range(3)
+    )
+    return rig.withColumns({"qx": u / w, "qy": v / w, "depth": w}).drop("p")
+
+
+SQL_PROJECTED = f"""{SQL_VIEWS}, {SQL_CAMERAS},
+pj AS (SELECT p2.*, (p[1] * x + p[2] * y + p[3] * z + p[4]) / (p[9] * x + p[10] * y + p[11] * z + p[12]) AS qx,
+ (p[5] * x + p[6] * y + p[7] * z + p[8]) / (p[9] * x + p[10] * y + p[11] * z + p[12]) AS qy, (p[9] * x + p[10] * y + p[11] * z + p[12]) AS depth FROM p2 JOIN cam USING (camera_id))"""
