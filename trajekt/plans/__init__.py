@@ -9,6 +9,7 @@ FAMILIES = (
     "evaluation_queries",
     "alignment_queries",
     "estimation_queries",
+    "rules_queries",
 )
 
 
