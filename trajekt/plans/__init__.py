@@ -10,6 +10,7 @@ FAMILIES = (
     "alignment_queries",
     "estimation_queries",
     "rules_queries",
+    "movement_queries",
 )
 
 
