@@ -73,13 +73,24 @@ def flat_angle(u: Point, v: Point, undirected: bool) -> Column:
 # ---------------------------------------------------------------- short arrays
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Bind an expression to a lambda variable, so it is evaluated once however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def with_points(f: Column, indices: Sequence, use: Callable[..., Column]) -> Column:
+    """``use`` over the named points of a frame, each looked up once."""
+    cells = [F.get(f["pts"], i if isinstance(i, Column) else F.lit(i)).alias(f"p{k}") for k, i in enumerate(indices)]
+    return let(F.struct(*cells), lambda s: use(*[tuple(s[f"p{k}"][a] for a in "xyz") for k in range(len(cells))]))
+
+
 def array_percentile(values: Column, p: float) -> Column:
-    ordered = F.array_sort(values)
-    n = F.size(ordered)
-    pos = (n - 1) * F.lit(p)
-    low = F.get(ordered, F.floor(pos).cast("int"))
-    high = F.get(ordered, F.ceil(pos).cast("int"))
-    return F.when(n > 0, low + (high - low) * (pos - F.floor(pos)))
+    def pick(ordered):
+        pos = (F.size(ordered) - 1) * F.lit(float(p))
+        low = F.get(ordered, F.floor(pos).cast("int"))
+        return F.when(F.size(ordered) > 0, low + (F.get(ordered, F.ceil(pos).cast("int")) - low) * (pos - F.floor(pos)))
+
+    return let(F.array_sort(values), pick)
 
 
 def known(values: Column) -> Column:
@@ -91,19 +102,30 @@ def window_values(window: str | Column, metric: Callable[[Column], Column]) -> C
 
 
 def estimate(values: Column, minimum: int, p: float = 0.5) -> Column:
-    return F.when(F.size(values) >= minimum, array_percentile(values, p))
+    return let(values, lambda v: F.when(F.size(v) >= minimum, array_percentile(v, p)))
 
 
 def uncertainty_95(values: Column, minimum: int) -> Column:
-    mid = array_percentile(values, 0.5)
-    return F.when(F.size(values) >= minimum, 1.96 * 1.4826 * array_percentile(F.transform(values, lambda v: F.abs(v - mid)), 0.5))
+    def spread(v):
+        return let(
+            array_percentile(v, 0.5),
+            lambda mid: F.when(F.size(v) >= minimum, 1.96 * 1.4826 * array_percentile(F.transform(v, lambda x: F.abs(x - mid)), 0.5)),
+        )
 
+    return let(values, spread)
 
-def window_point(window: str, index, minimum: int) -> Point:
-    """Coordinate-wise median of a joint over the window."""
+
+def window_point(window: str, index, minimum: int) -> Column:
+    """Coordinate-wise median of a joint over the window as struct<x, y, z>, NULL with too few samples."""
     i = index if isinstance(index, Column) else F.lit(index)
     seen = known(F.transform(window, lambda f: F.get(f["pts"], i)))
-    return tuple(F.when(F.size(seen) >= minimum, array_percentile(F.transform(seen, lambda p: p[a]), 0.5)) for a in "xyz")
+    mid = lambda v: F.struct(*[array_percentile(F.transform(v, lambda p: p[a]), 0.5).alias(a) for a in "xyz"])
+    return let(seen, lambda v: F.when(F.size(v) >= minimum, mid(v)))
+
+
+def window_points(window_and_index: Sequence[tuple[str, object]], minimum: int, use: Callable[..., Column]) -> Column:
+    cells = [window_point(w, i, minimum).alias(f"p{k}") for k, (w, i) in enumerate(window_and_index)]
+    return let(F.struct(*cells), lambda s: use(*[tuple(s[f"p{k}"][a] for a in "xyz") for k in range(len(cells))]))
 
 
 # ---------------------------------------------------------------- windows
@@ -129,8 +151,8 @@ def completed(window: str, radius: int, minimum: int) -> Column:
     def fill(f):
         def one(p, j):
             near = known(F.transform(F.filter(window, lambda g: F.abs(g["i"] - f["i"]) <= radius), lambda g: F.get(g["pts"], j)))
-            mid = F.struct(*[array_percentile(F.transform(near, lambda q: q[a]), 0.5).alias(a) for a in "xyz"])
-            return F.coalesce(p, F.when(F.size(near) >= minimum, mid))
+            mid = lambda v: F.struct(*[array_percentile(F.transform(v, lambda q: q[a]), 0.5).alias(a) for a in "xyz"])
+            return F.coalesce(p, let(near, lambda v: F.when(F.size(v) >= minimum, mid(v))))
 
         return F.struct(f["i"].alias("i"), F.transform(f["pts"], one).alias("pts"))
 
@@ -140,145 +162,191 @@ def completed(window: str, radius: int, minimum: int) -> Column:
 # ---------------------------------------------------------------- frame metrics (f = struct<i, pts>)
 
 
-def _mid(f, part):
-    return G.mid(at(f, J[f"left_{part}"]), at(f, J[f"right_{part}"]))
+TORSO = [J[n] for n in ("left_shoulder", "right_shoulder", "left_hip", "right_hip")]
+EYES = [*LEFT_EYE, *RIGHT_EYE]
 
 
 def torso_lean(f) -> Column:
-    v = G.sub(_mid(f, "shoulder"), _mid(f, "hip"))
-    size = G.norm(v)
-    return F.when(size > 1e-9, F.degrees(F.acos(clip(v[2] / size, -1.0, 1.0))))
+    def tilt(ls, rs, lh, rh):
+        v = G.sub(G.mid(ls, rs), G.mid(lh, rh))
+        size = G.norm(v)
+        return F.when(size > 1e-9, F.degrees(F.acos(clip(v[2] / size, -1.0, 1.0))))
+
+    return with_points(f, TORSO, tilt)
 
 
 def twist(f) -> Column:
-    line = lambda part: G.sub(at(f, J[f"right_{part}"]), at(f, J[f"left_{part}"]))
-    return flat_angle(line("shoulder"), line("hip"), True)
+    return with_points(f, TORSO, lambda ls, rs, lh, rh: flat_angle(G.sub(rs, ls), G.sub(rh, lh), True))
 
 
-def eye_line(f) -> Point:
-    return G.sub(mean_point([at(f, i) for i in RIGHT_EYE]), mean_point([at(f, i) for i in LEFT_EYE]))
+def eye_line(f) -> Column:
+    """Vector between the eye centres as a struct; NULL unless all contour points are known."""
+
+    def line(*points):
+        v = G.sub(mean_point(points[6:]), mean_point(points[:6]))
+        return F.when(G.present(v), F.struct(*[c.alias(a) for c, a in zip(v, "xyz")]))
+
+    return with_points(f, EYES, line)
 
 
 def head_mismatch(f, scale: Column, gate: tuple[float, float]) -> Column:
-    eyes = eye_line(f)
-    shoulders = G.sub(at(f, J["right_shoulder"]), at(f, J["left_shoulder"]))
-    return F.when((scale > 0) & (G.norm(eyes) / scale).between(*gate), flat_angle(eyes, shoulders, True))
+    def angle(eyes):
+        v = tuple(eyes[a] for a in "xyz")
+        ok = (scale > 0) & (G.norm(v) / scale).between(*gate)
+        return F.when(ok, with_points(f, TORSO[:2], lambda ls, rs: flat_angle(v, G.sub(rs, ls), True)))
+
+    return let(eye_line(f), angle)
 
 
 def hikite(f, side: Column, scale: Column) -> Column:
-    return F.when(scale > 0, G.distance(at(f, finger(side, "wrist")), at(f, body(side, "hip"))) / scale)
+    return with_points(f, [finger(side, "wrist"), body(side, "hip")], lambda w, h: F.when(scale > 0, G.distance(w, h) / scale))
 
 
-def palm_ok(f_wrist: Point, middle: Point, scale: Column, gate) -> Column:
-    return (scale > 0) & (G.distance(f_wrist, middle) / scale).between(*gate)
+def palm_ok(wrist: Point, middle: Point, scale: Column, gate) -> Column:
+    return (scale > 0) & (G.distance(wrist, middle) / scale).between(*gate)
 
 
 def wrist_alignment(f, side: Column, scale: Column, gate) -> Column:
-    wrist, middle = at(f, body(side, "wrist")), at(f, finger(side, "middle_mcp"))
-    bend = G.joint_angle(at(f, body(side, "elbow")), wrist, middle, 1e-9)
-    return F.when(palm_ok(wrist, middle, scale, gate), F.abs(180.0 - bend))
+    def bend(elbow, wrist, middle):
+        return F.when(palm_ok(wrist, middle, scale, gate), F.abs(180.0 - G.joint_angle(elbow, wrist, middle, 1e-9)))
+
+    return with_points(f, [body(side, "elbow"), body(side, "wrist"), finger(side, "middle_mcp")], bend)
 
 
 def fist_closure(f, side: Column, scale: Column, gate) -> Column:
-    wrist, middle = at(f, finger(side, "wrist")), at(f, finger(side, "middle_mcp"))
-    size = G.distance(wrist, middle)
-    center = mean_point([at(f, finger(side, n)) for n in PALM])
-    far = [G.distance(at(f, finger(side, n)), center) for n in HAND if n not in PALM]
-    return F.when(palm_ok(wrist, middle, scale, gate) & (size > 1e-9), sum(far[1:], far[0]) / float(len(far)) / size)
+    far = [n for n in HAND if n not in PALM]
+
+    def closure(*points):
+        palm, tips = points[: len(PALM)], points[len(PALM):]
+        wrist, middle = palm[PALM.index("wrist")], palm[PALM.index("middle_mcp")]
+        size = G.distance(wrist, middle)
+        center = F.struct(*[c.alias(a) for c, a in zip(mean_point(palm), "xyz")])
+        spread = let(center, lambda c: sum((G.distance(t, (c["x"], c["y"], c["z"])) for t in tips[1:]), G.distance(tips[0], (c["x"], c["y"], c["z"]))))
+        return F.when(palm_ok(wrist, middle, scale, gate) & (size > 1e-9), spread / float(len(tips)) / size)
+
+    return with_points(f, [finger(side, n) for n in (*PALM, *far)], closure)
 
 
 def stance_span(f, scale: Column) -> Column:
-    gap = G.sub(at(f, J["left_ankle"]), at(f, J["right_ankle"]))
-    return F.when(scale > 0, G.norm(gap[:2]) / scale)
+    return with_points(f, [J["left_ankle"], J["right_ankle"]], lambda a, b: F.when(scale > 0, G.norm(G.sub(a, b)[:2]) / scale))
 
 
 def wrist_height(f, side: Column) -> Column:
     """Height over the hips relative to the torso's length (not its height)."""
-    hips = _mid(f, "hip")
-    size = G.distance(_mid(f, "shoulder"), hips)
-    return F.when(size > 1e-6, (at(f, finger(side, "wrist"))[2] - hips[2]) / size)
+
+    def ratio(w, ls, rs, lh, rh):
+        hips = G.mid(lh, rh)
+        size = G.distance(G.mid(ls, rs), hips)
+        return F.when(size > 1e-6, (w[2] - hips[2]) / size)
+
+    return with_points(f, [finger(side, "wrist"), *TORSO], ratio)
 
 
 def wrist_height_single(f, side: Column) -> Column:
-    hips = _mid(f, "hip")
-    height = _mid(f, "shoulder")[2] - hips[2]
-    return F.when(height > 1e-6, (at(f, finger(side, "wrist"))[2] - hips[2]) / height)
+    def ratio(w, ls, rs, lh, rh):
+        hips = G.mid(lh, rh)
+        height = G.mid(ls, rs)[2] - hips[2]
+        return F.when(height > 1e-6, (w[2] - hips[2]) / height)
+
+    return with_points(f, [finger(side, "wrist"), *TORSO], ratio)
 
 
 def front_knee(f, side: Column) -> Column:
-    return G.joint_angle(at(f, body(side, "hip")), at(f, body(side, "knee")), at(f, body(side, "ankle")), 1e-9)
+    return with_points(f, [body(side, n) for n in ("hip", "knee", "ankle")], lambda a, c, b: G.joint_angle(a, c, b, 1e-9))
 
 
 def executing_elbow(f, side: Column) -> Column:
-    return G.joint_angle(at(f, body(side, "shoulder")), at(f, body(side, "elbow")), at(f, body(side, "wrist")), 1e-9)
+    return with_points(f, [body(side, n) for n in ("shoulder", "elbow", "wrist")], lambda a, c, b: G.joint_angle(a, c, b, 1e-9))
+
 
+def foot_heading(f, side: Column, scale: Column, gate) -> Column:
+    """Heel-to-toes vector as a struct; NULL when the foot's length is implausible."""
 
-def foot_heading(f, side: Column, scale: Column, gate) -> tuple[Point, Column]:
-    big, small, heel = (at(f, by_side(side, FOOT["left"][k], FOOT["right"][k])) for k in range(3))
-    v = G.sub(G.mid(big, small), heel)
-    return v, (scale > 0) & (G.norm(v) / scale).between(*gate)
+    def heading(big, small, heel):
+        v = G.sub(G.mid(big, small), heel)
+        return F.when((scale > 0) & (G.norm(v) / scale).between(*gate), F.struct(*[c.alias(a) for c, a in zip(v, "xyz")]))
+
+    return with_points(f, [by_side(side, FOOT["left"][k], FOOT["right"][k]) for k in range(3)], heading)
 
 
 def back_foot_yaw(f, front: Column, scale: Column, gate) -> Column:
     back = other_side(front)
-    heading, ok = foot_heading(f, back, scale, gate)
-    line = G.sub(at(f, body(front, "ankle")), at(f, body(back, "ankle")))
-    return F.when(ok & (G.norm(line[:2]) / scale >= 0.10), flat_angle(heading, line, False))
+
+    def yaw(h):
+        def against(a, b):
+            line = G.sub(a, b)
+            return F.when(h.isNotNull() & (G.norm(line[:2]) / scale >= 0.10), flat_angle((h["x"], h["y"], h["z"]), line, False))
+
+        return with_points(f, [body(front, "ankle"), body(back, "ankle")], against)
+
+    return let(foot_heading(f, back, scale, gate), yaw)
 
 
 def fist_to_thigh(f, side: Column, scale: Column, gate) -> Column:
-    points = [at(f, finger(side, n)) for n in KNUCKLES]
-    width = G.distance(points[0], points[3])
-    hip, knee = at(f, body(side, "hip")), at(f, body(side, "knee"))
-    thigh, center = G.sub(knee, hip), mean_point(points)
-    den = G.dot(thigh, thigh)
-    k = F.least(F.greatest(G.dot(G.sub(center, hip), thigh) / F.when(den > 1e-9, den), F.lit(0.0)), F.lit(1.0))
-    near = G.add(hip, G.scale(thigh, k))
-    return F.when((scale > 0) & (width / scale).between(*gate) & (den > 1e-9), G.distance(center, near) / width)
+    def ratio(i, m, r, p, hip, knee):
+        width, thigh, center = G.distance(i, p), G.sub(knee, hip), mean_point([i, m, r, p])
+        den = G.dot(thigh, thigh)
+        k = F.least(F.greatest(G.dot(G.sub(center, hip), thigh) / F.when(den > 1e-9, den), F.lit(0.0)), F.lit(1.0))
+        away = let(k, lambda t: G.distance(center, G.add(hip, G.scale(thigh, t))))
+        return F.when((scale > 0) & (width / scale).between(*gate) & (den > 1e-9), away / width)
+
+    return with_points(f, [*[finger(side, n) for n in KNUCKLES], body(side, "hip"), body(side, "knee")], ratio)
 
 
 def fist_to_forehead(f, side: Column, scale: Column, hand_gate, eye_gate) -> Column:
-    points = [at(f, finger(side, n)) for n in KNUCKLES]
-    width = G.distance(points[0], points[3])
-    brows = known(F.array(*[F.get(f["pts"], F.lit(i)) for i in BROWS]))
-    n = F.size(brows)
-    forehead = tuple(F.aggregate(brows, F.lit(0.0), lambda s, p: s + p[a]) / F.when(n > 0, n) for a in "xyz")
-    ok = (scale > 0) & (width > 1e-9) & (width / scale).between(*hand_gate) & (G.norm(eye_line(f)) / scale).between(*eye_gate) & (n >= 4)
-    return F.when(ok, G.distance(mean_point(points), forehead) / width)
+    brows = known(F.slice(f["pts"], BROWS[0] + 1, len(BROWS)))
+
+    def ratio(i, m, r, p):
+        width = G.distance(i, p)
+
+        def away(b):
+            forehead = tuple(F.aggregate(b, F.lit(0.0), lambda s, q: s + q[a]) / F.when(F.size(b) > 0, F.size(b)) for a in "xyz")
+            return F.when(F.size(b) >= 4, G.distance(mean_point([i, m, r, p]), forehead) / width)
+
+        eyes_ok = let(eye_line(f), lambda e: (G.norm((e["x"], e["y"], e["z"])) / scale).between(*eye_gate))
+        return F.when((scale > 0) & (width > 1e-9) & (width / scale).between(*hand_gate) & eyes_ok, let(brows, away))
+
+    return with_points(f, [finger(side, n) for n in KNUCKLES], ratio)
 
 
 def ankle_height(f, side: Column, scale: Column) -> Column:
-    return F.when(scale > 0, (at(f, body(side, "ankle"))[2] - _mid(f, "hip")[2]) / scale)
+    return with_points(f, [body(side, "ankle"), *TORSO[2:]], lambda a, lh, rh: F.when(scale > 0, (a[2] - G.mid(lh, rh)[2]) / scale))
 
 
 # ---------------------------------------------------------------- two-window metrics
 
 
 def side_dominance(prep: str, execution: str, side: Column, minimum: int) -> Column:
-    def travel(s):
-        return G.distance(window_point(prep, body(s, "wrist"), minimum), window_point(execution, body(s, "wrist"), minimum))
+    def ratio(a0, a1, b0, b1):
+        other = G.distance(b0, b1)
+        return F.when(other.isNotNull(), G.distance(a0, a1) / F.greatest(other, F.lit(1e-6)))
 
-    return travel(side) / F.greatest(travel(other_side(side)), F.lit(1e-6))
+    mine, theirs = body(side, "wrist"), body(other_side(side), "wrist")
+    return window_points([(prep, mine), (execution, mine), (prep, theirs), (execution, theirs)], minimum, ratio)
 
 
 def weight_transfer(prep: str, fixation: str, front: Column, scale: Column, minimum: int) -> Column:
     """Pelvis displacement along the rear-to-front axis; moving backwards stays negative."""
-    axis = G.sub(window_point(fixation, body(front, "ankle"), minimum), window_point(fixation, body(other_side(front), "ankle"), minimum))[:2]
-    hips = lambda w: G.mid(window_point(w, J["left_hip"], minimum), window_point(w, J["right_hip"], minimum))[:2]
-    size = G.norm(axis)
-    move = G.sub(hips(fixation), hips(prep))
-    return F.when((scale > 0) & (size > 1e-9), G.dot(move, axis) / size / scale)
 
+    def ratio(fa, ra, pl, pr, fl, fr):
+        axis = G.sub(fa, ra)[:2]
+        size = G.norm(axis)
+        move = G.sub(G.mid(fl, fr)[:2], G.mid(pl, pr)[:2])
+        return F.when((scale > 0) & (size > 1e-9), G.dot(move, axis) / size / scale)
 
-def support_pivot(prep: str, apex: str, side: Column, scale: Column, gate, minimum: int) -> Column:
-    """Median heading change over all frame pairs of two short windows ((2r+1)^2 at most)."""
+    lh, rh = J["left_hip"], J["right_hip"]
+    wanted = [(fixation, body(front, "ankle")), (fixation, body(other_side(front), "ankle")), (prep, lh), (prep, rh), (fixation, lh), (fixation, rh)]
+    return window_points(wanted, minimum, ratio)
 
-    def heading(f):
-        v, ok = foot_heading(f, side, scale, gate)
-        return F.when(ok & v[0].isNotNull(), F.struct(v[0].alias("x"), v[1].alias("y")))
 
-    a, b = window_values(prep, heading), window_values(apex, heading)
-    pairs = F.flatten(F.transform(a, lambda p: known(F.transform(b, lambda q: G.vector_angle((p["x"], p["y"]), (q["x"], q["y"]), 1e-9)))))
+def support_pivot(prep: str, apex: str, side: Column, scale: Column, gate, minimum: int) -> Column:
+    """Median heading change over all frame pairs of two short windows ((2r+1)^2 at most)."""
+    heading = lambda f: foot_heading(f, side, scale, gate)
+    angle = lambda p, q: G.vector_angle((p["x"], p["y"]), (q["x"], q["y"]), 1e-9)
+    pairs = let(
+        window_values(apex, heading),
+        lambda b: F.flatten(F.transform(window_values(prep, heading), lambda p: known(F.transform(b, lambda q: angle(p, q))))),
+    )
     return estimate(pairs, minimum)
 
 
@@ -287,7 +355,8 @@ def support_pivot(prep: str, apex: str, side: Column, scale: Column, gate, minim
 
 def segment_frames(frames: DataFrame, movements: DataFrame, session: str, frame: str, start: str, end: str, keep: Sequence[str] = ()) -> DataFrame:
     """Frames of every movement's [start, end], as an equi-join on expanded positions."""
-    span = expand_range(movements.select(session, "movement", *keep, start, end), [session, "movement"], F.col(start), F.col(end), frame)
+    wanted = list(dict.fromkeys([session, "movement", *keep, start, end]))
+    span = expand_range(movements.select(*wanted), [session, "movement"], F.col(start), F.col(end), frame)
     return span.join(frames, [session, frame])
 
 
@@ -317,7 +386,6 @@ def trajectory_metrics(frames: DataFrame, movements: DataFrame, session: str, fr
     )
     keep = ["execution", "fixation", "side", "stance_side", "scale"]
     rows = segment_frames(stepped, movements, session, frame, "preparation", "end_frame", keep)
-    rows = rows.join(movements.select(session, "movement", "preparation", "end_frame"), [session, "movement"])
     mine = ((F.col("part") == "wrist") & (F.col("limb_side") == F.col("side"))) | ((F.col("part") == "ankle") & (F.col("limb_side") == F.col("stance_side")))
     rows = rows.where(mine)
     i = F.col(frame)

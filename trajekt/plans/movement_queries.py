@@ -132,8 +132,9 @@ def h1(spark, sf):
     entries = []
     for j in (9, 10, 11, 12):
         p = H.window_point("w_preparation", j, MIN)
-        entries.append(F.struct(F.lit(j).alias("joint_idx"), *[fixed(c).alias(a) for a, c in zip("xyz", p)]))
-    return rows.select(*KEY, F.inline(F.array(*entries)))
+        entries.append(F.struct(F.lit(j).alias("joint_idx"), p.alias("p")))
+    out = rows.select(*KEY, F.inline(F.array(*entries)))
+    return out.select(*KEY, "joint_idx", *[fixed(f"p.{a}").alias(a) for a in "xyz"])
 
 
 def _est(text: str) -> str:
@@ -211,8 +212,7 @@ SELECT session_id, movement, {r6(_side('side', lambda s: f"{_travel(s)} / CASE W
 )
 def h8(spark, sf):
     rows = windows(spark, sf)
-    far = lambda s: G.distance(H.window_point("w_preparation", H.body(s, "wrist"), MIN), H.window_point("w_execution", H.body(s, "wrist"), MIN))
-    value = F.when(far(H.other_side(F.col("side"))).isNotNull(), H.side_dominance("w_preparation", "w_execution", F.col("side"), MIN))
+    value = H.side_dominance("w_preparation", "w_execution", F.col("side"), MIN)
     return rows.select(*KEY, fixed(value, 5).alias("expected_side_dominance_ratio"))
 
 
@@ -502,8 +502,8 @@ def h25(spark, sf):
 
 @query(
     "h26_movement_evidence",
-    f"""WITH {T.SQL_LONG}, mv AS (SELECT session_id, m AS movement, m * 8 AS a, m * 8 + 7 AS z, m * 8 + 5 AS fx FROM (SELECT session_id, count(*) AS n FROM f0 GROUP BY ALL), unnest(range(0, n // 8)) u(m)),
-l AS (SELECT mv.*, p3.* EXCLUDE (session_id) FROM mv JOIN p3 ON p3.session_id = mv.session_id AND sample_idx BETWEEN a AND z),
+    f"""WITH {T.SQL_LONG}, mv AS (SELECT session_id, m AS movement, m * 8 AS lo, m * 8 + 7 AS hi, m * 8 + 5 AS fx FROM (SELECT session_id, count(*) AS n FROM f0 GROUP BY ALL), unnest(range(0, n // 8)) u(m)),
+l AS (SELECT mv.*, sample_idx, x, used_cameras, reproj_px FROM mv JOIN p3 ON p3.session_id = mv.session_id AND sample_idx BETWEEN lo AND hi),
 s AS (SELECT session_id, movement, avg(CASE WHEN x IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS r, median(used_cameras) AS c, median(reproj_px) AS e, avg(CASE WHEN x IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (WHERE sample_idx = fx) AS ar, median(used_cameras) FILTER (WHERE sample_idx = fx) AS ac FROM l GROUP BY ALL)
 SELECT session_id, movement, {r6('r')} AS valid_ratio, {r6('c')} AS median_cameras, {r6('e')} AS median_error_px, CASE WHEN r >= 0.9 AND c >= 2 THEN 'observed' WHEN r >= 0.7 THEN 'partial' ELSE 'not_measurable' END AS segment_status,
  CASE WHEN ar >= 0.9 AND ac >= 2 THEN 'observed' WHEN ar >= 0.7 THEN 'partial' ELSE 'not_measurable' END AS anchor_status FROM s""",
