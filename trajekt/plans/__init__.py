@@ -11,6 +11,7 @@ FAMILIES = (
     "estimation_queries",
     "rules_queries",
     "movement_queries",
+    "source_queries",
 )
 
 

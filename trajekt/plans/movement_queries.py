@@ -408,14 +408,14 @@ FROM w JOIN scl USING (session_id, movement) JOIN mv USING (session_id, movement
 )
 def h21b(spark, sf):
     side, scale = F.col("side"), F.col("scale")
-    rows = windows(spark, sf).withColumn("f", F.element_at(F.filter("w_fixation", lambda f: f["i"] == F.col("fixation")), 1))
-    f = F.col("f")
+    rows = windows(spark, sf).withColumn("w_one", F.filter("w_fixation", lambda f: f["i"] == F.col("fixation")))
     metrics = {
-        "torso_lean_deg": H.torso_lean(f), "shoulder_hip_twist_deg": H.twist(f), "head_torso_yaw_mismatch_deg": H.head_mismatch(f, scale, EYE),
-        "reaction_hand_hip_distance_ratio": H.hikite(f, H.other_side(side), scale), "wrist_forearm_alignment_deg": H.wrist_alignment(f, side, scale, PALM),
-        "fist_closure_ratio": H.fist_closure(f, side, scale, PALM), "stance_span_ratio": H.stance_span(f, scale), "wrist_height_ratio": H.wrist_height_single(f, side),
+        "torso_lean_deg": H.torso_lean, "shoulder_hip_twist_deg": H.twist, "head_torso_yaw_mismatch_deg": lambda f: H.head_mismatch(f, scale, EYE),
+        "reaction_hand_hip_distance_ratio": lambda f: H.hikite(f, H.other_side(side), scale), "wrist_forearm_alignment_deg": lambda f: H.wrist_alignment(f, side, scale, PALM),
+        "fist_closure_ratio": lambda f: H.fist_closure(f, side, scale, PALM), "stance_span_ratio": lambda f: H.stance_span(f, scale), "wrist_height_ratio": lambda f: H.wrist_height_single(f, side),
     }
-    return rows.select(*KEY, *[fixed(c, 5).alias(n) for n, c in metrics.items()])
+    single = {n: F.get(F.transform("w_one", m), F.lit(0)) for n, m in metrics.items()}
+    return rows.select(*KEY, *[fixed(c, 5).alias(n) for n, c in single.items()])
 
 
 @query(
