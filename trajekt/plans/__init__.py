@@ -12,6 +12,7 @@ FAMILIES = (
     "rules_queries",
     "movement_queries",
     "source_queries",
+    "streaming_queries",
 )
 
 
