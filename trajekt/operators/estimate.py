@@ -230,13 +230,14 @@ def ray_angle(rays: Column) -> Column:
     return F.degrees(F.array_max(F.transform(rays, lambda a: F.array_max(F.transform(rays, lambda b: pair(a, b))))))
 
 
-def feedback_targets(packed: DataFrame, consensus: DataFrame, keys: Sequence[str], cameras: DataFrame, trigger: float) -> DataFrame:
+def feedback_targets(packed: DataFrame, consensus: DataFrame, keys: Sequence[str], rigs: DataFrame, session: str, trigger: float) -> DataFrame:
     """(point, excluded camera) pairs worth checking: unusable there, no consensus, or far from it.
 
     Filtering comes first; only these pairs pay for a leave-one-out solve.
     """
     rows = packed.join(consensus.select(*keys, "x", "y", "z"), list(keys), "left")
-    rows = rows.join(F.broadcast(cameras.select(F.col("camera_id").alias("excluded"), "p")))  # the rig's own few rows
+    rows = rows.join(rigs, session).withColumn("cam", F.explode("cams")).drop("cams")
+    rows = rows.withColumns({"excluded": F.col("cam.camera_id"), "p": F.col("cam.p")}).drop("cam")
     own = F.filter("views", lambda v: v["camera_id"] == F.col("excluded"))
     u, v, _ = G.project((F.col("x"), F.col("y"), F.col("z")), G.array_matrix("p", 12))
     rows = rows.withColumns({"own": F.get(own, F.lit(0)), "views": F.filter("views", lambda w: w["camera_id"] != F.col("excluded"))})

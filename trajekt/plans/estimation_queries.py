@@ -93,7 +93,7 @@ def feedback_plan(spark, sf):
     """Targets with a prior from the other cameras, projected into the camera under test."""
     packed = D.pack_views(T.pose2d(spark, sf), POINT, 0.30)
     consensus = T.pose3d(spark, sf).where("x IS NOT NULL")
-    targets = D.feedback_targets(packed, consensus, POINT, T.cameras(spark), 24.0)
+    targets = D.feedback_targets(packed, consensus, POINT, rigs(spark, sf), "session_id", 24.0)
     prior = D.triangulate(targets, rigs(spark, sf), "session_id", [*POINT, "excluded", "own", "p"], 2, 25.0)
     u, v, _ = G.project((F.col("x"), F.col("y"), F.col("z")), G.array_matrix("p", 12))
     out = prior.withColumns({"prior_x": u, "prior_y": v})
