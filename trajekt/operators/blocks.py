@@ -96,24 +96,25 @@ def carry(
         *[F.max_by(f"__l_{k}", F.when(F.col(f"__l_{k}").isNotNull(), position)).alias(f"__in_l_{k}") for k in last],
         *[F.min_by(f"__f_{k}", F.when(F.col(f"__f_{k}").isNotNull(), position)).alias(f"__in_f_{k}") for k in first],
     )
-    over_blocks = Window.partitionBy(*keys).orderBy("__blk")
-    earlier = over_blocks.rowsBetween(Window.unboundedPreceding, -1)
-    later = over_blocks.rowsBetween(1, Window.unboundedFollowing)
+    # "first after" is "last before" in descending order: growing frames are linear, shrinking ones quadratic
+    earlier = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(F.col("__blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.select(
         *keys,
         "__blk",
         *[F.last(f"__in_l_{k}", ignorenulls=True).over(earlier).alias(f"__in_l_{k}") for k in last],
-        *[F.first(f"__in_f_{k}", ignorenulls=True).over(later).alias(f"__in_f_{k}") for k in first],
+        *[F.last(f"__in_f_{k}", ignorenulls=True).over(later).alias(f"__in_f_{k}") for k in first],
     )
     local = Window.partitionBy(*keys, "__blk").orderBy(*order)
     up_to = local.rowsBetween(Window.unboundedPreceding, 0)
-    from_here = local.rowsBetween(0, Window.unboundedFollowing)
+    backwards = Window.partitionBy(*keys, "__blk").orderBy(*[F.col(c).desc() for c in order])
+    from_here = backwards.rowsBetween(Window.unboundedPreceding, 0)
     joined = tagged.join(summary, [*keys, "__blk"])
     # rows before a block's first value take what earlier blocks handed over
     out = joined.withColumns(
         {
             **{k: F.coalesce(F.last(f"__l_{k}", ignorenulls=True).over(up_to), F.col(f"__in_l_{k}")) for k in last},
-            **{k: F.coalesce(F.first(f"__f_{k}", ignorenulls=True).over(from_here), F.col(f"__in_f_{k}")) for k in first},
+            **{k: F.coalesce(F.last(f"__f_{k}", ignorenulls=True).over(from_here), F.col(f"__in_f_{k}")) for k in first},
         }
     )
     return out.drop("__blk", *values, *[f"__in_l_{k}" for k in last], *[f"__in_f_{k}" for k in first])

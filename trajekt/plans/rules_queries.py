@@ -273,9 +273,10 @@ def numeric_decisions(spark, sf):
         )
         for o, i, u, s, t, p, lo, hi, f, g in RULES
     ])
-    rows = lines.join(parts, "l_partkey").withColumn(
-        "r", F.explode(F.filter(rules, lambda r: R.rule_applies(r["stances"], r["technique_ids"], F.col("stance"), F.col("tech"))))
-    )
+    # applicability depends on the movement only, so it is settled before the metrics multiply the rows
+    applicable = F.filter(rules, lambda r: R.rule_applies(r["stances"], r["technique_ids"], F.col("stance"), F.col("tech")))
+    chosen = parts.select("l_partkey", applicable.alias("rules")).where(F.size("rules") > 0)
+    rows = lines.join(chosen, "l_partkey").withColumn("r", F.explode("rules"))
     value = F.when(~((F.col("l_returnflag") == "N") & (F.col("l_suppkey") % 5 == 0)), F.col("l_quantity"))
     rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", value.alias("v"), (F.col("l_tax") * 50).alias("u"), "r.*")
     status = R.interval_status(F.col("op"), F.col("lo"), F.col("hi"), F.col("guard"), F.col("v"), F.col("u"), F.col("flr"))
