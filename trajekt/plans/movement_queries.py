@@ -28,7 +28,8 @@ def whole_frames(spark, sf):
         f"transform(sequence(0, {ALL - 1}), j -> CASE WHEN {T._hidden('vec_id', 'j')} THEN NULL ELSE named_struct("
         "'x', CAST(e[(3 * j + int(j / 17)) % 64] AS DOUBLE), 'y', CAST(e[(3 * j + 1 + int(j / 17)) % 64] AS DOUBLE), 'z', CAST(e[(3 * j + 2 + int(j / 17)) % 64] AS DOUBLE)) END)"
     )
-    return f.withColumn("pts", F.expr(pts)).select("session_id", "vec_id", "sample_idx", "pts")
+    # the scale is computed once here, where the stored frames keep it for every later use
+    return f.withColumn("pts", F.expr(pts)).select("session_id", "vec_id", "sample_idx", "pts", G.body_scale("pts").alias("body_scale"))
 
 
 def movements(spark, sf):
@@ -48,7 +49,7 @@ def movements(spark, sf):
 def scaled(spark, sf, frames):
     moves = movements(spark, sf)
     labelled = H.segment_frames(frames, moves, "session_id", "sample_idx", "start_frame", "end_frame")
-    return moves.join(H.segment_scale(labelled, "session_id", G.body_scale("pts")), KEY, "left"), labelled
+    return moves.join(H.segment_scale(labelled, "session_id", F.col("body_scale")), KEY, "left"), labelled
 
 
 def windows(spark, sf):
@@ -402,7 +403,7 @@ def _h1f(s):
 
 @query(
     "h21b_single_frame_metrics",
-    f"""WITH {SQL_SCALE}, {_wide([*_BODY, *_FACE, *_HANDS], 'lp', 'w')} SELECT session_id, movement, {r6(_LEAN, 5)} AS torso_lean_deg, {r6(_flat(_SH, _HP, True), 5)} AS shoulder_hip_twist_deg, {r6(_HEAD, 5)} AS head_torso_yaw_mismatch_deg,
+    f"""WITH {SQL_SCALE}, fx AS (SELECT lp.* FROM lp JOIN mv USING (session_id, movement) WHERE sample_idx = fixation), {_wide([*_BODY, *_FACE, *_HANDS], 'fx', 'w')} SELECT session_id, movement, {r6(_LEAN, 5)} AS torso_lean_deg, {r6(_flat(_SH, _HP, True), 5)} AS shoulder_hip_twist_deg, {r6(_HEAD, 5)} AS head_torso_yaw_mismatch_deg,
  {r6(_side('side', _hik), 5)} AS reaction_hand_hip_distance_ratio, {r6(_side('side', _align), 5)} AS wrist_forearm_alignment_deg, {r6(_side('side', _closure), 5)} AS fist_closure_ratio, {r6(_SPAN, 5)} AS stance_span_ratio, {r6(_side('side', _h1f), 5)} AS wrist_height_ratio
 FROM w JOIN scl USING (session_id, movement) JOIN mv USING (session_id, movement) WHERE sample_idx = fixation""",
 )
