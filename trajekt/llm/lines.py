@@ -62,7 +62,8 @@ class LineRuns:
         return reduce(DataFrame.unionByName, runs).groupBy(*HASH).agg(F.sum("n").alias("n"))
 
     def frequent(self) -> DataFrame:
-        return self._summed(self.runs()).where(F.col("n") >= self.min_docs).select(*HASH)
+        """A table of its own, so that a join with it deals out both sides and Spark can split a line that a third of all documents hold."""
+        return materialise(self._summed(self.runs()).where(F.col("n") >= self.min_docs).select(*HASH), "frequent")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
