@@ -1,11 +1,13 @@
 """Registry of this subpackage: query name to function, and oracle SQL where SQL can express the query."""
 
-from trajekt.llm import lines, mixing, secrets, winnow
+from trajekt.llm import lines, mixing, secrets, substrings, topk, winnow
 
 QUERIES = {
     "op3_line_dedup": lines.op3_line_dedup,
+    "op4_exact_top_k": topk.op4_exact_top_k,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_document_fingerprints": winnow.op6_document_fingerprints,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES = {"op3_line_dedup": lines.OP3_SQL, "op10_mixing": mixing.OP10_SQL}
+ORACLES = {"op3_line_dedup": lines.OP3_SQL, "op4_exact_top_k": topk.OP4_SQL, "op5_substring_dedup": substrings.OP5_SQL, "op10_mixing": mixing.OP10_SQL}

@@ -105,6 +105,7 @@ class BlobLedger:
             self.parts.append(materialise(new, "ledger"))
         current = F.filter(F.array_distinct(F.flatten(F.collect_list("found"))), lambda x: F.array_contains(every, x["rule"]))
         findings = self._rows().where(F.size("found") > 0).groupBy("blob").agg(F.array_sort(current).alias("found"))
+        findings = materialise(findings, "findings")  # so that Spark can split a blob that many paths hold
         return paths.join(findings, "blob", "left").select(F.col("path").alias(path), "blob", F.coalesce("found", F.array().cast(SPAN)).alias("found"))
 
 

@@ -91,7 +91,11 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def chunks(texts: pa.Array | pa.ChunkedArray, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int, Words]]:
+def sliding_max(x: np.ndarray, w: int) -> np.ndarray:
+    return ~sliding_min(~x, w)
+
+
+def chunks(texts: pa.Array | pa.ChunkedArray, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
     """(from, to, words) of consecutive texts of about most_bytes together. A null text is empty; a longer text comes alone."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
