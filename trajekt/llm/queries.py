@@ -1,12 +1,14 @@
 """Registry of this subpackage: query name to function, and oracle SQL where SQL can express the query."""
 
-from trajekt.llm import lines, mixing, secrets, substrings, topk, winnow
+from trajekt.llm import lines, mixing, packing, secrets, substrings, topk, toxicity, winnow
 
 QUERIES = {
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_exact_top_k": topk.op4_exact_top_k,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_document_fingerprints": winnow.op6_document_fingerprints,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_mixing": mixing.op10_mixing,
 }

@@ -48,12 +48,13 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of a run of texts. Word i is data[starts[i]:ends[i]]; text t has the words first[t] to first[t + 1] - 1."""
+    """Words of a run of texts. Word i is data[starts[i]:ends[i]]; text t is data[edges[t]:edges[t + 1]] and has the words first[t] to first[t + 1] - 1."""
 
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
+    edges: np.ndarray
 
     def hashes(self) -> np.ndarray:
         n = len(self.data)
@@ -117,5 +118,5 @@ def chunks(texts: pa.Array | pa.ChunkedArray, most_bytes: int = 1 << 20) -> Iter
         inner = edges[1:][edges[1:] > 0]
         after[inner - 1] = False
         starts = np.flatnonzero(full & ~before)
-        yield at, to, Words(data, starts, np.flatnonzero(full & ~after) + 1, np.searchsorted(starts, edges))
+        yield at, to, Words(data, starts, np.flatnonzero(full & ~after) + 1, np.searchsorted(starts, edges), edges)
         at = to
