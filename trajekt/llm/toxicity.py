@@ -90,29 +90,30 @@ def _counted(order: int, most: int = 1 << 20):
 def language_models(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """(g, n, llr) for each gram: log P(last byte | the bytes before, toxic) - log of the same for the other class.
 
-    Lower orders are Kneser-Ney continuation counts of both classes together. Only the highest order is counted by class, and what
-    its discounts leave goes to the shared estimate, so a rare gram is about as likely in both. A window over a context holds 256
-    rows at most.
+    Orders from the highest to 2 are of the class: text counts, then continuation counts (in how many places of the order above a
+    gram ends). What discounts leave goes to the order below, and last to the continuation counts of both classes together,
+    so an expression that neither class has is about as likely in both. A window over a context holds 256 rows at most.
     """
-    tables = [counts.select("g", (F.col("c0") + F.col("c1")).alias("n"))]
+    tables = [counts.select("g", F.col("c0").alias("n0"), F.col("c1").alias("n1"))]
     for k in range(order - 1, 0, -1):
         mask = (1 << (8 * k)) - 1
-        tables.append(materialise(tables[-1].groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count(F.lit(1)).alias("n")), "grams"))
-    total = tables[-1].agg(F.sum("n")).first()[0] or 0
-    shared = tables[-1].select("g", ((F.col("n") + 0.5) / F.lit(total + 128.0)).alias("p"))
+        ends = [F.count(F.when(F.col(f"n{c}") > 0, 1)).alias(f"n{c}") for c in (0, 1)]
+        tables.append(materialise(tables[-1].groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(*ends), "grams"))
+    total = tables[-1].agg(F.sum(F.col("n0") + F.col("n1"))).first()[0] or 0
+    base = (F.col("n0") + F.col("n1") + 0.5) / F.lit(total + 128.0)
+    lower = tables[-1].select(F.col("g").alias("low"), base.alias("p0"), base.alias("p1"))
     context = Window.partitionBy(F.shiftright("g", 8))
     for k in range(2, order + 1):
         mask = (1 << (8 * (k - 1))) - 1
-        own = tables[order - k].withColumn("s", F.sum("n").over(context)).withColumn("d", F.count(F.lit(1)).over(context))
-        low = shared.withColumnRenamed("g", "low")
-        own = own.join(low, F.col("g").bitwiseAND(F.lit(mask)) == F.col("low"))
-        shared = materialise(own.select("g", ((F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("d") * F.col("p")) / F.col("s")).alias("p")), "shared")
-    rows = counts.join(shared, "g")
-    p = []
-    for c in ("c0", "c1"):
-        s, d = F.sum(c).over(context), F.count(F.when(F.col(c) > 0, 1)).over(context)
-        p.append(F.when(s > 0, (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * d * F.col("p")) / s).otherwise(F.col("p")))
-    return rows.select("g", (F.col("c0") + F.col("c1")).alias("n"), F.log(p[1] / p[0]).alias("llr"))
+        own = tables[order - k]
+        for c in (0, 1):
+            own = own.withColumn(f"s{c}", F.sum(f"n{c}").over(context)).withColumn(f"d{c}", F.count(F.when(F.col(f"n{c}") > 0, 1)).over(context))
+        own = own.join(lower, F.col("g").bitwiseAND(F.lit(mask)) == F.col("low"))
+        p = [F.when(F.col(f"s{c}") > 0, (F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"d{c}") * F.col(f"p{c}")) / F.col(f"s{c}")).otherwise(F.col(f"p{c}")) for c in (0, 1)]
+        lower = own.select(F.col("g").alias("low"), p[0].alias("p0"), p[1].alias("p1"), (F.col("n0") + F.col("n1")).alias("n"))
+        if k < order:
+            lower = materialise(lower.drop("n"), "shared")
+    return lower.select(F.col("low").alias("g"), "n", F.log(F.col("p1") / F.col("p0")).alias("llr"))
 
 
 def placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +168,10 @@ def _ratios(shared, order: int, others: list[str]):
 
 
 def calibration(binned: DataFrame) -> tuple[float, float]:
-    """Intercept and slope of a logistic fit of `toxic` to the ratio, over counts by bin: BINS rows for each class at most."""
+    """Intercept and slope of a logistic fit of `toxic` to the ratio, over counts by bin: a bin is 1 / BINS wide, so their number is bounded.
+
+    The intercept is then moved so that THRESHOLD lies where the fit expects the highest F1.
+    """
     rows = [(r["bin"] / BINS, r["toxic"], r["n"]) for r in binned.collect()]
     if len({y for _, y, _ in rows}) < 2:
         return 0.0, 0.0
@@ -183,7 +187,12 @@ def calibration(binned: DataFrame) -> tuple[float, float]:
         at = at + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return float(at[0]), float(at[1] / scale)
+    p = 1 / (1 + np.exp(-np.clip(at @ basis, -30, 30)))
+    order = np.argsort(-p, kind="stable")
+    caught, flagged = np.cumsum((n * p)[order]), np.cumsum(n[order])
+    cut = float(p[order][np.argmax(2 * caught / (flagged + (n * p).sum()))])
+    shift = np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(cut / (1 - cut))
+    return float(at[0] + shift), float(at[1] / scale)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, order: int = ORDER) -> DataFrame:
