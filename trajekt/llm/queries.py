@@ -1,8 +1,10 @@
 """Registry of this subpackage: query name to function, and oracle SQL where SQL can express the query."""
 
-from trajekt.llm import lines, mixing, packing, secrets, substrings, topk, toxicity, winnow
+from trajekt.llm import jaccard, lines, mixing, packing, secrets, substrings, topk, toxicity, winnow, wordpiece
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
+    "op2_token_counts": wordpiece.op2_token_counts,
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_exact_top_k": topk.op4_exact_top_k,
     "op5_substring_dedup": substrings.op5_substring_dedup,
@@ -12,4 +14,4 @@ QUERIES = {
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES = {"op3_line_dedup": lines.OP3_SQL, "op4_exact_top_k": topk.OP4_SQL, "op5_substring_dedup": substrings.OP5_SQL, "op10_mixing": mixing.OP10_SQL}
+ORACLES = {"op1_ngram_jaccard_join": jaccard.OP1_SQL, "op3_line_dedup": lines.OP3_SQL, "op4_exact_top_k": topk.OP4_SQL, "op5_substring_dedup": substrings.OP5_SQL, "op10_mixing": mixing.OP10_SQL}
