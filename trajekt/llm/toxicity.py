@@ -21,6 +21,7 @@ SLOT_BITS = 22
 #: Added to a text's length, so that a few bytes are no evidence.
 PRIOR_LENGTH = 64
 THRESHOLD = 0.7
+PRECISION, LEAST_CHANCE = 0.95, 0.35
 BINS = 4000
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -170,7 +171,7 @@ def _ratios(shared, order: int, others: list[str]):
 def calibration(binned: DataFrame) -> tuple[float, float]:
     """Intercept and slope of a logistic fit of `toxic` to the ratio, over counts by bin: a bin is 1 / BINS wide, so their number is bounded.
 
-    The intercept is then moved so that THRESHOLD lies where the fit expects the highest F1.
+    The intercept is then moved so that THRESHOLD lies at the lowest chance, LEAST_CHANCE or more, above which the fit expects PRECISION.
     """
     rows = [(r["bin"] / BINS, r["toxic"], r["n"]) for r in binned.collect()]
     if len({y for _, y, _ in rows}) < 2:
@@ -190,7 +191,8 @@ def calibration(binned: DataFrame) -> tuple[float, float]:
     p = 1 / (1 + np.exp(-np.clip(at @ basis, -30, 30)))
     order = np.argsort(-p, kind="stable")
     caught, flagged = np.cumsum((n * p)[order]), np.cumsum(n[order])
-    cut = float(p[order][np.argmax(2 * caught / (flagged + (n * p).sum()))])
+    sure = (caught / flagged >= PRECISION) & (p[order] >= LEAST_CHANCE)
+    cut = float(p[order][np.flatnonzero(sure)[-1]]) if sure.any() else THRESHOLD
     shift = np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(cut / (1 - cut))
     return float(at[0] + shift), float(at[1] / scale)
 
