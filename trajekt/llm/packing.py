@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajekt.llm.common import table
+from trajekt.llm.wordpiece import byte_codes
 from trajekt.session import materialise
 
 LENGTH = 2048
@@ -21,7 +22,9 @@ GROUP = 4096
 #: A bin below this share is taken apart when groups are formed anew.
 FULL = 0.98
 SPECIAL = "<|endoftext|>"
-MOST_CACHED, LONGEST_CACHED = 250_000, 48
+MOST_CACHED, LONGEST_CACHED = 400_000, 48
+#: ASCII signs that are neither letters, digits nor white space: at a word's end they are a pre-token of their own.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Tokens(dict):
@@ -36,15 +39,35 @@ class Tokens(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encoder, self.old = Tokenizer.from_file(path), {}
+        self.encoder, self.old, self.ends = Tokenizer.from_file(path), {}, {}
+        self.merges, self.codes = self.encoder.model, {b: c for c, b in byte_codes().items()}
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def merged(self, word: str) -> bytes:
+        """Ids of a single pre-token, straight from the tokenizer's merges."""
+        coded = word.encode().decode("latin-1").translate(self.codes)
+        return np.array([t.id for t in self.merges.tokenize(coded)], "<u4").tobytes()
+
+    def signs(self, end: str) -> bytes:
+        ids = self.ends.get(end)
+        if ids is None:
+            if len(self.ends) > 10_000:
+                self.ends.clear()
+            ids = self.ends[end] = self.merged(end)
+        return ids
+
+    def fresh(self, part: str) -> bytes:
+        core = part.rstrip(SIGNS)
+        if not core.isalpha():
+            return self.encoded(part if part[:1] == "\n" else " " + part)
+        return self.merged(" " + part) if core == part else self[core] + self.signs(part[len(core) :])
+
     def __missing__(self, part: str) -> bytes:
         ids = self.old.get(part)
         if ids is None:
-            ids = self.encoded(part if part[:1] == "\n" else " " + part)
+            ids = self.fresh(part)
         if len(part) <= LONGEST_CACHED:
             if len(self) >= MOST_CACHED:
                 self.old = dict(self)
