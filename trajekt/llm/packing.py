@@ -196,9 +196,9 @@ def improve(sizes: np.ndarray, bins: np.ndarray, length: int, most_steps: int =
             bins[back] = donor
         fill[other] += best
         fill[donor] -= best
-        if fill[donor] == 0:
-            stuck[donor] = True
-        stuck[other] |= fill[other] >= length
+        # emptier bins may now find room in the donor
+        stuck[fill <= fill[donor]] = False
+        stuck |= (fill == 0) | (fill >= length)
     return np.unique(bins, return_inverse=True)[1]
 
 
