@@ -22,7 +22,7 @@ GROUP = 4096
 #: A bin below this share is taken apart when groups are formed anew.
 FULL = 0.98
 SPECIAL = "<|endoftext|>"
-MOST_CACHED, LONGEST_CACHED = 400_000, 48
+MOST_CACHED, LONGEST_CACHED = 300_000, 48
 #: ASCII signs that are neither letters, digits nor white space: at a word's end they are a pre-token of their own.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -153,17 +153,18 @@ def best_fit(sizes: np.ndarray, length: int) -> np.ndarray:
     return bins
 
 
-def improve(sizes: np.ndarray, bins: np.ndarray, length: int, most_steps: int = 4000) -> np.ndarray:
+def improve(sizes: np.ndarray, bins: np.ndarray, length: int, most_steps: int = 4000, most_tries: int = 2) -> np.ndarray:
     """Local search: take from the emptiest bin by moves, one-for-one and two-for-one exchanges with fuller bins, until none helps.
 
     An exchange raises the other bin's fill without passing its room, and of all exchanges that with the largest rise is made, so
-    the sum of squared fills grows at each step and bins run empty. Bins that can give nothing more are left.
+    the sum of squared fills grows at each step and bins run empty. A bin that can give nothing is left, until an emptier
+    donor changes, `most_tries` times at most.
     """
     bins = bins.copy()
     if not len(sizes):
         return bins
     fill = np.bincount(bins, sizes).astype(np.int64)
-    stuck = fill >= length
+    stuck, tries = fill >= length, np.zeros(len(fill), np.int64)
     for _ in range(most_steps):
         if stuck.all():
             break
@@ -189,6 +190,7 @@ def improve(sizes: np.ndarray, bins: np.ndarray, length: int, most_steps: int =
                 best, change = int(rise[at]), (give, int(others[at]), int(bins[others[at]]))
         if change is None:
             stuck[donor] = True
+            tries[donor] += 1
             continue
         give, back, other = change
         bins[give] = other
@@ -197,7 +199,7 @@ def improve(sizes: np.ndarray, bins: np.ndarray, length: int, most_steps: int =
         fill[other] += best
         fill[donor] -= best
         # emptier bins may now find room in the donor
-        stuck[fill <= fill[donor]] = False
+        stuck[(fill <= fill[donor]) & (tries < most_tries)] = False
         stuck |= (fill == 0) | (fill >= length)
     return np.unique(bins, return_inverse=True)[1]
 
