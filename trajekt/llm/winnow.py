@@ -63,12 +63,12 @@ def by_range(value: Column, splits: list, width: int) -> Column:
     return F.when(value.isNull(), -1).otherwise(coarse * width + F.coalesce(F.size(F.filter(fine, lambda s: s < value)), F.lit(0)))
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str], rows_per_slice: int = 64, most_slices: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, key: str, carried: list[str], rows_per_slice: int = 64, most_slices: int = 4096, derive=lambda d: d) -> DataFrame:
     """Rows of `docs` with next_<c> of each carried column: the row after it by descending key, after the last the first.
 
     Rows are cut into slices of the key's range at approximate quantiles, whose number is bounded; each slice also gets the first
     row of the slice below, so a window over a slice sees every neighbour and rows move once. Null keys come last, equal
-    keys in order of a hash of the carried columns. A row alone is its own neighbour.
+    keys in order of a hash of the first carried column. `derive` adds carried columns once the heads are chosen. A row alone is its own neighbour.
     """
     rows = docs.count()
     number = max(1, min(most_slices, rows // rows_per_slice))
@@ -85,7 +85,7 @@ def with_next(docs: DataFrame, key: str, carried: list[str], rows_per_slice: int
     first = cut.join(F.broadcast(heads), (F.col("__slice") == F.col("__from")) & F.col(key).eqNullSafe(F.col("__key")) & (F.col("__tie") == F.col("__t")))
     first = first.dropDuplicates(["__from"]).withColumn("__slice", F.col("__to")).withColumn("__halo", F.lit(1)).select(*cut.columns)
     ahead = Window.partitionBy("__slice").orderBy("__halo", F.col(key).desc_nulls_last(), "__tie")
-    both = cut.unionByName(first)
+    both = derive(cut).unionByName(derive(first))
     return both.select("*", *[F.lead(c).over(ahead).alias(f"next_{c}") for c in carried]).where("__halo = 0").drop("__slice", "__tie", "__halo")
 
 
@@ -95,8 +95,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has the last third of its code points replaced by the first as many of the next document's.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("fp", winnow(F.col("text")))
-    met = with_next(docs, "doc_id", ["text", "fp"])
+    met = with_next(docs, "doc_id", ["text", "fp"], derive=lambda d: d.withColumn("fp", winnow(F.col("text"))))
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("next_text", F.lit(1), third))
     met = met.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fp", F.col("next_fp.hash").alias("next_hash"))
