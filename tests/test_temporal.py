@@ -93,35 +93,65 @@ def test_batch_filter_equals_one_step_at_a_time(spark):
         assert got[(r.camera_id, r.sample_idx)] == (tuple(want[4]), tuple(want[7]))
 
 
-def test_streaming_filter_equals_batch(spark, tmp_path):
+def test_streaming_filter_equals_batch_in_any_order_of_files(spark, tmp_path):
     frames = wide_frames(spark)
-    source = str(tmp_path / "in")
-    for k in range(4):
+    source, sink, last = str(tmp_path / "in"), str(tmp_path / "out"), frames.agg(F.max("sample_idx")).first()[0]
+    for k in (2, 0, 3, 1):
         frames.where(F.floor(F.col("sample_idx") / 10) == k).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    sink = str(tmp_path / "out")
-    query = C.causal_filter_stream(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append")
-    query.trigger(availableNow=True).start(sink).awaitTermination()
+    for turn in range(2):
+        query = C.causal_filter_stream(stream, delay="3 seconds").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append")
+        query.trigger(availableNow=True).start(sink).awaitTermination()
+        if turn == 0:
+            spark.createDataFrame([(-1, "end", last + 300, 0, [], [], [], [])], C.FRAME).write.mode("append").parquet(source)
     assert arrays(spark.read.schema(C.FRAME).parquet(sink)) == arrays(C.causal_filter(frames))
 
 
+def test_side_repair_leaves_the_face_alone():
+    xy = np.stack([np.arange(17) * 40.0, np.full(17, 100.0)], axis=1)
+    cfg = C.FilterSettings(repair_sides=True)
+    first = C.filter_step(None, 0, 0, xy, np.ones(17), np.ones(17, bool), cfg)
+    swapped = xy.copy()
+    for a, b in ((1, 2), (3, 4), (9, 10)):
+        swapped[[a, b]] = swapped[[b, a]]
+    out = C.filter_step(first, 1, 0, swapped, np.ones(17), np.ones(17, bool), cfg)["xy"]
+    assert np.allclose(out[[9, 10]], xy[[9, 10]])
+    assert not np.allclose(out[[1, 2]], xy[[1, 2]]) and not np.allclose(out[[3, 4]], xy[[3, 4]])
+
+
+def tracked(tracks, boxes, conf, ids):
+    tracks.grow(1)
+    dets = np.column_stack([np.array(boxes, float), conf, ids])[None]
+    usable = tracks.usable(dets)
+    shown, found = tracks.step(np.array([0]), dets, usable, C.best_detections(dets, usable, tracks.cfg.target_confidence))
+    return (int(tracks.id[0]), bool(found[0])) if shown[0] else None
+
+
 def test_tracker_keeps_identity_and_reacquires():
-    cfg = C.TrackSettings(reacquire_after=3, lost_buffer=2)
+    tracks = C.Tracks(C.TrackSettings(reacquire_after=3, lost_buffer=2))
     me, decoy = [100, 100, 200, 300], [600, 100, 900, 500]
-    state, found = C.track_step({}, [me, decoy], [0.9, 0.7], [1, 2], cfg)
-    assert found[2] == 1 and found[3]
-    state, found = C.track_step(state, [decoy, me], [0.99, 0.3], [2, 1], cfg)
-    assert found[2] == 1
-    seen = []
-    for _ in range(4):
-        state, found = C.track_step(state, [decoy], [0.9], [2], cfg)
-        seen.append(None if found is None else (found[2], found[3]))
+    assert tracked(tracks, [me, decoy], [0.9, 0.7], [1, 2]) == (1, True)
+    assert tracked(tracks, [decoy, me], [0.99, 0.3], [2, 1])[0] == 1
+    seen = [tracked(tracks, [decoy], [0.9], [2]) for _ in range(4)]
     assert seen == [(1, False), (1, False), (2, True), (2, True)]
 
 
 def test_box_updates_are_bounded():
-    box = np.array([100.0, 100.0, 200.0, 300.0])
-    assert np.allclose(C.tracked_box(None, box, (1280, 720)), box)
-    moved = C.tracked_box(box, box + np.array([900, 0, 900, 0]), (1280, 720))
+    box = np.array([[100.0, 100.0, 200.0, 300.0]])
+    moved = C.followed(box, box + np.array([900, 0, 900, 0]), np.array([1]), (1280, 720))[0]
     assert 0 < moved[0] - 100 < 0.35 * 0.31 * np.hypot(100, 200)
-    assert np.allclose(C.steady_box(box, box, 0.35, 0.12), box)
+    assert np.allclose(C.steadied(box, box, 0.35, 0.12), box)
+
+
+def test_series_step_together_as_they_do_alone(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1, f"c{c}", i * (1 + c % 2), *(float(v) for v in corner), *(float(v) for v in corner + rng.uniform(20, 300, 2))) for c in range(5) for i in range(30) for corner in [rng.uniform(0, 400, 2)]]
+    boxes = spark.createDataFrame(rows, "session_id int, camera_id string, sample_idx bigint, x0 double, y0 double, x1 double, y1 double")
+    got = {(r.camera_id, r.sample_idx): (r.x0, r.y0, r.x1, r.y1) for r in C.track_boxes(boxes.repartition(3)).collect()}
+    for c in range(5):
+        held, last = None, 0
+        for r in sorted((r for r in rows if r[1] == f"c{c}"), key=lambda r: r[2]):
+            seen = np.array([r[3:]])
+            held, last = seen if held is None else C.followed(held, seen, np.array([r[2] - last]), (1280, 720)), r[2]
+            assert np.allclose(got[(r[1], r[2])], held[0])
+    assert len(got) == len(rows)

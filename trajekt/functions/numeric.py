@@ -13,9 +13,9 @@ def as_col(value) -> Column:
 
 
 def fixed(value, digits: int = 6) -> Column:
-    """Round half up on the binary value; the same IEEE steps in every engine, never -0.0."""
-    scale = float(10**digits)
-    return F.floor(as_col(value) * scale + 0.5) / scale
+    """Round half up on the binary value; the same IEEE steps in every engine, never -0.0. NaN and infinities become NULL."""
+    scale, value = float(10**digits), as_col(value)
+    return F.when(F.abs(value) < float("inf"), F.floor(value * scale + 0.5) / scale)
 
 
 def finite(value) -> Column:

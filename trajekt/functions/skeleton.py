@@ -72,8 +72,8 @@ MASS_SEGMENTS = {
     "right_shank_foot": (0.061, ("right_knee", "right_ankle")),
 }
 
-# left/right partner pairs of the body layout.
-SWAP_PAIRS = tuple((J[n], J[n.replace("left", "right")]) for n in BODY_JOINTS if n.startswith("left"))
+# The left/right pairs that side repair may exchange; eyes and ears are not among them.
+SIDE_PAIRS = ((5, 6), (7, 8), (9, 10), (11, 12), (13, 14), (15, 16))
 
 
 def group_of(joint_idx: int) -> str:

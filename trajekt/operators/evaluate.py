@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
+from math import exp, factorial
 
 import numpy as np
 import pyarrow as pa
@@ -147,10 +149,12 @@ def bootstrap_ci(frame_means: DataFrame, session: str, idx: str, value: str, sam
 
     A frame's number of draws in one resample is Poisson(1) (the usual large-sample form of drawing n
     of n): every frame adds its own weights, so the resample means are plain sums without any
-    regrouping of draws. The draws are a hash of (seed, session, frame, resample), so reruns agree.
+    regrouping of draws. Without resamples both ends are the mean. The draws are a hash of (seed, session, frame, resample), so reruns agree.
     """
-    # Cumulative Poisson(1) probabilities.
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
+    if samples < 1:
+        return frame_means.where(F.col(value).isNotNull()).groupBy(session).agg(F.avg(value).alias("ci_low"), F.avg(value).alias("ci_high"))
+    # cumulative Poisson(1) probabilities, as far as a draw of 40 bits can tell them from 1
+    cdf = [c for c in accumulate(exp(-1.0) / factorial(k) for k in range(30)) if c <= 1.0 - 0.5**40]
     draws = frame_means.where(F.col(value).isNotNull()).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col(session), F.col(idx), F.col("__b")), F.lit(1 << 40)) / float(1 << 40)
     weight = sum((F.when(unit >= c, 1.0).otherwise(0.0) for c in cdf), F.lit(0.0))
@@ -164,27 +168,26 @@ def bootstrap_ci(frame_means: DataFrame, session: str, idx: str, value: str, sam
     )
 
 
-def quality_gates(limits: dict[str, float]) -> dict[str, Column]:
-    """Named predicates over a summary row; a missing metric fails its gate."""
-    at_most = lambda c, k: F.coalesce(F.col(c) <= limits[k], F.lit(False))
-    at_least = lambda c, k: F.coalesce(F.col(c) >= limits[k], F.lit(False))
-    return {
-        "enough_frames": at_least("evaluated_frames", "min_evaluated_frames"),
-        "valid_joint_ratio": at_least("valid_joint_ratio", "min_valid_joint_ratio"),
-        "mpjpe": at_most("mpjpe_mm", "max_mpjpe_mm"),
-        "p95_error": at_most("p95_error_mm", "max_p95_error_mm"),
-        "root_relative_mpjpe": at_most("root_relative_mpjpe_mm", "max_root_relative_mpjpe_mm"),
-        "pck_100mm": at_least("pck_100mm", "min_pck_100mm"),
-        "angle_mae": at_most("angle_mae_deg", "max_angle_mae_deg"),
-        "velocity_mae": at_most("velocity_mae_mps", "max_velocity_mae_mps"),
-        "acceleration_mae": at_most("acceleration_mae_mps2", "max_acceleration_mae_mps2"),
-        "bone_length_stability": at_most("bone_length_cv_percent", "max_bone_length_cv_percent"),
-    }
+# Gate, metric, its limit, and whether the limit is a minimum (1) or a maximum (-1).
+GATES = (
+    ("enough_frames", "evaluated_frames", "min_evaluated_frames", 1),
+    ("valid_joint_ratio", "valid_joint_ratio", "min_valid_joint_ratio", 1),
+    ("mpjpe", "mpjpe_mm", "max_mpjpe_mm", -1),
+    ("p95_error", "p95_error_mm", "max_p95_error_mm", -1),
+    ("root_relative_mpjpe", "root_relative_mpjpe_mm", "max_root_relative_mpjpe_mm", -1),
+    ("pck_100mm", "pck_100mm", "min_pck_100mm", 1),
+    ("angle_mae", "angle_mae_deg", "max_angle_mae_deg", -1),
+    ("velocity_mae", "velocity_mae_mps", "max_velocity_mae_mps", -1),
+    ("acceleration_mae", "acceleration_mae_mps2", "max_acceleration_mae_mps2", -1),
+    ("bone_length_stability", "bone_length_cv_percent", "max_bone_length_cv_percent", -1),
+)
 
 
 def with_gates(summary: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
-    gates = quality_gates(check_thresholds(limits or {}))
-    out = summary.withColumn("failed_gates", reasons(*[(~g, name) for name, g in gates.items()]))
+    """Adds failed_gates and status; a missing metric fails its gate."""
+    limits = check_thresholds(limits or {})
+    passed = lambda metric, limit, sign: F.coalesce(sign * F.col(metric) >= sign * limits[limit], F.lit(False))
+    out = summary.withColumn("failed_gates", reasons(*[(~passed(*rest), name) for name, *rest in GATES]))
     return out.withColumn("status", F.when(F.size("failed_gates") == 0, "passed").otherwise("failed"))
 
 

@@ -160,15 +160,15 @@ def b9(spark, sf):
 
 @query(
     "b10_joint_name_mapping",
-    """WITH p AS (SELECT DISTINCT 'NATION_' || c_nationkey AS name FROM customer), t AS (SELECT n_name AS name FROM nation WHERE n_nationkey % 3 <> 0),
-x AS (SELECT DISTINCT 'NATION_' || s_nationkey AS name FROM supplier WHERE s_suppkey % 4 = 0)
+    """WITH p AS (SELECT DISTINCT 'NATION_' || c_nationkey AS name FROM customer), t AS (SELECT n_name AS name FROM nation),
+x AS (SELECT DISTINCT 'NATION_' || s_nationkey AS name FROM supplier UNION SELECT r_name FROM region)
 SELECT name, 'mapped' AS verdict FROM p JOIN t USING (name) UNION ALL SELECT name, 'unknown' FROM x WHERE name NOT IN (SELECT name FROM t)""",
 )
 def b10(spark, sf):
     label = lambda c: F.concat(F.lit("NATION_"), F.col(c).cast("string")).alias("name")
     pred = T.read(spark, sf, "customer").select(label("c_nationkey")).distinct()
-    truth = T.read(spark, sf, "nation").where("n_nationkey % 3 <> 0").select(F.col("n_name").alias("name"))
-    asked = T.read(spark, sf, "supplier").where("s_suppkey % 4 = 0").select(label("s_nationkey")).distinct()
+    truth = T.read(spark, sf, "nation").select(F.col("n_name").alias("name"))
+    asked = T.read(spark, sf, "supplier").select(label("s_nationkey")).unionByName(T.read(spark, sf, "region").select(F.col("r_name").alias("name"))).distinct()
     mapped = pred.join(truth, "name").select("name", F.lit("mapped").alias("verdict"))
     return mapped.unionByName(asked.join(truth, "name", "left_anti").select("name", F.lit("unknown").alias("verdict")))
 
@@ -443,9 +443,9 @@ SELECT doc_id, part FROM documents JOIN a ON a.key = source || ':' || lang
 def b25(spark, sf):
     docs = T.read(spark, sf, "documents").select("doc_id", F.concat_ws(":", "source", "lang").alias("key"))
     bucket = F.ascii(F.md5("key")) % 10
-    parts = docs.select("key").distinct().withColumn("part", F.when(bucket < 7, "train").when(bucket < 9, "validation").otherwise("test"))
+    parts = docs.withColumn("part", F.when(bucket < 7, "train").when(bucket < 9, "validation").otherwise("test"))
     held = T.read(spark, sf, "labels").where("toxic = 1").select("doc_id").withColumn("part", F.lit("train"))
-    return docs.join(parts, "key").join(held, ["doc_id", "part"], "left_anti").select("doc_id", "part")
+    return parts.join(held, ["doc_id", "part"], "left_anti").select("doc_id", "part")
 
 
 @query(

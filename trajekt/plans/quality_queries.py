@@ -353,7 +353,7 @@ def f12(spark, sf):
     f"""WITH {T.SQL_LONG}, m AS (SELECT *, {', '.join(f'avg({c}) OVER (PARTITION BY session_id, joint_idx ORDER BY sample_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) - {c} AS d{c}' for c in 'xyz')} FROM p3),
 j AS (SELECT session_id, joint_idx, median(sqrt(dx * dx + dy * dy + dz * dz)) AS adj FROM m WHERE x IS NOT NULL GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY floor(adj * 1e9 + 0.5) DESC, joint_idx) AS rk FROM j)
-SELECT session_id, joint_idx, CAST(rk AS INTEGER) AS rank, {r6('adj')} AS median_adjustment FROM k WHERE rk <= 4""",
+SELECT session_id, joint_idx, CAST(rk AS INTEGER) AS rank, {r6('adj')} AS median_adjustment FROM k""",
 )
 def f13(spark, sf):
     from pyspark.sql import Window
@@ -361,9 +361,9 @@ def f13(spark, sf):
     moved = E.centered_mean(T.pose3d(spark, sf), KEYS, "sample_idx", "xyz", 5)
     moved = moved.withColumn("adj", G.distance([F.col(f"{c}_ma") for c in "xyz"], [F.col(c) for c in "xyz"]))
     q = exact_quantiles(moved, KEYS, F.col("adj"), {"adj": 0.5})
-    # at most one row per joint reaches this window; rank <= 4 is the report
+    # at most one row per joint reaches this window; every joint gets its rank, the reader takes the first k
     w = Window.partitionBy("session_id").orderBy(F.floor(F.col("adj") * 1e9 + 0.5).desc(), "joint_idx")
-    return q.withColumn("rank", F.row_number().over(w)).where("rank <= 4").select(
+    return q.withColumn("rank", F.row_number().over(w)).select(
         "session_id", "joint_idx", "rank", fixed("adj").alias("median_adjustment")
     )
 

@@ -36,14 +36,14 @@ def timeline_segments(spark, sf):
 
 @query(
     "i1_positional_alignment",
-    f"""WITH s AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position FROM events WHERE event_type = 'view'),
+    f"""WITH s AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position FROM events),
 m AS (SELECT DISTINCT user_id, j AS position, {MOVES!r}[j + 1] AS movement_id FROM s, unnest(range(0, {M})) u(j))
 SELECT coalesce(s.user_id, m.user_id) AS user_id, coalesce(s.position, m.position) AS position, event_id, movement_id,
  CASE WHEN event_id IS NULL THEN 'unmatched_movement' WHEN movement_id IS NULL THEN 'unmatched_segment' ELSE 'aligned' END AS issue FROM s FULL OUTER JOIN m ON s.user_id = m.user_id AND s.position = m.position""",
 )
 def i1(spark, sf):
-    views = T.read(spark, sf, "events").where("event_type = 'view'").select("user_id", "event_id", T.micros("ts").alias("t_us"))
-    placed = ordinal(views, ["user_id"], ["t_us", "event_id"], time_block("t_us"), "ord")
+    events = T.read(spark, sf, "events").select("user_id", "event_id", T.micros("ts").alias("t_us"))
+    placed = ordinal(events, ["user_id"], ["t_us", "event_id"], time_block("t_us"), "ord")
     return R.positional_alignment(placed, "user_id", "ord", "event_id", MOVES)
 
 
@@ -100,11 +100,11 @@ def i4(spark, sf):
     return path.select("session_id", "segment", "movement", fixed("cost").alias("cost"), fixed("total_cost").alias("total_cost"))
 
 
-SQL_PAIRS = """pr AS (SELECT DISTINCT l_orderkey AS timeline_id, CAST(l_partkey % 7 AS INTEGER) AS segment, l_linenumber - 1 AS movement FROM lineitem WHERE l_returnflag <> 'N')"""
+SQL_PAIRS = """pr AS (SELECT DISTINCT l_orderkey AS timeline_id, CAST(l_partkey % 7 AS INTEGER) AS segment, l_linenumber - 1 AS movement FROM lineitem)"""
 
 
 def alignment_pairs(spark, sf):
-    return T.read(spark, sf, "lineitem").where("l_returnflag <> 'N'").select(
+    return T.read(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("timeline_id"), (F.col("l_partkey") % 7).cast("int").alias("segment"), (F.col("l_linenumber") - 1).alias("movement")
     ).distinct()
 

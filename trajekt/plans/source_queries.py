@@ -316,13 +316,13 @@ def a19(spark, sf):
 
 @query(
     "a20_ground_truth_export",
-    f"""WITH {T.SQL_LONG} SELECT session_id, sample_idx, {_NAMES}[joint_idx + 1] AS joint_name, {r6('sample_idx / 60.0::DOUBLE')} AS t_sec, {r6('x * 1000 * 0.001')} AS x_m, {r6('z * 1000 * -0.001')} AS y_m, {r6('y * 1000 * 0.001')} AS z_m FROM p3 WHERE joint_idx < 15 AND x IS NOT NULL""",
+    f"""WITH {T.SQL_LONG} SELECT session_id, sample_idx, {_NAMES}[joint_idx + 1] AS joint_name, {r6('sample_idx / 60.0::DOUBLE')} AS t_sec, {r6('x * 1000 * 0.001')} AS x_m, {r6('z * 1000 * -0.001')} AS y_m, {r6('y * 1000 * 0.001')} AS z_m FROM p3 WHERE x IS NOT NULL""",
 )
 def a20(spark, sf):
     from ..functions import geometry as G
     from .geometry_queries import PRESET_BASES
 
-    mm = T.pose3d(spark, sf).where("joint_idx < 15 AND x IS NOT NULL")
+    mm = T.pose3d(spark, sf).where("x IS NOT NULL")
     moved = G.transform(tuple(F.col(c) * 1000 for c in "xyz"), [F.lit(v) for v in PRESET_BASES["millimetre_y_up_back"]])
     return mm.select("session_id", "sample_idx", F.get(F.array(*map(F.lit, BODY_JOINTS)), F.col("joint_idx")).alias("joint_name"), fixed(F.col("sample_idx") / 60.0).alias("t_sec"), *[fixed(c).alias(f"{a}_m") for a, c in zip("xyz", moved)])
 

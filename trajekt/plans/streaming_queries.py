@@ -39,14 +39,27 @@ def e15(spark, sf):
 
 @query("e15_causal_filter_stream")
 def e15s(spark, sf):
-    """The same recurrence as a streaming job over files of frames, run to the end of the input."""
+    """The same recurrence as a streaming job over files of frames in any order, run to the end of the input."""
     source, sink = scratch(spark, "frames"), scratch(spark, "filtered")
     frames = view_frames(spark, sf)
-    # later files hold later frames: micro-batches arrive in time order
     frames.repartitionByRange(3, "sample_idx").write.parquet(source)
-    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(source)
-    job = C.causal_filter_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{ensure_checkpoint_dir(spark)}/{sink.rsplit('/', 1)[1]}-offsets")
-    job.outputMode("append").trigger(availableNow=True).start(sink).awaitTermination()
+    stored = spark.read.schema(frames.schema).parquet(source)
+    last = stored.agg(F.coalesce(F.max("sample_idx"), F.lit(0))).first()[0]
+    # the three files come in no order, so a frame may be as late as the whole recording is long
+    span = int(last / T.FPS) + 2
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    offsets = f"{ensure_checkpoint_dir(spark)}/{sink.rsplit('/', 1)[1]}-offsets"
+
+    def drain():
+        job = C.causal_filter_stream(stream, delay=f"{span} seconds", fps=T.FPS).writeStream.format("parquet").option("checkpointLocation", offsets)
+        job.outputMode("append").trigger(availableNow=True).start(sink).awaitTermination()
+
+    drain()
+    # a frame of a camera of its own, late enough to let the watermark pass all others, ends the recording
+    none = F.array().cast("array<double>")
+    end = spark.range(1).select(F.lit(-1).alias("session_id"), F.lit("end").alias("camera_id"), F.lit(int(last + (span + 2) * T.FPS)).cast("long").alias("sample_idx"), F.lit(0).alias("person_id"), none.alias("xs"), none.alias("ys"), none.alias("scores"), F.array().cast("array<boolean>").alias("valid"))
+    end.write.mode("append").parquet(source)
+    drain()
     return exploded(spark.read.schema(C.FRAME).parquet(sink))
 
 

@@ -12,15 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..functions.skeleton import SWAP_PAIRS
+from ..functions.skeleton import SIDE_PAIRS
 from ..operators.blocks import carry, index_block, with_halo
 
 FRAME = "session_id int, camera_id string, sample_idx bigint, person_id int, xs array<double>, ys array<double>, scores array<double>, valid array<boolean>"
-STATE = "frame bigint, person int, xy array<double>, velocity array<double>, scores array<double>, valid array<boolean>"
+STATE = "frame bigint, person int, xy array<double>, velocity array<double>, scores array<double>, valid array<boolean>, pending binary"
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,7 @@ def _extent(xy: np.ndarray, valid: np.ndarray) -> float:
 
 def _repair_sides(xy, scores, valid, predicted, known, scale, ratio) -> None:
     """Exchange left and right where the swapped assignment fits the prediction clearly better."""
-    for pair in SWAP_PAIRS:
+    for pair in SIDE_PAIRS:
         a, b = list(pair), list(pair[::-1])
         if max(a) >= len(xy) or not (valid[a].all() and known[a].all()):
             continue
@@ -126,29 +127,60 @@ def causal_filter(frames: DataFrame, cfg: FilterSettings = FilterSettings()) ->
     return ordered.mapInPandas(scan, FRAME)
 
 
-def causal_filter_stream(frames: DataFrame, cfg: FilterSettings = FilterSettings()) -> DataFrame:
+def event_time(frame, fps: float):
+    """Frames as event times; the first lies after the watermark that a stream starts with."""
+    return F.timestamp_micros(((F.col(frame) + 1) * (1_000_000.0 / fps)).cast("long"))
+
+
+def _packed(pdf: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_pandas(pdf, preserve_index=False)
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def causal_filter_stream(frames: DataFrame, cfg: FilterSettings = FilterSettings(), delay: str = "1 second", fps: float = 30.0, expire_after: float = 3600.0) -> DataFrame:
     """Streaming form: the state of each (session, camera) lives in the state store between micro-batches.
 
-    Within a micro-batch frames are applied in order; a frame at or before the state's frame restarts it.
+    Frames wait in the state until the watermark, `delay` behind the newest frame, has passed them and are then applied in
+    order, so the result depends on neither micro-batches nor the order of arrival; a frame later than `delay` is dropped.
+    The wait list holds `delay` of frames. A camera without frames for `expire_after` seconds of event time is forgotten.
     """
 
     def update(key, batches, handle):
-        state = None
+        state, waiting = None, []
         if handle.exists:
-            frame, person, xy, velocity, scores, valid = handle.get
-            to = lambda v: np.array([np.nan if x is None else x for x in v], float).reshape(-1, 2)
-            state = {"frame": frame, "person": person, "xy": to(xy), "velocity": to(velocity), "scores": np.array(scores, float), "valid": np.array(valid, bool)}
-        pdf = pd.concat(list(batches)).sort_values("sample_idx", kind="stable")
+            frame, person, xy, velocity, scores, valid, pending = handle.get
+            if frame is not None:
+                to = lambda v: np.array([np.nan if x is None else x for x in v], float).reshape(-1, 2)
+                state = {"frame": frame, "person": person, "xy": to(xy), "velocity": to(velocity), "scores": np.array(scores, float), "valid": np.array(valid, bool)}
+            if pending is not None:
+                waiting.append(pa.ipc.open_stream(bytes(pending)).read_pandas())
+        if handle.hasTimedOut and not waiting:
+            handle.remove()
+            return
+        waiting.extend(b[_COLUMNS] for b in batches)
+        pdf = pd.concat(waiting, ignore_index=True).sort_values("sample_idx", kind="stable")
+        at = lambda frame: ((frame + 1) * (1000.0 / fps)).astype("int64")
+        due = at(pdf["sample_idx"]) <= handle.getCurrentWatermarkMs()
         rows = []
-        for row in pdf.itertuples(index=False):
+        for row in pdf[due].itertuples(index=False):
             state = filter_step(state, row.sample_idx, row.person_id, *_frame_arrays(row), cfg)
             rows.append(_output(row, state))
-        handle.update(
-            (int(state["frame"]), int(state["person"]), _nullable(state["xy"].ravel()), _nullable(state["velocity"].ravel()), state["scores"].tolist(), state["valid"].tolist())
-        )
-        yield pd.DataFrame(rows, columns=_COLUMNS)
+        late = pdf[~due]
+        pending = _packed(late) if len(late) else None
+        if state is None:
+            handle.update((None, None, None, None, None, None, pending))
+        else:
+            handle.update((int(state["frame"]), int(state["person"]), _nullable(state["xy"].ravel()), _nullable(state["velocity"].ravel()), state["scores"].tolist(), state["valid"].tolist(), pending))
+        wake = int(at(late["sample_idx"]).min()) if len(late) else int((state["frame"] + 1) * (1000.0 / fps) + expire_after * 1000.0)
+        handle.setTimeoutTimestamp(max(wake, handle.getCurrentWatermarkMs() + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    return frames.groupBy("session_id", "camera_id").applyInPandasWithState(update, FRAME, STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = frames.withColumn("event_time", event_time("sample_idx", fps)).withWatermark("event_time", delay)
+    return timed.groupBy("session_id", "camera_id").applyInPandasWithState(update, FRAME, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- identity and boxes
@@ -165,125 +197,168 @@ class TrackSettings:
     image: tuple[int, int] = (1280, 720)
 
 
-def _center_size(box: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    return (box[:2] + box[2:]) / 2.0, np.maximum(box[2:] - box[:2], least)
-
-
-def _around(center: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return np.concatenate([center - size / 2.0, center + size / 2.0])
-
-
-def _inside(box: np.ndarray, image: tuple[int, int]) -> np.ndarray:
-    right, bottom = max(image[0] - 1, 0), max(image[1] - 1, 0)
-    return np.clip(box, 0.0, np.array([right, bottom, right, bottom], float))
-
-
-def pad_box(box: np.ndarray, padding: float, image: tuple[int, int]) -> np.ndarray:
-    center, size = _center_size(box, 2.0)
-    return _inside(_around(center, size * (1.0 + 2.0 * padding)), image)
-
-
-def steady_box(current: np.ndarray, previous: np.ndarray, stationary: float, motion_scale: float) -> np.ndarray:
-    """Blend towards the new box: weakly for jitter, fully for real motion or growth."""
-    (c, s), (pc, ps) = _center_size(current, 2.0), _center_size(previous, 2.0)
-    motion = np.linalg.norm(c - pc) / max(np.linalg.norm(ps), 2.0) + np.abs(np.log(s / ps)).max()
-    alpha = stationary + (1.0 - stationary) * min(motion / motion_scale, 1.0)
-    return _around(pc + alpha * (c - pc), ps + alpha * (s - ps))
-
-
-def tracked_box(previous: np.ndarray | None, candidate: np.ndarray, image: tuple[int, int], frames: int = 1) -> np.ndarray:
-    """Bounded update of a tracked box: limited centre step, slow shrinking, faster growing, gap aware."""
-    if previous is None:
-        return candidate.copy()
-    (pc, ps), (c, s) = _center_size(previous, 32.0), _center_size(candidate, 32.0)
-    dt = max(int(frames), 1)
-    step, reach = c - pc, 0.30 * np.linalg.norm(ps) * dt
-    far = np.linalg.norm(step)
-    if far > reach > 0.0:
-        step = step * (reach / far)
-    n = min(dt, 3)
-    bounded = ps * np.clip(s / ps, 0.75**n, 1.35**n)
-    rate = np.where(bounded >= ps, 1.0 - 0.75**dt, 1.0 - 0.92**dt)
-    return _inside(_around(pc + (1.0 - 0.65**dt) * step, ps + rate * (bounded - ps)), image)
-
-
-def best_detection(boxes: np.ndarray, conf: np.ndarray, minimum: float) -> int | None:
-    ok = np.flatnonzero(conf >= minimum)
-    if not len(ok):
-        return None
-    area = np.prod(np.maximum(boxes[ok, 2:] - boxes[ok, :2], 0.0), axis=1)
-    return int(ok[np.argmax(conf[ok] + 0.08 * np.sqrt(area / max(area.max(), 1.0)))])
-
-
-def track_step(state: dict, boxes, conf, ids, cfg: TrackSettings) -> tuple[dict, tuple | None]:
-    """Keep the active identity, re-acquire after a while, hold the last result until the buffer ends."""
-    boxes, conf, ids = np.array(boxes, float).reshape(-1, 4), np.array(conf, float), np.array(ids, int)
-    ok = np.isfinite(boxes).all(axis=1) & np.isfinite(conf) & (ids >= 0)
-    ok &= (boxes[:, 2] > boxes[:, 0]) & (boxes[:, 3] > boxes[:, 1])
-    boxes, conf, ids = boxes[ok], conf[ok], ids[ok]
-    active, missed, last = state.get("active"), state.get("missed", 0), state.get("last")
-    chosen = None
-    if active is None:
-        chosen = best_detection(boxes, conf, cfg.target_confidence)
-    elif (ids == active).any():
-        chosen = int(np.flatnonzero(ids == active)[0])
-    else:
-        missed += 1
-        if missed >= cfg.reacquire_after:
-            chosen = best_detection(boxes, conf, cfg.target_confidence)
-    if chosen is None:
-        state = {"active": active, "missed": missed, "last": last}
-        held = last is not None and missed <= cfg.lost_buffer
-        return state, ((*last, False) if held else None)
-    box = pad_box(boxes[chosen], cfg.padding, cfg.image)
-    if last is not None and last[2] == ids[chosen]:
-        box = steady_box(box, last[0], cfg.stationary_alpha, cfg.motion_scale)
-    last = (box, float(conf[chosen]), int(ids[chosen]))
-    return {"active": int(ids[chosen]), "missed": 0, "last": last}, (*last, True)
+# Fixed values of the box recurrences: least sides in pixels; reach of one frame's centre step in diagonals of the held box;
+# least and greatest growth of a frame, for three frames at most; what a frame keeps of the old centre, and of the old
+# size when it grows or shrinks; the weight of the area in a detection's score.
+LEAST_SIDE, LEAST_TRACKED_SIDE = 2.0, 32.0
+REACH = 0.30
+GROWTH, GROWTH_FRAMES = (0.75, 1.35), 3
+KEPT_CENTER, KEPT_GROWING, KEPT_SHRINKING = 0.65, 0.75, 0.92
+AREA_WEIGHT = 0.08
+
+#: Boxes as rows (x0, y0, x1, y1) times TO_CENTER are rows (centre, size); TO_CORNERS leads back.
+TO_CENTER = np.array([[0.5, 0.0, -1.0, 0.0], [0.0, 0.5, 0.0, -1.0], [0.5, 0.0, 1.0, 0.0], [0.0, 0.5, 0.0, 1.0]])
+TO_CORNERS = np.array([[1.0, 0.0, 1.0, 0.0], [0.0, 1.0, 0.0, 1.0], [-0.5, 0.0, 0.5, 0.0], [0.0, -0.5, 0.0, 0.5]])
+CORNERS = ["x0", "y0", "x1", "y1"]
+
+
+def _centred(boxes: np.ndarray, least: float) -> np.ndarray:
+    return np.maximum(boxes @ TO_CENTER, [-np.inf, -np.inf, least, least])
+
+
+def _diagonal(centred: np.ndarray) -> np.ndarray:
+    return np.hypot(centred[:, 2], centred[:, 3])
+
+
+def _inside(boxes: np.ndarray, image: tuple[int, int]) -> np.ndarray:
+    return np.clip(boxes, 0.0, np.tile(np.maximum(np.array(image, float) - 1.0, 0.0), 2))
+
+
+def padded(boxes: np.ndarray, padding: float, image: tuple[int, int]) -> np.ndarray:
+    wide = 1.0 + 2.0 * padding
+    return _inside((_centred(boxes, LEAST_SIDE) * [1.0, 1.0, wide, wide]) @ TO_CORNERS, image)
+
+
+def steadied(seen: np.ndarray, held: np.ndarray, still: float, motion_scale: float) -> np.ndarray:
+    """Held boxes drawn to the seen ones, with weight `still` at rest and 1 from `motion_scale` of movement and growth on."""
+    new, old = _centred(seen, LEAST_SIDE), _centred(held, LEAST_SIDE)
+    change = new - old
+    moved = np.hypot(change[:, 0], change[:, 1]) / np.maximum(_diagonal(old), LEAST_SIDE)
+    grown = np.abs(np.log(new[:, 2:] / old[:, 2:])).max(axis=1)
+    weight = np.interp((moved + grown) / motion_scale, [0.0, 1.0], [still, 1.0])
+    return (old + weight[:, None] * change) @ TO_CORNERS
+
+
+def followed(held: np.ndarray, seen: np.ndarray, gap: np.ndarray, image: tuple[int, int]) -> np.ndarray:
+    """Tracked boxes `gap` frames after `held`: part of the way to `seen`, with bounded steps and growth."""
+    old, new = _centred(held, LEAST_TRACKED_SIDE), _centred(seen, LEAST_TRACKED_SIDE)
+    gap = np.maximum(gap, 1)[:, None].astype(float)
+    way = new - old
+    length = np.hypot(way[:, :1], way[:, 1:2])
+    step = way[:, :2] * np.minimum(1.0, REACH * _diagonal(old)[:, None] * gap / np.maximum(length, 1e-300))
+    low, high = (old[:, 2:] * g ** np.minimum(gap, GROWTH_FRAMES) for g in GROWTH)
+    change = np.clip(new[:, 2:], low, high) - old[:, 2:]
+    kept = np.where(change >= 0.0, KEPT_GROWING, KEPT_SHRINKING) ** gap
+    out = old + np.hstack([(1.0 - KEPT_CENTER**gap) * step, (1.0 - kept) * change])
+    return _inside(out @ TO_CORNERS, image)
+
+
+def best_detections(dets: np.ndarray, usable: np.ndarray, minimum: float) -> np.ndarray:
+    """Position of each frame's best detection (confidence, and a little for area), -1 where none is sure enough."""
+    sure = usable & (dets[:, :, 4] >= minimum)
+    area = np.where(sure, np.prod(np.maximum(dets[:, :, 2:4] - dets[:, :, :2], 0.0), axis=2), 0.0)
+    score = dets[:, :, 4] + AREA_WEIGHT * np.sqrt(area / np.maximum(area.max(axis=1, keepdims=True), 1.0))
+    return np.where(sure.any(axis=1), np.where(sure, score, -np.inf).argmax(axis=1), -1)
+
+
+class Tracks:
+    """The tracked person of many series at once: id (-1: none yet), box, confidence and frames missed, a row per series."""
+
+    def __init__(self, cfg: TrackSettings):
+        self.cfg, self.id, self.missed = cfg, np.zeros(0, int), np.zeros(0, int)
+        self.box, self.conf = np.zeros((0, 4)), np.zeros(0)
+
+    def grow(self, n: int) -> None:
+        more = max(n - len(self.id), 0)
+        self.id, self.missed = np.append(self.id, np.full(more, -1)), np.append(self.missed, np.zeros(more, int))
+        self.box, self.conf = np.vstack([self.box, np.zeros((more, 4))]), np.append(self.conf, np.zeros(more))
+
+    def usable(self, dets: np.ndarray) -> np.ndarray:
+        return np.isfinite(dets).all(axis=2) & (dets[:, :, 5] >= 0) & (dets[:, :, 2] > dets[:, :, 0]) & (dets[:, :, 3] > dets[:, :, 1])
+
+    def step(self, at: np.ndarray, dets: np.ndarray, usable: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One frame of the series `at`, with their detections (n, k, 6); which of them have a result, and a detected one.
+
+        The tracked id is kept where it is seen, after `reacquire_after` missed frames the best detection replaces it, and
+        until `lost_buffer` missed frames the last box stands.
+        """
+        cfg, known = self.cfg, self.id[at] >= 0
+        same = usable & (dets[:, :, 5] == self.id[at][:, None])
+        seen = known & same.any(axis=1)
+        self.missed[at] += known & ~seen
+        free = ~known | (~seen & (self.missed[at] >= cfg.reacquire_after))
+        chosen = np.where(seen, same.argmax(axis=1), np.where(free, best, -1))
+        hit = chosen >= 0
+        slots, found = at[hit], dets[hit, chosen[hit]]
+        box = padded(found[:, :4], cfg.padding, cfg.image)
+        stays = self.id[slots] == found[:, 5]
+        box[stays] = steadied(box[stays], self.box[slots[stays]], cfg.stationary_alpha, cfg.motion_scale)
+        self.box[slots], self.conf[slots], self.id[slots], self.missed[slots] = box, found[:, 4], found[:, 5].astype(int), 0
+        return hit | (known & (self.missed[at] <= cfg.lost_buffer)), hit
 
 
 TRACK = "session_id int, camera_id string, sample_idx bigint, track_id int, confidence double, detected boolean, x0 double, y0 double, x1 double, y1 double"
 
 
-def select_identity(detections: DataFrame, cfg: TrackSettings = TrackSettings()) -> DataFrame:
+def _by_frame(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, list[np.ndarray]]]:
+    """Batches in frame order with each row's series number and the rows of each frame; a series is in a frame's rows once."""
+    numbers: dict[tuple, int] = {}
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        series = pdf.groupby(list(keys), sort=False, dropna=False)
+        own = [numbers.setdefault(k, len(numbers)) for k in pdf[list(keys)].drop_duplicates().itertuples(index=False, name=None)]
+        turn = pdf.groupby([*keys, "sample_idx"], sort=False, dropna=False).cumcount()
+        frames = pdf.groupby([pdf["sample_idx"], turn], sort=True).indices
+        yield pdf, np.array(own)[series.ngroup().to_numpy()], list(frames.values())
+
+
+def select_identity(detections: DataFrame, cfg: TrackSettings = TrackSettings(), keys: Sequence[str] = ("session_id", "camera_id")) -> DataFrame:
     """One tracked person per (session, camera, frame). ``detections`` has one row per frame with the
     frame's few boxes as dets array<struct<x0, y0, x1, y1, conf, track_id>>."""
-    ordered = detections.repartition("session_id", "camera_id").sortWithinPartitions("session_id", "camera_id", "sample_idx")
+    fields = [*CORNERS, "conf", "track_id"]
+    columns = [F.coalesce(F.col("dets")[f].cast("array<double>"), F.array().cast("array<double>")).alias(f) for f in fields]
+    ordered = detections.select(*keys, "sample_idx", *columns).repartition(*keys).sortWithinPartitions("sample_idx", *keys)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, {}
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                here = (row.session_id, row.camera_id)
-                state, key = (state if here == key else {}), here
-                dets = list(row.dets) if row.dets is not None else []
-                boxes = [[d["x0"], d["y0"], d["x1"], d["y1"]] for d in dets]
-                state, found = track_step(state, boxes, [d["conf"] for d in dets], [d["track_id"] for d in dets], cfg)
-                if found is not None:
-                    rows.append((*here, row.sample_idx, found[2], found[1], found[3], *map(float, found[0])))
-            yield pd.DataFrame(rows, columns=["session_id", "camera_id", "sample_idx", "track_id", "confidence", "detected", "x0", "y0", "x1", "y1"])
+        tracks = Tracks(cfg)
+        for pdf, series, frames in _by_frame(batches, keys):
+            tracks.grow(series.max() + 1)
+            size = pdf["x0"].str.len().to_numpy(int)
+            dets = np.full((len(pdf), max(size.max(), 1), len(fields)), np.nan)
+            here = np.arange(dets.shape[1]) < size[:, None]
+            for k, f in enumerate(fields):
+                dets[here, k] = np.concatenate(pdf[f].to_numpy()).astype(float)
+            usable = tracks.usable(dets)
+            best = best_detections(dets, usable, cfg.target_confidence)
+            shown, found = np.zeros(len(pdf), bool), np.zeros(len(pdf), bool)
+            ids, conf, box = np.zeros(len(pdf), int), np.zeros(len(pdf)), np.zeros((len(pdf), 4))
+            for rows in frames:
+                at = series[rows]
+                shown[rows], found[rows] = tracks.step(at, dets[rows], usable[rows], best[rows])
+                ids[rows], conf[rows], box[rows] = tracks.id[at], tracks.conf[at], tracks.box[at]
+            out = pdf[[*keys, "sample_idx"]].assign(track_id=ids, confidence=conf, detected=found, **dict(zip(CORNERS, box.T)))
+            yield out[shown]
 
     return ordered.mapInPandas(scan, TRACK)
 
 
 def track_boxes(boxes: DataFrame, image: tuple[int, int] = (1280, 720), keys: Sequence[str] = ("session_id", "camera_id")) -> DataFrame:
     """Sequentially updated box per camera from candidate boxes (columns x0, y0, x1, y1)."""
-    ordered = boxes.repartition(*keys).sortWithinPartitions(*keys, "sample_idx")
+    ordered = boxes.select(*keys, "sample_idx", *CORNERS).repartition(*keys).sortWithinPartitions("sample_idx", *keys)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last, at = None, None, None
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                here = (row.session_id, row.camera_id)
-                if here != key:
-                    key, last, at = here, None, None
-                last = tracked_box(last, np.array([row.x0, row.y0, row.x1, row.y1], float), image, 1 if at is None else row.sample_idx - at)
-                at = row.sample_idx
-                rows.append((*here, row.sample_idx, *map(float, last)))
-            yield pd.DataFrame(rows, columns=["session_id", "camera_id", "sample_idx", "x0", "y0", "x1", "y1"])
-
-    return ordered.select(*keys, "sample_idx", "x0", "y0", "x1", "y1").mapInPandas(
-        scan, "session_id int, camera_id string, sample_idx bigint, x0 double, y0 double, x1 double, y1 double"
-    )
+        held, last = np.zeros((0, 4)), np.zeros(0, int)
+        for pdf, series, frames in _by_frame(batches, keys):
+            more = max(series.max() + 1 - len(held), 0)
+            held, last = np.vstack([held, np.full((more, 4), np.nan)]), np.append(last, np.zeros(more, int))
+            seen, frame = pdf[CORNERS].to_numpy(float), pdf["sample_idx"].to_numpy(int)
+            out = np.empty_like(seen)
+            for rows in frames:
+                at = series[rows]
+                next_box = followed(held[at], seen[rows], frame[rows] - last[at], image)
+                held[at] = np.where(np.isnan(held[at, :1]), seen[rows], next_box)
+                last[at], out[rows] = frame[rows], held[at]
+            yield pdf[[*keys, "sample_idx"]].assign(**dict(zip(CORNERS, out.T)))
+
+    return ordered.mapInPandas(scan, "session_id int, camera_id string, sample_idx bigint, x0 double, y0 double, x1 double, y1 double")
