@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from trajekt.operators.quantiles import exact_quantiles, median_mad, value_bucket, weighted_median
+from trajekt.operators.quantiles import _parts, exact_quantiles, median_mad, value_bucket, weighted_median
 
 PROBS = {"p0": 0.0, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p95": 0.95, "p100": 1.0}
 
@@ -50,3 +50,22 @@ def test_median_mad_and_weighted_median(spark, values):
     cum = np.cumsum(w[w > 0][order])
     want = v[w > 0][order][np.searchsorted(cum, 0.5 * cum[-1])]
     assert weighted_median(df, ["k"], F.col("v"), F.col("w")).first()["weighted_median"] == want
+
+
+def test_infinities_and_nan_count_as_missing(spark):
+    rows = [("n", v) for v in (1.0, float("nan"), 3.0, 5.0)] + [("i", v) for v in (1.0, float("inf"), 3.0, float("-inf"))] + [("x", float("nan"))]
+    got = {r.k: r.m for r in exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], F.col("v"), {"m": 0.5}).collect()}
+    assert got == {"n": 3.0, "i": 2.0}
+
+
+def test_values_crowded_in_one_bucket_are_exact_and_split(spark):
+    n = 200_000
+    df = spark.range(n).select((1003.0 + F.pmod(F.col("id") * 7919, F.lit(n)) / (n / 5.0)).alias("v"))
+    got = exact_quantiles(df, [], F.col("v"), PROBS).first()
+    want = 1003.0 + np.arange(n) / (n / 5.0)
+    assert df.select(value_bucket(F.col("v"))).distinct().count() == 1
+    for name, p in PROBS.items():
+        assert got[name] == pytest.approx(np.percentile(want, 100 * p), rel=1e-12)
+    counts = df.select(F.col("v").alias("__v"), value_bucket(F.col("v")).alias("__b"), F.lit(1).alias("__m"))
+    bounds = counts.groupBy("__b").agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    assert _parts(counts, bounds, []).groupBy("__p").count().agg(F.max("count")).first()[0] < n / 2000

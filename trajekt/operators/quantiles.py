@@ -1,8 +1,9 @@
 """Exact quantiles of groups too large for one task.
 
 ``percentile`` keeps every distinct value of a group in memory. Here values are counted first
-(map-side combined), a coarse order-preserving bucket finds where each wanted rank falls, and
-only that bucket is ordered exactly. Linear interpolation between the two neighbouring ranks.
+(map-side combined), a coarse order-preserving bucket finds where each wanted rank falls, an even
+split of that bucket's own range narrows it down, and only the part with the rank is ordered exactly.
+Linear interpolation between the two neighbouring ranks. NaN and infinities count as missing.
 """
 
 from __future__ import annotations
@@ -12,6 +13,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import finite
+
+#: Even parts of a bucket; values that crowd in one bucket still spread over them.
+PARTS = 4096
+
 
 def value_bucket(value: Column, per_octave: int = 64) -> Column:
     """Monotone bucket number: logarithmic in the magnitude, so at most ~2·2100·per_octave buckets exist."""
@@ -20,12 +26,19 @@ def value_bucket(value: Column, per_octave: int = 64) -> Column:
     return F.when(value > 0, level).when(value < 0, -level).otherwise(F.lit(0)).cast("int")
 
 
+def _parts(counts: DataFrame, buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The counted values of the wanted buckets with the even part __p of their bucket that holds them."""
+    share = (F.col("__v") - F.col("__low")) / (F.col("__high") - F.col("__low"))
+    part = F.when(F.col("__high") > F.col("__low"), F.least(F.floor(share * PARTS), F.lit(PARTS - 1))).otherwise(0).cast("int")
+    return counts.join(buckets, [*keys, "__b"]).withColumn("__p", part).drop("__low", "__high")
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: Column, probs: Mapping[str, float]
 ) -> DataFrame:
     """One row per key with one column per wanted quantile; groups without values do not appear."""
     keys = list(keys)
-    source = df.select(*keys, value.cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    source = df.select(*keys, finite(value.cast("double")).alias("__v")).where(F.col("__v").isNotNull())
     counts = (
         source.withColumn("__b", value_bucket(F.col("__v")))
         .groupBy(*keys, "__b", "__v")
@@ -35,7 +48,7 @@ def exact_quantiles(
     by_bucket = Window.partitionBy(*anchor).orderBy("__b")
     histogram = (
         counts.groupBy(*keys, "__b")
-        .agg(F.sum("__m").alias("__n"))
+        .agg(F.sum("__m").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
         .withColumn("__before", F.coalesce(F.sum("__n").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("__total", F.sum("__n").over(Window.partitionBy(*anchor)))
     )
@@ -51,9 +64,12 @@ def exact_quantiles(
     for p in probs.values():
         low, high, _ = ranks(p)
         wanted = wanted | inside(low, F.col("__before"), F.col("__n")) | inside(high, F.col("__before"), F.col("__n"))
-    targets = histogram.where(wanted).drop("__n")
-    ordered = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    exact = counts.join(targets, [*keys, "__b"]).withColumn(
+    near = _parts(counts, histogram.where(wanted).drop("__n"), keys)
+    by_part = Window.partitionBy(*keys, "__b").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = near.groupBy(*keys, "__b", "__p").agg(F.sum("__m").alias("__n"), F.max("__before").alias("__before"), F.max("__total").alias("__total"))
+    parts = parts.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__n").over(by_part), F.lit(0))).where(wanted).drop("__n")
+    ordered = Window.partitionBy(*keys, "__b", "__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    exact = near.drop("__before", "__total").join(parts, [*keys, "__b", "__p"]).withColumn(
         "__start", F.col("__before") + F.coalesce(F.sum("__m").over(ordered), F.lit(0))
     )
     aggregates = []
@@ -90,7 +106,7 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: Column, weight: C
     """Smallest value whose cumulative weight reaches half of the total; not interpolated."""
     keys = list(keys)
     counts = (
-        df.select(*keys, value.cast("double").alias("__v"), weight.cast("double").alias("__w"))
+        df.select(*keys, finite(value.cast("double")).alias("__v"), finite(weight.cast("double")).alias("__w"))
         .where("__v IS NOT NULL AND __w > 0")
         .withColumn("__b", value_bucket(F.col("__v")))
         .groupBy(*keys, "__b", "__v").agg(F.sum("__w").alias("__m"))
