@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.numeric import count_where, fixed
 from ..functions.skeleton import GROUP_RANGES, J
+from ..operators.blocks import expand_range
 from ..operators import movement as H
 from ..operators.quantiles import exact_quantiles
 from ..session import materialise
@@ -33,13 +34,15 @@ def whole_frames(spark, sf):
 
 
 def movements(spark, sf):
-    """Eight-frame movements with anchors, executing side, technique and stance from their ordinal."""
+    """Eight-frame movements, the last one as long as the frames that are left, with anchors (inside the movement),
+    executing side, technique and stance from their ordinal."""
     n = T.frames(spark, sf).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-    m = n.where("n >= 8").select("session_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 8) - 1)).alias("movement"))
+    m = expand_range(n, ["session_id"], F.lit(0), F.floor((F.col("n") - 1) / 8), "movement")
     s, k = F.col("movement") * 8, F.col("movement") % 4
+    at = lambda frame: F.least(s + frame, F.col("n") - 1)
     return m.select(
-        "session_id", "movement", s.alias("start_frame"), (s + 7).alias("end_frame"), (s + 1).alias("preparation"), (s + 4).alias("execution"), (s + 5).alias("fixation"),
-        F.when(k == 3, s + 3).alias("kick_apex"), F.when(k == 3, s + 4).alias("rechamber"), F.when(F.col("movement") % 2 == 0, "left").otherwise("right").alias("side"),
+        "session_id", "movement", s.alias("start_frame"), at(7).alias("end_frame"), at(1).alias("preparation"), at(4).alias("execution"), at(5).alias("fixation"),
+        F.when(k == 3, at(3)).alias("kick_apex"), F.when(k == 3, at(4)).alias("rechamber"), F.when(F.col("movement") % 2 == 0, "left").otherwise("right").alias("side"),
         F.when(F.floor(F.col("movement") / 2) % 2 == 0, "left").otherwise("right").alias("stance_side"),
         F.when(k == 0, "punch").when(k == 1, "low_block").when(k == 2, "high_block").otherwise("kick_punch").alias("technique"),
         F.when(F.col("movement") % 3 == 0, "walking").otherwise("long").alias("stance_family"),
@@ -69,9 +72,9 @@ def _pt(j: int, a: int, vec: str = "vec_id") -> str:
 
 SQL_MOVES = f"""f0 AS (SELECT vec_id, label AS session_id, embedding AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS sample_idx FROM embeddings),
 nn AS (SELECT session_id, count(*) AS n FROM f0 GROUP BY ALL),
-mv AS (SELECT session_id, m AS movement, m * 8 AS start_frame, m * 8 + 7 AS end_frame, m * 8 + 1 AS preparation, m * 8 + 4 AS execution, m * 8 + 5 AS fixation, CASE WHEN m % 4 = 3 THEN m * 8 + 3 END AS kick_apex, CASE WHEN m % 4 = 3 THEN m * 8 + 4 END AS rechamber,
+mv AS (SELECT session_id, m AS movement, m * 8 AS start_frame, least(m * 8 + 7, n - 1) AS end_frame, least(m * 8 + 1, n - 1) AS preparation, least(m * 8 + 4, n - 1) AS execution, least(m * 8 + 5, n - 1) AS fixation, CASE WHEN m % 4 = 3 THEN least(m * 8 + 3, n - 1) END AS kick_apex, CASE WHEN m % 4 = 3 THEN least(m * 8 + 4, n - 1) END AS rechamber,
  CASE WHEN m % 2 = 0 THEN 'left' ELSE 'right' END AS side, CASE WHEN m // 2 % 2 = 0 THEN 'left' ELSE 'right' END AS stance_side, CASE m % 4 WHEN 0 THEN 'punch' WHEN 1 THEN 'low_block' WHEN 2 THEN 'high_block' ELSE 'kick_punch' END AS technique,
- CASE WHEN m % 3 = 0 THEN 'walking' ELSE 'long' END AS stance_family FROM nn, unnest(range(0, n // 8)) u(m) WHERE n >= 8),
+ CASE WHEN m % 3 = 0 THEN 'walking' ELSE 'long' END AS stance_family FROM nn, unnest(range(0, (n + 7) // 8)) u(m)),
 lf AS (SELECT mv.*, vec_id, e, sample_idx FROM mv JOIN f0 ON f0.session_id = mv.session_id AND sample_idx BETWEEN start_frame AND end_frame),
 js AS (SELECT CAST(unnest(range({ALL})) AS INTEGER) AS j),
 lp AS (SELECT session_id, movement, sample_idx, j, {', '.join(f"CASE WHEN {T._hidden('vec_id', 'j')} THEN NULL ELSE CAST(e[(3 * j + {a} + j // 17) % 64 + 1] AS DOUBLE) END AS {c}" for a, c in enumerate('xyz'))} FROM lf, js)"""
@@ -503,7 +506,7 @@ def h25(spark, sf):
 
 @query(
     "h26_movement_evidence",
-    f"""WITH {T.SQL_LONG}, mv AS (SELECT session_id, m AS movement, m * 8 AS lo, m * 8 + 7 AS hi, m * 8 + 5 AS fx FROM (SELECT session_id, count(*) AS n FROM f0 GROUP BY ALL), unnest(range(0, n // 8)) u(m)),
+    f"""WITH {T.SQL_LONG}, mv AS (SELECT session_id, m AS movement, m * 8 AS lo, least(m * 8 + 7, n - 1) AS hi, least(m * 8 + 5, n - 1) AS fx FROM (SELECT session_id, count(*) AS n FROM f0 GROUP BY ALL), unnest(range(0, (n + 7) // 8)) u(m)),
 l AS (SELECT mv.*, sample_idx, x, used_cameras, reproj_px FROM mv JOIN p3 ON p3.session_id = mv.session_id AND sample_idx BETWEEN lo AND hi),
 s AS (SELECT session_id, movement, avg(CASE WHEN x IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS r, median(used_cameras) AS c, median(reproj_px) AS e, avg(CASE WHEN x IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (WHERE sample_idx = fx) AS ar, median(used_cameras) FILTER (WHERE sample_idx = fx) AS ac FROM l GROUP BY ALL)
 SELECT session_id, movement, {r6('r')} AS valid_ratio, {r6('c')} AS median_cameras, {r6('e')} AS median_error_px, CASE WHEN r >= 0.9 AND c >= 2 THEN 'observed' WHEN r >= 0.7 THEN 'partial' ELSE 'not_measurable' END AS segment_status,
