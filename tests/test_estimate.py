@@ -46,6 +46,27 @@ def test_points_are_recovered_and_a_bad_camera_is_left_out(spark, rigs):
         assert r.used_views == (["c0", "c1", "c3"] if i % 3 == 0 else ["c0", "c1", "c2", "c3"])
 
 
+def test_the_only_clean_pairs_may_have_the_lowest_scores():
+    rng = np.random.default_rng(9)
+    angles = np.arange(9) * 0.6
+    mats = []
+    for a in angles:
+        r = np.array([[np.cos(a), 0.0, np.sin(a)], [0.0, 1.0, 0.0], [-np.sin(a), 0.0, np.cos(a)]])
+        mats.append(K @ np.hstack([r, [[0.1 * np.sin(a)], [0.0], [4.0]]]))
+    mats = np.broadcast_to(np.array(mats), (20, 9, 3, 4))
+    world = rng.uniform(-0.5, 0.5, (20, 3))
+    h = np.einsum("bnij,bj->bni", mats, np.hstack([world, np.ones((20, 1))]))
+    pixels = h[..., :2] / h[..., 2:]
+    # four of nine cameras are far off, in different directions, and have the best scores: 26 pairs rank above the first clean one
+    pixels[:, :4] += np.array([[300.0, 500.0], [-450.0, 260.0], [520.0, -410.0], [-280.0, -640.0]])
+    scores = np.tile(np.r_[np.full(4, 0.99), np.full(5, 0.4)], (20, 1))
+    ks = np.broadcast_to(K, (20, 9, 3, 3))
+    xyz, _, mask, _ = D.solve_views(pixels, mats, ks, scores, 2, 25.0)
+    assert np.allclose(xyz, world, atol=1e-6)
+    assert not mask[:, :4].any() and mask[:, 4:].all()
+    assert np.isnan(D.solve_views(pixels, mats, ks, scores, 2, 25.0, max_hypotheses=6)[0]).all()
+
+
 def test_refinement_lowers_pixel_error(spark, rigs):
     rng = np.random.default_rng(4)
     rows = []

@@ -57,7 +57,7 @@ def _residuals(xyz: np.ndarray, pixels: np.ndarray, mats: np.ndarray) -> tuple[n
     return np.where(ok, np.linalg.norm(uv - pixels, axis=-1), np.inf), w
 
 
-def _refine(xyz: np.ndarray, pixels: np.ndarray, mats: np.ndarray, use: np.ndarray, scale: float, steps: int = 20) -> np.ndarray:
+def _refine(xyz: np.ndarray, pixels: np.ndarray, mats: np.ndarray, use: np.ndarray, scale: float, steps: int = 60) -> np.ndarray:
     """Robust Gauss-Newton on the pixel residuals (soft-L1 weights), damped by accepting only improvements."""
     point = xyz.copy()
 
@@ -97,12 +97,13 @@ def _max_ray_angle(xyz: np.ndarray, mats: np.ndarray, use: np.ndarray) -> np.nda
 
 def solve_views(
     pixels: np.ndarray, mats: np.ndarray, intrinsics: np.ndarray, scores: np.ndarray,
-    min_views: int, max_error: float, max_hypotheses: int, refine: bool = True,
+    min_views: int, max_error: float, max_hypotheses: int | None = None, refine: bool = True,
 ):
     """Robust points for a stack with the same number of views: (xyz, conditioning, inlier mask, mean error); NaN = none.
 
-    Camera pairs propose points, views vote on them, the best-supported proposal is re-solved on its
-    inliers, refined and checked again.
+    Camera pairs propose points, one pair of every point at a time and the best-scored first, views vote on them, the
+    best-supported proposal is re-solved on its inliers, refined and checked again. Every pair proposes unless
+    ``max_hypotheses`` asks for fewer.
     """
     b, n = scores.shape
     needed = min_views if n <= 3 else max(min_views, n // 2 + 1)
@@ -162,12 +163,14 @@ def solve_views(
 
 def triangulate(
     packed: DataFrame, rigs: DataFrame, session: str, keep: Sequence[str], min_views: int = 2,
-    max_error: float = 25.0, max_hypotheses: int = 16, refine: bool = True,
+    max_error: float = 25.0, max_hypotheses: int | None = None, refine: bool = True,
 ) -> DataFrame:
     """Robust 3D point of every packed row with enough agreeing views. ``rigs`` has one row per session:
     cams array<struct<camera_id, k, p>>; it joins after packing, so matrices are never shuffled per view."""
     kinds = dict(packed.dtypes)
     rows = packed.where(F.size("views") >= min_views).join(rigs, session)
+    place = F.transform("views", lambda v: F.coalesce(F.array_position(F.col("cams.camera_id"), v["camera_id"]), F.lit(0)))
+    rows = rows.withColumn("__place", place)
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in keep], POINT_FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,15 +181,11 @@ def triangulate(
             u, v, s = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("u", "v", "s"))
             names = np.array(flat.field("camera_id").to_pylist(), dtype=object)
             coffs, cflat = cams.offsets.to_numpy(), cams.values
-            cnames = cflat.field("camera_id").to_pylist()
             k = cflat.field("k").flatten().to_numpy(zero_copy_only=False).reshape(-1, 3, 3)
             p = cflat.field("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, 3, 4)
-            index = np.empty(len(names), dtype=np.int64)
-            for i in range(batch.num_rows):
-                lookup = {c: j for j, c in enumerate(cnames[coffs[i]:coffs[i + 1]], start=coffs[i])}
-                for j in range(offs[i], offs[i + 1]):
-                    index[j] = lookup.get(names[j], -1)
             count = np.diff(offs)
+            place = batch.column("__place").flatten().to_numpy()
+            index = np.where(place > 0, np.repeat(coffs[:-1], count) + place - 1, -1)
             order, parts = [], []
             for n in np.unique(count):
                 who = np.flatnonzero(count == n)

@@ -17,14 +17,16 @@ from ..functions.skeleton import GROUP_RANGES, J
 from .blocks import expand_range, with_halo
 from .quantiles import attach, exact_quantiles
 
-# Position of each hand point inside its 21-point block.
-HAND = {
-    n: i
-    for i, n in enumerate(
-        "wrist thumb_cmc thumb_mcp thumb_ip thumb_tip index_mcp index_pip index_dip index_tip middle_mcp middle_pip middle_dip "
-        "middle_tip ring_mcp ring_pip ring_dip ring_tip pinky_mcp pinky_pip pinky_dip pinky_tip".split()
-    )
-}
+# The hand points in the order of their 21-point block.
+HAND_POINTS = (
+    "wrist",
+    "thumb_cmc", "thumb_mcp", "thumb_ip", "thumb_tip",
+    "index_mcp", "index_pip", "index_dip", "index_tip",
+    "middle_mcp", "middle_pip", "middle_dip", "middle_tip",
+    "ring_mcp", "ring_pip", "ring_dip", "ring_tip",
+    "pinky_mcp", "pinky_pip", "pinky_dip", "pinky_tip",
+)
+HAND = {name: i for i, name in enumerate(HAND_POINTS)}
 # Foot points.
 FOOT = {"left": (17, 18, 19), "right": (20, 21, 22)}  # big toe, small toe, heel
 # Eye contours and brows inside the face block that starts at 23.
