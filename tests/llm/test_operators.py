@@ -238,6 +238,23 @@ def test_toxicity_finds_held_out_texts(spark, empty):
     assert toxicity.score_toxicity(empty, labels).count() == 0
 
 
+def test_every_gram_of_the_models_scores(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "".join(map(chr, rng.integers(97, 123, 3000))), i % 2) for i in range(60)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    counts = texts.select("text", "toxic").mapInArrow(toxicity._counted(6), "g long, c0 long, c1 long").groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    models = toxicity.language_models(counts)
+    value = {r["g"]: r["llr"] for r in models.collect()}
+    grams = lambda t: [int.from_bytes(t[j : j + 6].encode(), "big") for j in range(len(t) - 5)]
+    want = [sum(value[g] for g in grams(t)) / (len(t) - 5 + toxicity.PRIOR_LENGTH) for _, t, _ in rows]
+    # one slice, some, and more than a worker keeps
+    for most in (1 << 21, 60_000, 20_000):
+        parts = toxicity.scoring_table(models, most)
+        got = texts.mapInArrow(toxicity._ratios(parts, 6, ["doc_id"]), "doc_id long, ratio double")
+        got = {r["doc_id"]: r["ratio"] for r in got.collect()}
+        assert [got[i] for i, *_ in rows] == pytest.approx(want, abs=1e-5), len(parts)
+
+
 def test_packing_round_trip(docs):
     tokens = packing.Tokens(__import__("public_tokenizers").path("byte_bpe_50k.json"))
     parts = packing.pieces(docs, length=512, with_ids=True)

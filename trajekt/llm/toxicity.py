@@ -16,8 +16,10 @@ from trajekt.session import materialise
 
 ORDER = 6
 DISCOUNT = 0.75
-#: Slots of the scoring table: 2^22 values and tags, 24 MB, however large the corpus. A slot keeps its most frequent gram.
-SLOT_BITS = 22
+#: Entries in a slice of the scoring table, about 40 MB with their index: more grams make more slices, not larger ones.
+SLICE = 1 << 21
+#: Slices that a worker keeps in memory. Those of a longer table are read one after the other for each run of texts.
+HELD = 6
 #: Added to a text's length, so that a few bytes are no evidence.
 PRIOR_LENGTH = 64
 THRESHOLD = 0.7
@@ -89,7 +91,7 @@ def _counted(order: int, most: int = 1 << 20):
 
 
 def language_models(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(g, n, llr) for each gram: log P(last byte | the bytes before, toxic) - log of the same for the other class.
+    """(g, llr) for each gram: log P(last byte | the bytes before, toxic) - log of the same for the other class.
 
     Orders from the highest to 2 are of the class: text counts, then continuation counts (in how many places of the order above a
     gram ends). What discounts leave goes to the order below, and last to the continuation counts of both classes together,
@@ -111,58 +113,101 @@ def language_models(counts: DataFrame, order: int = ORDER) -> DataFrame:
             own = own.withColumn(f"s{c}", F.sum(f"n{c}").over(context)).withColumn(f"d{c}", F.count(F.when(F.col(f"n{c}") > 0, 1)).over(context))
         own = own.join(lower, F.col("g").bitwiseAND(F.lit(mask)) == F.col("low"))
         p = [F.when(F.col(f"s{c}") > 0, (F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"d{c}") * F.col(f"p{c}")) / F.col(f"s{c}")).otherwise(F.col(f"p{c}")) for c in (0, 1)]
-        lower = own.select(F.col("g").alias("low"), p[0].alias("p0"), p[1].alias("p1"), (F.col("n0") + F.col("n1")).alias("n"))
+        lower = own.select(F.col("g").alias("low"), p[0].alias("p0"), p[1].alias("p1"))
         if k < order:
-            lower = materialise(lower.drop("n"), "shared")
-    return lower.select(F.col("low").alias("g"), "n", F.log(F.col("p1") / F.col("p0")).alias("llr"))
+            lower = materialise(lower, "shared")
+    return lower.select(F.col("low").alias("g"), F.log(F.col("p1") / F.col("p0")).alias("llr"))
 
 
-def placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and 16-bit tag of each gram."""
+def built(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A slice: entries by hash, and where those of each bucket start. There are about as many buckets as entries."""
     mixed = W.mix(keys)
-    return (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64), (mixed & np.uint64(0xFFFF)).astype(np.uint16)
+    bits = max(1, len(keys).bit_length())
+    order = np.argsort(mixed)
+    starts = np.zeros((1 << bits) + 1, np.uint32)
+    np.cumsum(np.bincount((mixed >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), out=starts[1:])
+    return starts, keys[order], values[order].astype(np.float32)
+
+
+def found(part: tuple, keys: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Value of each key, 0 for those that the slice doesn't have, and which it has. Whole keys are compared."""
+    starts, own, values = part
+    home = (mixed >> np.uint64(64 - (len(starts).bit_length() - 1))).astype(np.int64)
+    at, ends = starts[home].astype(np.int64), starts[home + 1].astype(np.int64)
+    out, hit = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+    left = np.flatnonzero(at < ends)
+    while len(left):
+        place = at[left]
+        same = own[place] == keys[left]
+        out[left[same]], hit[left[same]] = values[place[same]], True
+        at[left] += 1
+        left = left[~same & (place + 1 < ends[left])]
+    return out, hit
 
 
 @dataclass
 class Scorer:
-    """values and tags by slot; a and b turn a length-normalised log-likelihood ratio into a probability."""
+    """parts are broadcast slices of the scoring table; every gram of the models is in one of them."""
 
-    values: np.ndarray
-    tags: np.ndarray
+    parts: list
     order: int = ORDER
-    a: float = 0.0
-    b: float = 0.0
+
+    @property
+    def most_bytes(self) -> int:
+        """Texts scored together: many where slices are read again for each run of texts."""
+        return 1 << 20 if len(self.parts) <= HELD else 1 << 24
+
+    def entries(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mixed = W.mix(keys)
+        if len(self.parts) == 1:
+            return found(self.parts[0].value, keys, mixed)
+        out, hit = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        own = (mixed % np.uint64(len(self.parts))).astype(np.int32)
+        by_slice = np.argsort(own, kind="stable")
+        edges = np.searchsorted(own[by_slice], np.arange(len(self.parts) + 1))
+        for i, part in enumerate(self.parts):
+            at = by_slice[edges[i] : edges[i + 1]]
+            if len(at):
+                out[at], hit[at] = found(part.value, keys[at], mixed[at])
+                if len(self.parts) > HELD:
+                    part.__dict__.pop("_value", None)
+        return out, hit
 
     def ratios(self, w: W.Words) -> np.ndarray:
         keys, counts = grams(w, self.order)
-        slots, tags = placed(keys)
-        found = np.where(self.tags[slots] == tags, self.values[slots], 0)
-        sums = np.concatenate(([0.0], np.cumsum(found, dtype=np.float64)))
+        sums = np.concatenate(([0.0], np.cumsum(self.entries(keys)[0], dtype=np.float64)))
         ends = np.cumsum(counts)
         return (sums[ends] - sums[ends - counts]) / (counts + PRIOR_LENGTH)
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, tags = placed(batch["g"].to_numpy().view(np.uint64))
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(at.astype(np.int32)), "tag": pa.array(tags.astype(np.int32)), "g": batch["g"], "n": batch["n"], "llr": batch["llr"]})
+def _cut(slices: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = W.mix(batch["g"].to_numpy().view(np.uint64)) % np.uint64(slices)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(own.astype(np.int32)), "g": batch["g"], "llr": batch["llr"].cast(pa.float32())})
+
+    return run
 
 
-def scoring_table(models: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Values and tags by slot, from at most 2^SLOT_BITS rows: the only part of the models that the driver sees."""
-    rows = models.mapInArrow(_placed, "slot int, tag int, g long, n long, llr double")
-    best = rows.groupBy("slot").agg(F.max(F.struct("n", "g", "tag", "llr")).alias("m")).select("slot", "m.tag", F.col("m.llr").cast("float").alias("llr")).toArrow()
-    values, tags = np.zeros(1 << SLOT_BITS, np.float32), np.zeros(1 << SLOT_BITS, np.uint16)
-    at = best["slot"].to_numpy()
-    values[at], tags[at] = best["llr"].to_numpy(), best["tag"].to_numpy().astype(np.uint16)
-    return values, tags
+def scoring_table(models: DataFrame, most: int = SLICE) -> list:
+    """Broadcast slices by hash that hold every row of the models (g, llr). The driver sees one slice at a time, of about `most` rows."""
+    models = materialise(models.select("g", "llr"), "models")
+    slices = max(1, -(-models.count() // most))
+    rows = models.mapInArrow(_cut(slices), "slice int, g long, llr float")
+    if slices > 1:
+        rows = materialise(rows.sortWithinPartitions("slice"), "slices")
+    parts = []
+    for i in range(slices):
+        own = rows.where(F.col("slice") == i).select("g", "llr").toArrow()
+        parts.append(models.sparkSession.sparkContext.broadcast(built(own["g"].to_numpy().view(np.uint64), own["llr"].to_numpy())))
+    return parts
 
 
-def _ratios(shared, order: int, others: list[str]):
+def _ratios(parts: list, order: int, others: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value, order)
+        scorer = Scorer(parts, order)
         for batch in batches:
-            ratio = [scorer.ratios(w) for _, _, w in W.chunks(batch["text"])]
+            ratio = [scorer.ratios(w) for _, _, w in W.chunks(batch["text"], scorer.most_bytes)]
             yield pa.RecordBatch.from_pydict({c: batch[c] for c in others} | {"ratio": pa.array(np.concatenate(ratio) if ratio else np.zeros(0))})
 
     return run
@@ -197,7 +242,7 @@ def calibration(binned: DataFrame) -> tuple[float, float]:
     return float(at[0] + shift), float(at[1] / scale)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, order: int = ORDER) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, order: int = ORDER, most: int = SLICE) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text); the score is a function of the text alone.
 
     Rows of `labels` (doc_id, toxic) whose crc32(doc_id as text) mod 3 is 0 teach the language models, those of remainder 2 the
@@ -205,7 +250,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     have ratio 0. Labels of fewer than two classes give 0.5 everywhere. Text moves only to meet labels, and only where these
     are too many to broadcast.
     """
-    spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = materialise(known.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 1").withColumnRenamed("doc_id", "__id"), "labels")
 
@@ -215,8 +259,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
     counts = labelled(0).mapInArrow(_counted(order), "g long, c0 long, c1 long").groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     counts = materialise(counts, "counts")
-    values, tags = scoring_table(language_models(counts, order))
-    shared = spark.sparkContext.broadcast((values, tags))
+    shared = scoring_table(language_models(counts, order), most)
     second = labelled(2).mapInArrow(_ratios(shared, order, ["toxic"]), "toxic int, ratio double")
     a, b = calibration(second.groupBy(F.floor(F.col("ratio") * BINS).cast("int").alias("bin"), "toxic").agg(F.count(F.lit(1)).alias("n")))
     scored = docs.select("doc_id", "text").mapInArrow(_ratios(shared, order, ["doc_id"]), f"doc_id {dict(docs.dtypes)['doc_id']}, ratio double")
