@@ -238,21 +238,48 @@ def test_toxicity_finds_held_out_texts(spark, empty):
     assert toxicity.score_toxicity(empty, labels).count() == 0
 
 
-def test_every_gram_of_the_models_scores(spark):
+def brute_models(texts, order=6, discount=toxicity.DISCOUNT):
+    """log P(last byte of g | bytes before, toxic) - the same for the other class of texts (text, toxic), for any g, by recursion."""
+    tables = {order: [Counter(), Counter()]}
+    for t, c in texts:
+        tables[order][c].update(t[j : j + order] for j in range(len(t) - order + 1))
+    for k in range(order - 1, 0, -1):
+        tables[k] = [Counter(g[1:] for g in tables[k + 1][c]) for c in (0, 1)]
+    sums = {k: [[Counter(), Counter()], [Counter(), Counter()]] for k in tables}
+    for k in tables:
+        for c in (0, 1):
+            for g, n in tables[k][c].items():
+                sums[k][c][0][g[:-1]] += n
+                sums[k][c][1][g[:-1]] += 1
+    ones = tables[1][0] + tables[1][1]
+
+    def p(g, c):
+        if len(g) == 1:
+            return (ones[g] + 0.5) / (sum(ones.values()) + 128)
+        s, d = (x[g[:-1]] for x in sums[len(g)][c])
+        return (max(tables[len(g)][c][g] - discount, 0) + discount * d * p(g[1:], c)) / s if s else p(g[1:], c)
+
+    return lambda g: np.log(p(g, 1) / p(g, 0))
+
+
+def test_every_gram_scores_also_new_ones(spark):
     rng = np.random.default_rng(8)
-    rows = [(i, "".join(map(chr, rng.integers(97, 123, 3000))), i % 2) for i in range(60)]
-    texts = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    counts = texts.select("text", "toxic").mapInArrow(toxicity._counted(6), "g long, c0 long, c1 long").groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    models = toxicity.language_models(counts)
-    value = {r["g"]: r["llr"] for r in models.collect()}
-    grams = lambda t: [int.from_bytes(t[j : j + 6].encode(), "big") for j in range(len(t) - 5)]
-    want = [sum(value[g] for g in grams(t)) / (len(t) - 5 + toxicity.PRIOR_LENGTH) for _, t, _ in rows]
-    # one slice, some, and more than a worker keeps
-    for most in (1 << 21, 60_000, 20_000):
-        parts = toxicity.scoring_table(models, most)
-        got = texts.mapInArrow(toxicity._ratios(parts, 6, ["doc_id"]), "doc_id long, ratio double")
+    say = lambda n: "".join(map(chr, rng.choice(26, n, p=np.arange(1, 27) / 351) + 97))
+    rows = [(i, say(1500), int(i % 3 == 0), 2 * (i % 2)) for i in range(90)] + [(90, "q" * 40, 1, 0)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, toxic int, fold int")
+    models = toxicity.language_models(toxicity.gram_counts(texts))
+    new = [(100 + i, say(300) + x) for i, x in enumerate(("", "zzz!", "qqqqqqqé", "#"))]
+    asked = spark.createDataFrame([(i, t) for i, t, *_ in rows[:3]] + new, "doc_id long, text string")
+    # some slices, one, and more than a worker keeps
+    for m, most in ((toxicity.BOTH, 60_000), (0, 1 << 21), (2, 10_000)):
+        value = brute_models([(t.encode(), c) for _, t, c, f in rows if m in (f, toxicity.BOTH)])
+        parts = toxicity.scoring_table(models.where(F.col("m") == m), most)
+        got = asked.mapInArrow(toxicity._ratios(parts, 6, ["doc_id"]), "doc_id long, ratio double")
         got = {r["doc_id"]: r["ratio"] for r in got.collect()}
-        assert [got[i] for i, *_ in rows] == pytest.approx(want, abs=1e-5), len(parts)
+        for i, t in [(i, t) for i, t, *_ in rows[:3]] + new:
+            raw = t.encode()
+            want = sum(value(raw[j : j + 6]) for j in range(len(raw) - 5)) / (len(raw) - 5 + toxicity.PRIOR_LENGTH)
+            assert got[i] == pytest.approx(want, abs=1e-5), (m, len(parts), i)
 
 
 def test_packing_round_trip(docs):
