@@ -303,6 +303,16 @@ def test_packing_round_trip(docs):
     assert packing.sequences(packing.pack(parts, length=512)).agg(F.sum(F.size("ids"))).first()[0] == sum(r["length"] for r in rows)
 
 
+def test_mixed_white_space_is_encoded_whole():
+    tokens = packing.Tokens(__import__("public_tokenizers").path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(9)
+    spaces = [" ", " ", " ", "\n", "\n\n\n", "\t", "\u00a0", "  ", "\r\n", "\u2003", "\x1f", "\u3000"]
+    texts = ["x\n\n\ny\tz\tw", "a  b\tc", "\na b\tc", "a b\tc ", "plain words\nhere, too."]
+    texts += ["".join(w + spaces[k] for w, k in zip(("ab", "c,", "d1", "é") * 5, rng.integers(0, len(spaces), 20))) + "end" for _ in range(300)]
+    for text in texts:
+        assert np.frombuffer(tokens.ids(text), "<u4").tolist() == tokens.encoder.encode(text, add_special_tokens=False).ids, text
+
+
 def test_swaps_empty_bins():
     sizes = np.array([6, 4, 4, 3, 3])
     bins = packing.improve(sizes, np.array([0, 1, 1, 2, 2]), 10)

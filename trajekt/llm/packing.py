@@ -25,6 +25,8 @@ SPECIAL = "<|endoftext|>"
 MOST_CACHED, LONGEST_CACHED = 300_000, 48
 #: ASCII signs that are neither letters, digits nor white space: at a word's end they are a pre-token of their own.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: White space at which texts are not cut.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 class Tokens(dict):
@@ -79,7 +81,8 @@ class Tokens(dict):
         if not text:
             return b""
         parts = text.replace("\n", " \n").split(" ")
-        if len(text.split()) != len(parts) or SPECIAL in text:
+        # without other white space the numbers are equal only if every space and line break stands alone between words
+        if len(text.split()) != len(parts) or SPECIAL in text or any(c in text for c in OTHER_SPACE):
             return self.encoded(text)
         first = parts[0]
         head = self[first] if first[:1] == "\n" else self.encoded(first)
