@@ -324,6 +324,20 @@ def test_swaps_empty_bins():
     assert done.max() <= start.max() and np.bincount(done, sizes).max() <= 2048
 
 
+def test_swaps_end_where_none_helps():
+    rng = np.random.default_rng(7)
+    for sizes in (rng.integers(1, 40, 300), rng.integers(45, 100, 400), rng.integers(1, 5, 120), rng.integers(20, 60, 5000)):
+        start = packing.best_fit(sizes, 100) if len(sizes) != 120 else np.arange(120) // 30
+        bins = packing.improve(sizes, start, 100)
+        fill = np.bincount(bins, sizes).astype(int)
+        assert fill.max() <= 100 and bins.max() <= start.max()
+        own = [sizes[bins == b].tolist() for b in range(len(fill))]
+        given = [set(o) | {x + y for x, y in combinations(o, 2)} for o in own]
+        for d in np.flatnonzero(fill < 100).tolist():
+            for o in np.flatnonzero((fill < 100) & (fill >= fill[d])).tolist():
+                assert o == d or not any(0 < t - s <= 100 - fill[o] for t in given[d] for s in {0, *own[o]}), (d, o)
+
+
 def brute_secrets(text):
     found = []
     for order, (kind, pattern, group, least) in enumerate((("assign", r"""((?a:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))):

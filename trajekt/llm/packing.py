@@ -156,53 +156,101 @@ def best_fit(sizes: np.ndarray, length: int) -> np.ndarray:
     return bins
 
 
-def improve(sizes: np.ndarray, bins: np.ndarray, length: int, most_steps: int = 4000, most_tries: int = 2) -> np.ndarray:
+def _taken(sizes: list[int], room: int) -> int:
+    """Bit t for each total t that a bin of these sizes takes with a rise: for nothing or one of its pieces, within its room."""
+    span, out = (1 << room) - 1, 0
+    for size in {0, *sizes}:
+        out |= span << (size + 1)
+    return out
+
+
+def _given(sizes: list[int]) -> int:
+    """Bit t for each total t of one piece or two."""
+    ones = both = 0
+    for size in sizes:
+        both |= ones << size
+        ones |= 1 << size
+    return ones | both
+
+
+def _bits(number: int, width: int) -> np.ndarray:
+    return np.frombuffer((number & ((1 << (64 * width)) - 1)).to_bytes(8 * width, "little"), "<u8")
+
+
+def improve(sizes: np.ndarray, bins: np.ndarray, length: int) -> np.ndarray:
     """Local search: take from the emptiest bin by moves, one-for-one and two-for-one exchanges with fuller bins, until none helps.
 
     An exchange raises the other bin's fill without passing its room, and of all exchanges that with the largest rise is made, so
-    the sum of squared fills grows at each step and bins run empty. A bin that can give nothing is left, until an emptier
-    donor changes, `most_tries` times at most.
+    the sum of squared fills grows at each step and the search ends. A bin that can give nothing is left until one of the two bins
+    of a later exchange, at least as full as it, takes one of its totals; all other bins are as they were when it was tried.
     """
-    bins = bins.copy()
     if not len(sizes):
-        return bins
+        return bins.copy()
+    own: list[list[int]] = [[] for _ in range(int(bins.max()) + 1)]
+    for i, b in enumerate(bins.tolist()):
+        own[b].append(i)
+    size = sizes.astype(np.int64).tolist()
+    bins, sizes = bins.copy(), sizes.astype(np.int64)
     fill = np.bincount(bins, sizes).astype(np.int64)
-    stuck, tries = fill >= length, np.zeros(len(fill), np.int64)
-    for _ in range(most_steps):
-        if stuck.all():
-            break
-        donor = int(np.argmin(np.where(stuck, length + 1, fill)))
-        others = np.flatnonzero((bins != donor) & (fill[bins] < length) & (fill[bins] >= fill[donor]))
-        mine = np.flatnonzero(bins == donor)
-        room = length - fill[bins[others]]
-        best, change = 0, None
-        sets = [([i], int(sizes[i])) for i in mine[np.unique(sizes[mine], return_index=True)[1]].tolist()]
-        if 2 <= len(mine) <= 24:
-            sets += [([a, b], int(sizes[a] + sizes[b])) for k, a in enumerate(mine.tolist()) for b in mine[k + 1 :].tolist()]
-        for give, total in sets:
-            if total <= best:
-                continue
-            if len(give) == 1 and len(others):
-                at = int(np.argmax(np.where(room >= total, -room, -length - 1)))
-                if room[at] >= total and total > best:
-                    best, change = total, (give, None, int(bins[others[at]]))
-            rise = total - sizes[others]
-            rise = np.where(rise <= room, rise, 0)
-            if len(rise) and rise.max() > best:
-                at = int(np.argmax(rise))
-                best, change = int(rise[at]), (give, int(others[at]), int(bins[others[at]]))
-        if change is None:
+    width = length // 64 + 1
+    given = np.stack([_bits(_given([size[i] for i in o]), width) for o in own])
+    stuck = (fill >= length) | (fill == 0)
+    none = length + 1
+    while not stuck.all():
+        donor = int(np.argmin(np.where(stuck, none, fill)))
+        totals = np.flatnonzero(np.unpackbits(given[donor].view(np.uint8), bitorder="little"))
+        fit = (fill < length) & (fill >= fill[donor])
+        fit[donor] = False
+        others = np.flatnonzero(fit[bins])
+        # least[t]: the smallest piece, or none at all, for which some bin takes t
+        least = np.full(length + 1, none)
+        at = np.minimum(sizes[others] + length - fill[bins[others]], length)
+        np.minimum.at(least, at, sizes[others])
+        if fit.any():
+            least[length - fill[fit].min()] = 0
+        least = np.minimum.accumulate(least[::-1])[::-1]
+        rise = totals - least[totals]
+        best = int(rise.max(initial=0))
+        if best <= 0:
             stuck[donor] = True
-            tries[donor] += 1
             continue
-        give, back, other = change
-        bins[give] = other
-        if back is not None:
-            bins[back] = donor
+        total = int(totals[np.argmax(rise)])
+        back = total - best
+        mine = {size[i]: i for i in own[donor]}
+        if total in mine:
+            give = [mine[total]]
+        else:
+            seen: dict[int, int] = {}
+            for i in own[donor]:
+                if total - size[i] in seen:
+                    give = [seen[total - size[i]], i]
+                    break
+                seen[size[i]] = i
+        # of the bins that take it, the fullest
+        if back:
+            can = others[(sizes[others] == back) & (length - fill[bins[others]] >= best)]
+            got = int(can[np.argmax(fill[bins[can]])])
+            other = int(bins[got])
+            own[other].remove(got)
+            own[donor].append(got)
+            bins[got] = donor
+        else:
+            can = np.flatnonzero(fit & (length - fill >= total))
+            other = int(can[np.argmax(fill[can])])
+        for i in give:
+            own[donor].remove(i)
+            own[other].append(i)
+            bins[i] = other
         fill[other] += best
         fill[donor] -= best
-        # emptier bins may now find room in the donor
-        stuck[(fill <= fill[donor]) & (tries < most_tries)] = False
+        stuck[[donor, other]] = False
+        for b in (donor, other):
+            given[b] = _bits(_given([size[i] for i in own[b]]), width)
+        for b in (donor, other):
+            if 0 < fill[b] < length:
+                waiting = np.flatnonzero(stuck & (fill <= fill[b]) & (fill > 0))
+                takes = _bits(_taken([size[i] for i in own[b]], length - int(fill[b])), width)
+                stuck[waiting[(given[waiting] & takes).any(axis=1)]] = False
         stuck |= (fill == 0) | (fill >= length)
     return np.unique(bins, return_inverse=True)[1]
 
