@@ -207,6 +207,18 @@ def test_fingerprints(docs, odd):
     assert winnow.fingerprints(odd).count() == 5
 
 
+def test_short_texts_are_like_their_edit(spark):
+    rng = np.random.default_rng(10)
+    rows = [(1000 * n + k, " ".join(f"w{x}" for x in rng.integers(10000, 99999, n))) for n in range(5, 31) for k in range(20)]
+    got = by_id(winnow.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert not [i for i, _ in rows if not 0 < got[i]["near_edited"] < 1]
+    # six words in common, anywhere
+    a, b = ([" ".join(f"{c}{i}" for i in range(k)) for k in range(4)] for c in "ab")
+    pairs = [(f"{x} p q r s t u {x}", f"{y} p q r s t u {y} {y}") for x in a for y in b]
+    both = spark.createDataFrame(pairs, "x string, y string").select(winnow.likeness(winnow.winnow(F.col("x"), ends=True)["hash"], winnow.winnow(F.col("y"), ends=True)["hash"]).alias("l"))
+    assert all(r["l"] > 0 for r in both.collect())
+
+
 def test_neighbours_across_slices(docs):
     rows = winnow.with_next(docs.select("doc_id", "text"), "doc_id", ["text"], rows_per_slice=3)
     got = {r["doc_id"]: r["next_text"] for r in rows.collect()}

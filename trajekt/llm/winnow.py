@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from trajekt.llm.common import let, table
 from trajekt.session import materialise
 
-#: Words in a gram, grams in a window: a run of GRAM + WINDOW - 1 = 20 words that two texts share gives a shared fingerprint.
-GRAM, WINDOW = 5, 16
+#: Words in a gram, grams in a window: a run of GRAM + WINDOW - 1 = 6 words that two texts share gives a shared fingerprint.
+#: The first and last gram of a text are always kept, so GRAM words in common at both starts or both ends do too.
+GRAM, WINDOW = 3, 4
 #: A word longer than this counts as several, so that text without spaces has grams too.
 TOKEN = r"[^\x20\x09-\x0D]{1,16}"
 #: Of the 63 bits by which grams are ordered, so many hold the position: texts up to 67 million words have rightmost ties.
@@ -18,11 +19,11 @@ LAST = (1 << PLACE_BITS) - 1
 HASH_MASK = (1 << (63 - PLACE_BITS)) - 1
 
 
-def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+def winnow(text: Column, gram: int = GRAM, window: int = WINDOW, ends: bool = False) -> Column:
     """Array of (hash, at): of each window of gram hashes the least, the rightmost of equal ones, with its position.
 
     A text of fewer than `gram` words is one gram of them all; without words it has none. Fewer grams than a window are one
-    window. Values are packed as order bits of the hash above the place from the end, so that the least number is the rightmost
+    window. With `ends`, windows that reach over the first or last gram count as well. Values are packed as order bits of the hash above the place from the end, so that the least number is the rightmost
     least hash; minima of windows come from minima of half as many, so the work is linear in the text and log in the window.
     """
     hashes = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
@@ -36,11 +37,15 @@ def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
 
         def minima(p: Column, done: int) -> Column:
             if done >= window:
+                if ends:
+                    return F.array_distinct(F.filter(p, lambda v: v.isNotNull()))
                 return F.array_distinct(F.slice(p, F.lit(1), F.greatest(F.size(p) - (window - 1), F.lit(1))))
             step = min(done, window - done)
             # least() skips what lies beyond the last gram, so a text of fewer grams than a window is one window
             return let(F.transform(p, lambda x, i: F.least(x, F.get(p, i + step))), lambda q: minima(q, done + step))
 
+        if ends:
+            packed = F.concat(F.array_repeat(F.lit(None).cast("long"), window - 1), packed)
         least = let(packed, lambda p: minima(p, 1))
         return F.transform(least, lambda v: let(F.lit(LAST) - v.bitwiseAND(F.lit(LAST)), lambda at: F.struct(F.get(g, at.cast("int")).alias("hash"), at.cast("int").alias("at"))))
 
@@ -95,11 +100,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has the last third of its code points replaced by the first as many of the next document's.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    met = with_next(docs, "doc_id", ["text", "fp"], derive=lambda d: d.withColumn("fp", winnow(F.col("text"))))
+    met = with_next(docs, "doc_id", ["text", "fp"], derive=lambda d: d.withColumn("fp", winnow(F.col("text"), ends=True)))
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("next_text", F.lit(1), third))
     met = met.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fp", F.col("next_fp.hash").alias("next_hash"))
-    met = met.withColumn("edited_fp", winnow(F.col("edited")))
+    met = met.withColumn("edited_fp", winnow(F.col("edited"), ends=True))
     return met.select(
         "doc_id", "n_chars", "edited", "fp", "edited_fp",
         likeness(F.col("fp.hash"), F.col("edited_fp.hash")).alias("near_edited"), likeness(F.col("fp.hash"), F.col("next_hash")).alias("near_next"),
