@@ -58,7 +58,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: Model scores, tokenizer ids and a local search have no SQL; tests compare the stages with brute force on small tables.
+#: Model scores, tokenizer ids and a local search have no SQL; tests cover the operators that the stages call, but not yet the stages or run() themselves.
 ORACLE_SQL = None
 
 
