@@ -6,6 +6,7 @@ from trajekt.operators import align as A
 from trajekt.operators import estimate as D
 from trajekt.operators import evaluate as V
 from trajekt.operators import rules as R
+from trajekt.operators import sequences as S
 from trajekt.plans import tables as T
 
 K = np.array(T.intrinsics()).reshape(3, 3)
@@ -187,8 +188,11 @@ def test_alignment_is_cheapest_and_monotone(penalty):
     rng = np.random.default_rng(13)
     for _ in range(30):
         costs = rng.random((rng.integers(1, 7), rng.integers(1, 6)))
-        pairs, skipped, total = R.dtw_path(costs, penalty)
-        assert total == pytest.approx(brute_cost(costs, penalty))
+        limit = None if penalty is None else int(S.whole(penalty))
+        walk = S.Walk(S.first_row(costs.shape[1], limit), S.whole(costs), limit)
+        pairs, skipped, out = walk.cells(costs.shape[1])
+        skipped = [*range(out), *skipped]
+        assert walk.last[-1] * S.UNIT == pytest.approx(brute_cost(costs, penalty))
         assert pairs == sorted(pairs)
         covered = {j for _, j in pairs} | set(skipped)
         assert covered == set(range(costs.shape[1])) and (penalty is not None or not skipped)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,62 +74,6 @@ def pairwise_min_gap(expected: DataFrame, spec: str, fraction: float = 0.7, defa
     return expected.select(spec, F.coalesce(smallest * fraction, F.lit(default)).alias("skip_penalty"))
 
 
-def dtw_path(costs: np.ndarray, penalty: float | None) -> tuple[list[tuple[int, int]], list[int], float]:
-    """Cheapest monotone alignment of segments (rows) to movements; with a penalty a movement may be skipped
-    where that is strictly cheaper. Ties prefer diagonal, then the previous segment, then the previous movement."""
-    n, m = costs.shape
-    acc = np.full((n + 1, m + 1), np.inf)
-    skip = np.zeros((n + 1, m + 1), dtype=bool)
-    acc[0, 0] = 0.0
-    if penalty is not None:
-        acc[0, 1:] = penalty * np.arange(1, m + 1)
-        skip[0, 1:] = True
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            match = min(acc[i - 1, j - 1], acc[i - 1, j], acc[i, j - 1]) + costs[i - 1, j - 1]
-            passed = acc[i, j - 1] + penalty if penalty is not None else np.inf
-            skip[i, j] = passed < match
-            acc[i, j] = passed if passed < match else match
-    pairs, skipped = [], []
-    i, j = n, m
-    while j > 0 and (i > 0 or penalty is not None):
-        if skip[i, j]:
-            skipped.append(j - 1)
-            j -= 1
-            continue
-        if i == 0:
-            break
-        pairs.append((i - 1, j - 1))
-        steps = ((acc[i - 1, j - 1], 1, 1), (acc[i - 1, j], 1, 0), (acc[i, j - 1], 0, 1))
-        _, di, dj = min(steps, key=lambda s: s[0])
-        i, j = i - di, j - dj
-    return pairs[::-1], skipped[::-1], float(acc[n, m])
-
-
-def align_sequences(costs: DataFrame, session: str, ordinal: str, penalty: str | None = None) -> DataFrame:
-    """Alignment path per recording: rows (segment ordinal, movement index, cost); skipped movements have no ordinal.
-
-    A recording's segments form one group (one row of costs per labelled segment, not per frame); many
-    recordings run in parallel.
-    """
-    kinds = dict(costs.dtypes)
-    schema = f"{session} {kinds[session]}, segment bigint, movement int, cost double, total_cost double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ordinal)
-        table = np.array([[np.inf if v is None or v != v else v for v in row] for row in pdf["costs"]], dtype=float)
-        limit = float(pdf[penalty].iloc[0]) if penalty else None
-        pairs, skipped, total = dtw_path(table, limit)
-        order = pdf[ordinal].to_numpy()
-        rows = [(pdf[session].iloc[0], order[i], j, table[i, j], total) for i, j in pairs]
-        rows += [(pdf[session].iloc[0], None, j, None, total) for j in skipped]
-        out = pd.DataFrame(rows, columns=[session, "segment", "movement", "cost", "total_cost"])
-        return out.astype({"segment": "Int64"})
-
-    keep = [session, ordinal, "costs", *([penalty] if penalty else [])]
-    return costs.select(*keep).groupBy(session).applyInPandas(run, schema)
-
-
 def spread_anchors(phases: Column, start: Column, end: Column) -> Column:
     """Phase anchors evenly over a segment, non-decreasing and inside it: a fold over the short phase list."""
     count = F.size(phases)

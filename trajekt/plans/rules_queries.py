@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import count_where, fixed, reasons
 from ..operators import rules as R
-from ..operators.blocks import ordinal, time_block
+from ..operators.blocks import index_block, ordinal, runs, time_block
 from ..operators.quantiles import attach
+from ..operators.sequences import align_segments
 from ..session import materialise
 from . import tables as T
 from .registry import query
@@ -59,44 +60,85 @@ def i2(spark, sf):
     return out.select("timeline_id", "seq", F.posexplode("costs").alias("movement", "cost")).withColumn("cost", fixed("cost"))
 
 
-SQL_EXP = f"""{T.SQL_LONG}, ex AS (SELECT session_id AS movement, vec_id AS ev FROM (SELECT session_id, min(vec_id) AS vec_id FROM f0 GROUP BY ALL)),
-pc AS (SELECT a.session_id, a.vec_id, movement, avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) AS cost FROM p3 a CROSS JOIN ex JOIN p3 b ON b.vec_id = ev AND b.joint_idx = a.joint_idx GROUP BY ALL)"""
+#: Joints that a frame must show to belong to a segment; recordings are dealt to so many specifications.
+SHOWN, SPECS, LIMBS = 9, 3, 10
+SHOWS = "NOT (" + " OR ".join(T._hidden("vec_id", j) for j in range(SHOWN)) + ")"
+_GAP = "avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)))"
+SQL_SEGMENTS = f"""{T.SQL_LONG}, fl AS (SELECT session_id, sample_idx, {SHOWS} AS ok FROM f0), {sql_runs('fl', 'session_id', 'ok')},
+sgm AS (SELECT session_id, run_start, run_end, row_number() OVER (PARTITION BY session_id ORDER BY run_start) - 1 AS segment FROM (SELECT DISTINCT session_id, run_start, run_end FROM rn WHERE run_start IS NOT NULL)),
+mp AS (SELECT s.session_id, segment, joint_idx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM sgm s JOIN p3 ON p3.session_id = s.session_id AND sample_idx BETWEEN run_start AND run_end GROUP BY ALL),
+spc AS (SELECT CAST(sample_idx AS INTEGER) AS spec_id, CAST(row_number() OVER (PARTITION BY sample_idx ORDER BY session_id) - 1 AS INTEGER) AS movement, vec_id AS ev FROM f0 WHERE sample_idx < {SPECS}),
+pc AS (SELECT a.session_id, segment, spec_id, movement, {_GAP} AS cost FROM mp a JOIN spc ON spec_id = a.session_id % {SPECS} JOIN p3 b ON b.vec_id = ev AND b.joint_idx = a.joint_idx GROUP BY ALL),
+pn AS (SELECT spec_id, coalesce(0.7 * min(m), 0.1) AS pen FROM (SELECT DISTINCT spec_id FROM spc) LEFT JOIN (
+  SELECT p.spec_id, p.movement AS m1, q.movement AS m2, {_GAP} AS m FROM spc p JOIN spc q ON q.spec_id = p.spec_id AND q.movement > p.movement JOIN p3 a ON a.vec_id = p.ev JOIN p3 b ON b.vec_id = q.ev AND b.joint_idx = a.joint_idx GROUP BY ALL HAVING m > 0) USING (spec_id) GROUP BY spec_id)"""
 
 
 def expected_poses(spark, sf):
-    """Specification row with one reference pose per movement: each label's first frame."""
-    f = T.frames(spark, sf)
-    first = f.groupBy("session_id").agg(F.min_by("pts", "vec_id").alias("pts"))
-    # ten labels, so ten poses: the specification's own length
-    return first.agg(F.transform(F.array_sort(F.collect_list(F.struct("session_id", "pts"))), lambda s: s["pts"]).alias("expected")).withColumn("spec_id", F.lit(1))
+    """Specification table: spec_id and the reference poses of its movements, a frame of each label; a specification's own short list."""
+    first = T.sequence_frames(spark, sf).where(F.col("sample_idx") < SPECS)
+    poses = F.transform(F.array_sort(F.collect_list(F.struct("session_id", "pts"))), lambda s: s["pts"])
+    return first.groupBy(F.col("sample_idx").cast("int").alias("spec_id")).agg(poses.alias("expected"))
 
 
-def pose_cost_table(spark, sf):
-    placed = T.sequence_frames(spark, sf).select("session_id", "vec_id", "sample_idx", "pts", F.lit(1).alias("spec_id"))
-    return R.pose_costs(placed, expected_poses(spark, sf), "spec_id")
+def segment_poses(spark, sf):
+    """Segments of every recording, runs of frames that show the first joints, with the mean of what their frames show of each joint."""
+    framed = T.sequence_frames(spark, sf).select("session_id", "vec_id", "sample_idx", "pts")
+    marked = runs(framed, ["session_id"], "sample_idx", F.expr(SHOWS)).where("run_start is not null")
+    key = ["session_id", "run_start", "run_end"]
+    means = marked.select(*key, F.posexplode("pts").alias("j", "p")).groupBy(*key, "j").agg(F.struct(*[F.avg(f"p.{c}").alias(c) for c in "xyz"]).alias("p"))
+    whole = means.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "p"))), lambda s: s["p"]).alias("pts"))
+    return ordinal(whole, ["session_id"], ["run_start"], index_block("run_start"), "segment").withColumn("spec_id", (F.col("session_id") % SPECS).cast("int"))
 
 
-@query("i2_pose_costs", f"WITH {SQL_EXP} SELECT session_id, vec_id, movement, {r6('cost')} AS cost FROM pc")
-def i2p(spark, sf):
-    return pose_cost_table(spark, sf).select("session_id", "vec_id", F.posexplode("costs").alias("movement", "cost")).withColumn("cost", fixed("cost"))
+def segment_costs(spark, sf):
+    """Segments with the costs of all movements of their recording's specification and its skip penalty."""
+    expected = expected_poses(spark, sf)
+    specs = materialise(expected.join(R.pairwise_min_gap(expected, "spec_id"), "spec_id"), "specs")
+    return R.pose_costs(segment_poses(spark, sf), specs, "spec_id").drop("pts")
 
 
-@query("i3_monotone_alignment")
+@query("i2_pose_costs", f"WITH {SQL_SEGMENTS} SELECT session_id, segment, movement, {r6('cost')} AS cost FROM pc")
+def i2p(spark, sf):
+    return segment_costs(spark, sf).select("session_id", "segment", F.posexplode("costs").alias("movement", "cost")).withColumn("cost", fixed("cost"))
+
+
+def sql_alignment(skips: bool) -> str:
+    """The table cell by cell, one recursion over its rows and one back over its cells; costs in whole billionths as in the operator."""
+    far = str(1 << 60)
+    unit = ", ".join(f"coalesce(CAST(round(max(cost) FILTER (movement = {j}) * 1e9) AS BIGINT), {far}) AS c{j + 1}" for j in range(LIMBS))
+    cheap = lambda j: f"least(c{j}, pu)" if skips else f"c{j}"
+    row = [f"CAST({far} AS BIGINT) AS n0"] + [f"least(least(a.a{j - 1}, a.a{j}) + c{j}, n{j - 1} + {cheap(j)}, {far}) AS n{j}" for j in range(1, LIMBS + 1)]
+    start = ", ".join(f"CAST({f'pu * {j}' if skips else 0 if j == 0 else far} AS BIGINT) AS a{j}" for j in range(LIMBS + 1))
+    skip = f"least(r.al[j] + pu, {far}) < least(least(p.al[j + 1], p.al[j], r.al[j]) + cl[j], {far})" if skips else "FALSE"
+    best = "least(p.al[j], p.al[j + 1], r.al[j])"
+    return f"""{SQL_SEGMENTS}, cu AS (SELECT session_id, segment, spec_id, CAST(round(any_value(pen) * 1e9) AS BIGINT) AS pu, {unit} FROM pc JOIN pn USING (spec_id) GROUP BY ALL),
+acc AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS i, {start} FROM cu UNION ALL SELECT a.session_id, a.i + 1, {', '.join(f'n{j}' for j in range(LIMBS + 1))} FROM (
+  SELECT a.session_id, a.i, {', '.join(row)} FROM acc a JOIN cu c ON c.session_id = a.session_id AND c.segment = a.i) a),
+al AS (SELECT session_id, i, [{', '.join(f'a{j}' for j in range(LIMBS + 1))}] AS al FROM acc),
+cl AS (SELECT session_id, segment, pu, [{', '.join(f'c{j}' for j in range(1, LIMBS + 1))}] AS cl FROM cu),
+bt AS (SELECT session_id, max(i) AS i, {LIMBS} AS j, CAST(NULL AS BOOLEAN) AS sk, CAST(NULL AS BIGINT) AS ci, CAST(NULL AS INTEGER) AS cj FROM al GROUP BY ALL
+ UNION ALL SELECT session_id, CASE WHEN s OR (d <> b AND u <> b) THEN i ELSE i - 1 END, CASE WHEN s OR d = b OR u <> b THEN j - 1 ELSE j END, s, i, j FROM (
+  SELECT t.session_id, t.i, t.j, t.i = 0 OR {skip} AS s, p.al[j] AS d, p.al[j + 1] AS u, {best} AS b
+  FROM bt t LEFT JOIN al r ON r.session_id = t.session_id AND r.i = t.i LEFT JOIN al p ON p.session_id = t.session_id AND p.i = t.i - 1 LEFT JOIN cl ON cl.session_id = t.session_id AND cl.segment = t.i - 1
+  WHERE t.j > 0 AND (t.i > 0 OR {skips}))),
+tot AS (SELECT session_id, arg_max(al[{LIMBS + 1}], i) / 1e9 AS total_cost FROM al GROUP BY ALL),
+way AS (SELECT bt.session_id, CASE WHEN NOT sk THEN ci - 1 END AS segment, CAST(cj - 1 AS INTEGER) AS movement, CASE WHEN NOT sk THEN cost END AS cost, total_cost
+ FROM bt JOIN tot USING (session_id) LEFT JOIN pc ON pc.session_id = bt.session_id AND pc.segment = ci - 1 AND pc.movement = cj - 1 WHERE sk IS NOT NULL)"""
+
+
+_WAY = f"SELECT session_id, segment, movement, {r6('cost')} AS cost, {r6('total_cost')} AS total_cost FROM way"
+
+
+@query("i3_monotone_alignment", f"WITH RECURSIVE {sql_alignment(False)} {_WAY}")
 def i3(spark, sf):
-    return R.align_sequences(pose_cost_table(spark, sf), "session_id", "sample_idx").select(
+    return align_segments(segment_costs(spark, sf), "session_id", "segment").select(
         "session_id", "segment", "movement", fixed("cost").alias("cost"), fixed("total_cost").alias("total_cost")
     )
 
 
-def skip_alignment(spark, sf):
-    penalty = R.pairwise_min_gap(expected_poses(spark, sf), "spec_id")
-    costs = pose_cost_table(spark, sf).join(penalty, "spec_id")
-    return R.align_sequences(costs, "session_id", "sample_idx", "skip_penalty"), penalty
-
-
-@query("i4_alignment_with_skips")
+@query("i4_alignment_with_skips", f"WITH RECURSIVE {sql_alignment(True)} {_WAY}")
 def i4(spark, sf):
-    path, _ = skip_alignment(spark, sf)
+    path = align_segments(segment_costs(spark, sf), "session_id", "segment", "skip_penalty")
     return path.select("session_id", "segment", "movement", fixed("cost").alias("cost"), fixed("total_cost").alias("total_cost"))
 
 
@@ -129,32 +171,41 @@ def i5(spark, sf):
     )
 
 
-SQL_PENALTY = "pn AS (SELECT min(m) * 0.7 AS pen FROM (SELECT a.session_id, a.movement, avg(cost) AS m FROM pc a JOIN ex ON ex.ev = a.vec_id WHERE a.session_id < a.movement GROUP BY ALL) WHERE m > 0)"
-
-
-@query("i6_auto_skip_penalty", f"WITH {SQL_EXP}, {SQL_PENALTY} SELECT 1 AS spec_id, {r6('pen')} AS skip_penalty FROM pn")
+@query("i6_auto_skip_penalty", f"WITH {SQL_SEGMENTS} SELECT spec_id, {r6('pen')} AS skip_penalty FROM pn")
 def i6(spark, sf):
     return R.pairwise_min_gap(expected_poses(spark, sf), "spec_id").withColumn("skip_penalty", fixed("skip_penalty"))
 
 
 @query(
     "i7_uncertain_matches",
-    f"""WITH {SQL_EXP}, {SQL_PENALTY} SELECT session_id, vec_id, movement, {r6('cost', 4)} AS cost, {r6('pen', 4)} AS skip_threshold FROM pc, pn WHERE cost BETWEEN pen - 0.03 AND pen + 0.03""",
+    f"""WITH RECURSIVE {sql_alignment(True)} SELECT session_id, segment, movement, {r6('cost', 4)} AS cost, {r6('pen', 4)} AS skip_threshold FROM way JOIN pn ON spec_id = session_id % {SPECS} WHERE cost BETWEEN pen - 0.03 AND pen + 0.03""",
 )
 def i7(spark, sf):
-    penalty = R.pairwise_min_gap(expected_poses(spark, sf), "spec_id")
-    rows = pose_cost_table(spark, sf).join(penalty, "spec_id").select("session_id", "vec_id", F.posexplode("costs").alias("movement", "cost"), "skip_penalty")
+    costs = materialise(segment_costs(spark, sf), "segment-costs")
+    path = align_segments(costs, "session_id", "segment", "skip_penalty").where("segment is not null")
+    rows = path.join(costs.select("session_id", "segment", "skip_penalty"), ["session_id", "segment"])
     near = F.col("cost").between(F.col("skip_penalty") - 0.03, F.col("skip_penalty") + 0.03)
-    return rows.where(near).select("session_id", "vec_id", "movement", fixed("cost", 4).alias("cost"), fixed("skip_penalty", 4).alias("skip_threshold"))
+    return rows.where(near).select("session_id", "segment", "movement", fixed("cost", 4).alias("cost"), fixed("skip_penalty", 4).alias("skip_threshold"))
+
+
+_ANCHOR = lambda k, last: f"least(CASE WHEN start_frame + CAST(round_even((end_frame - start_frame) * {k}::DOUBLE / 2, 0) AS BIGINT) <= {last} THEN {last} + 1 ELSE start_frame + CAST(round_even((end_frame - start_frame) * {k}::DOUBLE / 2, 0) AS BIGINT) END, end_frame)"
 
 
-@query("i8_automatic_timeline")
+@query(
+    "i8_automatic_timeline",
+    f"""WITH RECURSIVE {sql_alignment(True)}, pr AS (SELECT * FROM way WHERE segment IS NOT NULL),
+un AS (SELECT DISTINCT pr.session_id, movement FROM pr JOIN pn ON spec_id = session_id % {SPECS} WHERE abs(cost - pen) <= 0.03),
+bs AS (SELECT session_id, segment, arg_min(movement, (cost, movement)) AS movement, min(cost) AS cost FROM pr GROUP BY ALL),
+o AS (SELECT bs.session_id, bs.segment, bs.movement, run_start AS start_frame, run_end AS end_frame, un.movement IS NOT NULL AS unsure, CASE WHEN pen > 0 THEN greatest(0, 1 - cost / (2 * pen)) ELSE 1 END AS base
+ FROM bs JOIN sgm USING (session_id, segment) JOIN pn ON spec_id = bs.session_id % {SPECS} LEFT JOIN un ON un.session_id = bs.session_id AND un.movement = bs.movement),
+f AS (SELECT *, {_ANCHOR(0, '(start_frame - 1)')} AS f0, {_ANCHOR(1, 'f0')} AS f1, {_ANCHOR(2, 'f1')} AS f2 FROM o)
+SELECT session_id, segment, movement, start_frame, end_frame, round_even(least(greatest(base, CASE WHEN unsure THEN 0.6::DOUBLE ELSE 0.5 END), 0.99) * 10000, 0) / 10000 AS confidence, CASE WHEN unsure THEN 'ambiguous' ELSE 'confirmed' END AS label_status,
+ '[{{"phase":"prep","frame":' || f0 || '}},{{"phase":"apex","frame":' || f1 || '}},{{"phase":"hold","frame":' || f2 || '}}]' AS anchors FROM f""",
+)
 def i8(spark, sf):
-    path, penalty = skip_alignment(spark, sf)
-    segs = T.sequence_frames(spark, sf).select(
-        "session_id", F.col("sample_idx").alias("segment"), (F.col("sample_idx") * 40).alias("start_frame"), (F.col("sample_idx") * 40 + 10 + F.col("vec_id") % 20).alias("end_frame"),
-        F.array(*[F.lit(p) for p in ("prep", "apex", "hold")]).alias("phases"), F.lit(1).alias("spec_id"),
-    ).join(penalty, "spec_id").drop("spec_id")
+    costs = materialise(segment_costs(spark, sf), "segment-costs")
+    path = align_segments(costs, "session_id", "segment", "skip_penalty")
+    segs = costs.select("session_id", "segment", F.col("run_start").alias("start_frame"), F.col("run_end").alias("end_frame"), F.array(*[F.lit(p) for p in ("prep", "apex", "hold")]).alias("phases"), "skip_penalty")
     out = R.automatic_timeline(materialise(path, "path"), segs, "session_id")
     return out.select("session_id", "segment", "movement", "start_frame", "end_frame", "confidence", "label_status", F.to_json("anchors").alias("anchors"))
 
