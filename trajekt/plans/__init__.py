@@ -10,6 +10,7 @@ FAMILIES = (
     "alignment_queries",
     "estimation_queries",
     "rules_queries",
+    "contract_queries",
     "movement_queries",
     "source_queries",
     "streaming_queries",

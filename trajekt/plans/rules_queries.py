@@ -222,77 +222,6 @@ def i8b(spark, sf):
     return segs.select("timeline_id", "seq", F.transform(spread, lambda a: a["frame"]).alias("anchors"))
 
 
-@query(
-    "i9_rule_pack_checks",
-    """WITH k AS (SELECT p_partkey, p_size, p_retailprice, p_type, p_brand FROM part), b AS (SELECT p_brand, count(*) AS n, sum(p_size) AS s, count(DISTINCT p_type) AS kinds FROM part GROUP BY ALL)
-SELECT 'Brand:' || p_brand AS item, 'budget_sum_mismatch' AS violation FROM b WHERE s % 2 = 1
-UNION ALL SELECT 'Brand:' || p_brand, 'missing_deduction_kind' FROM b WHERE kinds < 5
-UNION ALL SELECT 'Part:' || p_partkey, 'nonpositive_amount' FROM k WHERE p_size <= 2
-UNION ALL SELECT 'Part:' || p_partkey, 'unknown_source_ref' FROM k WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)""",
-)
-def i9(spark, sf):
-    """Rule packs (brands) and their rules (parts): budget sums, required kinds, amounts, dangling source references."""
-    part = T.read(spark, sf, "part")
-    packs = part.groupBy("p_brand").agg(F.sum("p_size").alias("s"), F.countDistinct("p_type").alias("kinds"))
-    a = R.violations(packs.withColumn("item", F.concat(F.lit("Brand:"), "p_brand")), ["item"], {"budget_sum_mismatch": F.col("s") % 2 == 1, "missing_deduction_kind": F.col("kinds") < 5})
-    label = F.concat(F.lit("Part:"), F.col("p_partkey").cast("string")).alias("item")
-    b = R.violations(part.select(label, "p_size"), ["item"], {"nonpositive_amount": F.col("p_size") <= 2})
-    used = T.read(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct()
-    c = part.join(used, "p_partkey", "left_anti").select(label, F.lit("unknown_source_ref").alias("violation"))
-    return a.unionByName(b).unionByName(c)
-
-
-@query(
-    "i10_movement_spec_checks",
-    f"""WITH {SQL_SEG}, l AS (SELECT *, lag(seq) OVER (PARTITION BY timeline_id ORDER BY seq) AS p, row_number() OVER (PARTITION BY timeline_id ORDER BY seq) AS rn FROM sg)
-SELECT timeline_id, seq, 'order_not_contiguous' AS violation FROM l WHERE seq <> coalesce(p, 0) + 1
-UNION ALL SELECT timeline_id, seq, 'active_while_blocked' FROM l WHERE confidence > 0.8 AND start_frame % 3 = 0""",
-)
-def i10(spark, sf):
-    w = Window.partitionBy("timeline_id").orderBy("seq")  # a specification's few movements
-    rows = timeline_segments(spark, sf).withColumn("p", F.coalesce(F.lag("seq").over(w), F.lit(0)))
-    return R.violations(rows, ["timeline_id", "seq"], {"order_not_contiguous": F.col("seq") != F.col("p") + 1, "active_while_blocked": (F.col("confidence") > 0.8) & (F.col("start_frame") % 3 == 0)})
-
-
-@query(
-    "i11_timeline_checks",
-    f"""WITH {SQL_SEG}, l AS (SELECT *, lag(end_frame) OVER (PARTITION BY timeline_id ORDER BY seq) AS pe, o.o_orderstatus AS st, end_frame - 5 AS anchor FROM sg JOIN orders o ON o.o_orderkey = timeline_id)
-SELECT timeline_id, seq, 'overlap' AS violation FROM l WHERE start_frame <= pe
-UNION ALL SELECT timeline_id, seq, 'anchor_outside' FROM l WHERE anchor < start_frame
-UNION ALL SELECT timeline_id, seq, 'complete_but_unconfirmed' FROM l WHERE st = 'F' AND confidence < 0.5""",
-)
-def i11(spark, sf):
-    w = Window.partitionBy("timeline_id").orderBy("seq")  # a timeline's few segments
-    state = T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("timeline_id"), F.col("o_orderstatus").alias("st"))
-    rows = timeline_segments(spark, sf).join(state, "timeline_id").withColumn("pe", F.lag("end_frame").over(w))
-    return R.violations(
-        rows, ["timeline_id", "seq"],
-        {
-            "overlap": F.col("start_frame") <= F.col("pe"), "anchor_outside": F.col("end_frame") - 5 < F.col("start_frame"),
-            "complete_but_unconfirmed": (F.col("st") == "F") & (F.col("confidence") < 0.5),
-        },
-    )
-
-
-@query(
-    "i12_profile_checks",
-    """SELECT p_partkey, 'inverted_range' AS violation FROM part WHERE p_size * 20 > p_retailprice UNION ALL SELECT p_partkey, 'unknown_metric' FROM part WHERE p_type NOT IN ('ECONOMY', 'SMALL', 'STANDARD', 'LARGE')
-UNION ALL SELECT p_partkey, 'duplicate_name' FROM part WHERE p_name || '|' || p_brand || '|' || p_size IN (SELECT p_name || '|' || p_brand || '|' || p_size FROM part GROUP BY ALL HAVING count(*) > 1)""",
-)
-def i12(spark, sf):
-    part = T.read(spark, sf, "part")
-    key = ["p_name", "p_brand", "p_size"]
-    twice = part.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = part.join(twice, key, "left")
-    return R.violations(
-        rows, ["p_partkey"],
-        {
-            "inverted_range": F.col("p_size") * 20 > F.col("p_retailprice"),
-            "unknown_metric": ~F.col("p_type").isin("ECONOMY", "SMALL", "STANDARD", "LARGE"), "duplicate_name": F.col("n") > 1,
-        },
-    )
-
-
 # rule_ord, rule_id, error_unit, stances, techniques, operator, lo, hi, floor, guard
 RULES = [
     (0, "N1", "stance", ["ECONOMY"], [], "max", 0.0, 30.0, 1.0, 0.5),
