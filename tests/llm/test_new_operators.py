@@ -139,9 +139,10 @@ def test_odd_rows_and_empty_tables_encode(odd, empty, tokenizer):
 
 def test_changed_input_is_an_error(spark):
     wrong = bpe._joined(pa.int64())
-    places = pa.table({"doc_ids": [[1]], "sizes": [[1]], "raw": [4], "packed": [b""]})
-    with pytest.raises(RuntimeError):
-        wrong(places, pa.table({"at": pa.array([1], pa.int32()), "ids": pa.array([b"\0\0\0\0"])}))
+    places = pa.table({"doc_ids": [[1]], "sizes": [[1]], "packed": [bpe.packed(np.array([0]))]})
+    for at in ([1], []):
+        with pytest.raises(RuntimeError):
+            wrong(places, pa.table({"words": pa.array([len(at)], pa.int32()), "ids": pa.array([0], pa.int32()), "packed": [bpe.packed(np.array(at), np.array(at) * 0)]}))
 
 
 def audited(rows, labels):
