@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.numeric import count_where, fixed
+from ..functions.numeric import fixed
 from ..functions.skeleton import GROUP_RANGES, J
 from ..operators.blocks import expand_range
 from ..operators import movement as H
+from ..operators import screening as S
 from ..operators.quantiles import exact_quantiles
 from ..session import materialise
 from . import oracle as O
 from . import tables as T
-from .registry import query
+from .registry import ORACLES, query
 
 r6 = T.r6
 R, MIN, FPS = 1, 2, 30.0
@@ -443,65 +444,126 @@ def h22(spark, sf):
     return rows.join(first, "movement_id", "left").select("movement_id", F.col("t.side").alias("executing_side"), F.col("t.technique").alias("technique"), "stance_side", "execution_anchor")
 
 
-SQL_THRESH = "th(metric, op, lo, hi) AS (VALUES ('knee', 'range', 60.0::DOUBLE, 120.0::DOUBLE), ('elbow', 'max', NULL, 110.0::DOUBLE), ('lean', 'min', 60.0::DOUBLE, NULL), ('twist', NULL, NULL, NULL))"
-_THRESH = {"knee": ("range", 60.0, 120.0), "elbow": ("max", None, 110.0), "lean": ("min", 60.0, None), "twist": (None, None, None)}
-_MJ = {"knee": (11, 13, 15), "elbow": (5, 7, 9), "lean": (5, 6, 11, 12), "twist": (5, 6, 11, 12)}
-SQL_METRICS = f"""{SQL_FIX}, {_wide(_BODY, 'cw', 'w')}, vv AS (SELECT session_id, movement, {O.angle('left_hip', 'left_knee', 'left_ankle', 1e-9)} AS knee, {O.angle('left_shoulder', 'left_elbow', 'left_wrist', 1e-9)} AS elbow, {_LEAN} AS lean, {_flat(_SH, _HP, True)} AS twist FROM w),
-me AS ({' UNION ALL '.join(f"SELECT session_id, movement, '{m}' AS metric, CASE WHEN count({m}) >= 3 THEN median({m}) END AS value FROM vv GROUP BY ALL" for m in _THRESH)}), {SQL_THRESH},
-sc AS (SELECT me.*, op, lo, hi, CASE op WHEN 'max' THEN value - hi WHEN 'min' THEN lo - value WHEN 'range' THEN CASE WHEN value < lo THEN lo - value WHEN value > hi THEN value - hi ELSE -least(value - lo, hi - value) END END AS margin FROM me JOIN th USING (metric)),
-ss AS (SELECT *, margin / CASE op WHEN 'max' THEN abs(hi) WHEN 'min' THEN abs(lo) ELSE CASE WHEN value < lo THEN abs(lo) WHEN value > hi THEN abs(hi) ELSE abs(hi - lo) END END AS norm,
- CASE WHEN op IS NULL THEN 'measured_diagnostic_only' WHEN value IS NULL THEN 'not_measurable' WHEN margin > 0 THEN 'review_candidate' ELSE 'within_screening_range' END AS status FROM sc)"""
+# column of a metric in the queries above, where it differs
+_NAMES = {
+    "back_foot_yaw_to_stance_direction_deg": "back_foot_yaw_deg", "executing_wrist_peak_speed_body_scale_per_sec": "executing_wrist_peak_speed", "arae_fist_to_thigh_fist_ratio": "fist_to_thigh_fist_ratio",
+    "eolgul_fist_to_forehead_fist_ratio": "fist_to_forehead_fist_ratio", "kick_ankle_height_body_scale_ratio": "kick_ankle_height_ratio", "kick_landing_to_punch_sec": "landing_to_punch_sec",
+}
+
+
+def all_metrics(spark, sf):
+    """Every metric of every movement as rows (movement, metric, value), with what annotation needs, from one build of the windows."""
+    frames = materialise(whole_frames(spark, sf), "frames")
+    moves, labelled = scaled(spark, sf, frames)
+    moves = materialise(moves, "movements")
+    rows = H.anchor_windows(frames, moves, "session_id", "sample_idx", R).withColumn("c_fixation", H.completed("w_fixation", R, MIN))
+    side, front, scale = F.col("side"), F.col("stance_side"), F.col("scale")
+    fixed_at = lambda m, p=0.5: H.estimate(H.window_values("c_fixation", m), MIN, p)
+    plain_at = lambda w, m: H.estimate(H.window_values(w, m), MIN)
+    values = {
+        "torso_lean_p95_deg": fixed_at(H.torso_lean, 0.95), "back_foot_yaw_to_stance_direction_deg": plain_at("w_fixation", lambda f: H.back_foot_yaw(f, front, scale, FOOTG)), "shoulder_hip_twist_deg": fixed_at(H.twist),
+        "head_torso_yaw_mismatch_deg": fixed_at(lambda f: H.head_mismatch(f, scale, EYE)), "expected_side_dominance_ratio": H.side_dominance("w_preparation", "w_execution", side, MIN),
+        "reaction_hand_hip_distance_ratio": fixed_at(lambda f: H.hikite(f, H.other_side(side), scale)), "wrist_forearm_alignment_deg": fixed_at(lambda f: H.wrist_alignment(f, side, scale, PALM)), "fist_closure_ratio": fixed_at(lambda f: H.fist_closure(f, side, scale, PALM)),
+        "pelvis_weight_transfer_ratio": H.weight_transfer("w_preparation", "w_fixation", front, scale, MIN), "stance_span_ratio": fixed_at(lambda f: H.stance_span(f, scale)), "front_knee_deg": plain_at("w_fixation", lambda f: H.front_knee(f, front)),
+        "executing_wrist_height_torso_ratio": fixed_at(lambda f: H.wrist_height(f, side)), "executing_elbow_deg": plain_at("w_fixation", lambda f: H.executing_elbow(f, side)),
+        "arae_fist_to_thigh_fist_ratio": plain_at("w_fixation", lambda f: H.fist_to_thigh(f, side, scale, PALM)), "eolgul_fist_to_forehead_fist_ratio": plain_at("w_fixation", lambda f: H.fist_to_forehead(f, side, scale, PALM, EYE)),
+        "kick_knee_extension_deg": plain_at("w_kick_apex", lambda f: H.front_knee(f, side)), "kick_ankle_height_body_scale_ratio": plain_at("w_kick_apex", lambda f: H.ankle_height(f, side, scale)),
+        "kick_rechamber_knee_deg": plain_at("w_rechamber", lambda f: H.front_knee(f, side)), "support_foot_pivot_deg": H.support_pivot("w_preparation", "w_kick_apex", H.other_side(side), scale, FOOTG, MIN),
+        "kick_landing_to_punch_sec": (F.col("fixation") - F.col("rechamber")) / FPS,
+    }
+    # stored once: the expressions are long, and every row below reads them
+    own = materialise(rows.select(*moves.columns, *[fixed(v, 5).alias(m) for m, v in values.items()]), "metrics")
+    paths = H.trajectory_metrics(frames, moves, "session_id", "sample_idx", FPS)
+    paths = paths.select(*KEY, *[fixed(c, 5).alias({"executing_wrist_peak_speed": "executing_wrist_peak_speed_body_scale_per_sec"}.get(c, c)) for c in paths.columns if c not in KEY])
+    covered = H.group_coverage(labelled, "session_id")
+    covered = covered.select(*KEY, F.create_map(*[c for g in GROUP_RANGES for c in (F.lit(g), F.col(f"coverage_{g}"))]).alias("coverage"))
+    seen = labelled.groupBy(*KEY).agg(F.collect_list(F.struct(F.col("sample_idx").alias("i"), S.visibility("pts").alias("s"))).alias("seen"))
+    wide = own.join(paths, KEY, "left").join(covered, KEY, "left").join(seen, KEY, "left")
+    entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m, *_ in S.METRICS])
+    return wide.select(*moves.columns, "coverage", "seen", F.inline(entries))
 
 
 def screened(spark, sf):
-    left = F.lit("left")
-    fn = {"knee": lambda f: H.front_knee(f, left), "elbow": lambda f: H.executing_elbow(f, left), "lean": H.torso_lean, "twist": H.twist}
-    rows = windows(spark, sf)
-    entries = []
-    for m, (op, lo, hi) in _THRESH.items():
-        value = H.estimate(H.window_values("c_fixation", fn[m]), 3)
-        entries.append(F.struct(F.lit(m).alias("metric"), value.alias("value"), F.lit(op).cast("string").alias("op"), F.lit(lo).cast("double").alias("lo"), F.lit(hi).cast("double").alias("hi")))
-    tall = rows.select(*KEY, "w_fixation", F.inline(F.array(*entries)))
-    status, margin, norm = H.screen(F.col("value"), F.col("op"), F.col("lo"), F.col("hi"))
-    return tall.withColumns({"status": status, "margin": margin, "norm": norm})
+    return S.screened(all_metrics(spark, sf), S.rules(spark))
 
 
-@query("h23_screening", f"WITH {SQL_METRICS} SELECT session_id, movement, metric, {r6('value', 5)} AS value, status, {r6('margin', 5)} AS threshold_margin, {r6('norm')} AS normalized_margin FROM ss")
-def h23(spark, sf):
-    return screened(spark, sf).select(*KEY, "metric", fixed("value", 5).alias("value"), "status", fixed("margin", 5).alias("threshold_margin"), fixed("norm").alias("normalized_margin"))
+def annotated(spark, sf):
+    return S.annotated(screened(spark, sf), R)
 
 
-_MJV = ", ".join(f"('{m}', {j})" for m, js in _MJ.items() for j in js)
+def _values_of(name: str, metrics: str) -> str:
+    own = {v: k for k, v in _NAMES.items()}
+    return " UNION ALL ".join(f"SELECT session_id, movement, '{own.get(m, m)}' AS metric, CAST({m} AS DOUBLE) AS value FROM ({ORACLES[name]})" for m in metrics.split())
 
 
-@query(
-    "h24_evidence_annotation",
-    f"""WITH {SQL_METRICS}, mj(metric, jj) AS (VALUES {_MJV}), jc AS (SELECT session_id, movement, j, count(x) AS n, count(*) AS f FROM fw GROUP BY ALL),
-ev AS (SELECT ss.session_id, ss.movement, ss.metric, ss.status, list_sort(list(jj) FILTER (WHERE n < 0.7 * f)) AS miss, sum(n) AS seen FROM ss JOIN mj USING (metric) JOIN jc ON jc.session_id = ss.session_id AND jc.movement = ss.movement AND jc.j = jj GROUP BY ALL)
-SELECT session_id, movement, metric, coalesce(miss, []) AS missing_joints, CAST(seen AS INTEGER) AS joint_samples, CASE WHEN status = 'not_measurable' THEN CASE WHEN len(coalesce(miss, [])) > 0 THEN 'required_joint_window_coverage_below_minimum' ELSE 'geometry_implausible' END END AS not_measurable_reason FROM ev""",
-)
+def _text(value) -> str:
+    return "NULL" if value is None else f"{value}::DOUBLE" if isinstance(value, float) else f"{value!r}" if isinstance(value, str) else f"{value!r}::{'INTEGER' if not value or isinstance(value[0], int) else 'VARCHAR'}[]"
+
+
+def _spans(first: bool) -> str:
+    edge = (lambda a: f"greatest(start_frame, {a} - {R})") if first else (lambda a: f"least(end_frame, {a} + {R})")
+    ends = {"preparation_to_execution": ("preparation", "execution"), "preparation_to_kick_apex": ("preparation", "kick_apex"), "landing_to_punch_execution": ("rechamber", "fixation")}
+    cases = [("fixation_window", edge("fixation")), ("kick_apex_window", edge("kick_apex")), ("kick_rechamber_window", edge("rechamber")), *[(k, v[0 if first else 1]) for k, v in ends.items()]]
+    return "CASE scope " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in cases) + " END"
+
+
+SQL_SCREENED = f"""{SQL_MOVES}, me AS ({' UNION ALL '.join([
+    _values_of('h2_window_estimate', 'front_knee_deg executing_elbow_deg'), _values_of('h5_h7_posture_metrics', 'torso_lean_p95_deg shoulder_hip_twist_deg head_torso_yaw_mismatch_deg'), _values_of('h8_side_dominance', 'expected_side_dominance_ratio'),
+    _values_of('h9_h11_hand_metrics', 'reaction_hand_hip_distance_ratio wrist_forearm_alignment_deg fist_closure_ratio'),
+    _values_of('h12_h16_trajectory_metrics', 'hand_foot_settle_difference_sec fixation_wrist_jitter_ratio executing_wrist_path_efficiency executing_wrist_peak_speed'), _values_of('h14_weight_transfer', 'pelvis_weight_transfer_ratio'),
+    _values_of('h17_stance_and_technique', 'stance_span_ratio executing_wrist_height_torso_ratio'), _values_of('h18_back_foot_yaw', 'back_foot_yaw_deg'), _values_of('h19_h20_fist_distances', 'fist_to_thigh_fist_ratio fist_to_forehead_fist_ratio'),
+    _values_of('h21_kick_metrics', 'kick_knee_extension_deg kick_ankle_height_ratio kick_rechamber_knee_deg support_foot_pivot_deg landing_to_punch_sec')])}),
+ru(metric, technique, stance_family, side, stance_side, family, unit, criterion, scope, groups, joints, op, lo, hi) AS (VALUES {', '.join('(' + ', '.join(map(_text, r)) + ')' for r in S.rule_rows())}),
+sc AS (SELECT mv.*, ru.metric, value, family, unit, criterion, scope, groups, joints, op, lo, hi, CASE op WHEN 'max' THEN value - hi WHEN 'min' THEN lo - value WHEN 'range' THEN CASE WHEN value < lo THEN lo - value WHEN value > hi THEN value - hi ELSE -least(value - lo, hi - value) END END AS margin
+ FROM mv JOIN ru ON ru.technique = mv.technique AND ru.stance_family = mv.stance_family AND ru.side = mv.side AND ru.stance_side = mv.stance_side LEFT JOIN me ON me.session_id = mv.session_id AND me.movement = mv.movement AND me.metric = ru.metric),
+ss AS (SELECT *, margin / greatest(CASE op WHEN 'max' THEN abs(hi) WHEN 'min' THEN abs(lo) ELSE CASE WHEN value < lo THEN abs(lo) WHEN value > hi THEN abs(hi) ELSE abs(hi - lo) END END, 1e-9) AS norm, {_spans(True)} AS window_start, {_spans(False)} AS window_end,
+ CASE WHEN op IS NULL THEN 'measured_diagnostic_only' WHEN value IS NULL THEN 'not_measurable' WHEN margin > 0 THEN 'review_candidate' ELSE 'within_screening_range' END AS status FROM sc)"""
+_WHY = f"""gc AS (SELECT session_id, movement, {', '.join(f"avg((x IS NOT NULL)::INT) FILTER (WHERE j BETWEEN {lo} AND {hi}) AS {g}" for g, (lo, hi) in GROUP_RANGES.items())} FROM lp GROUP BY ALL),
+gf AS (SELECT session_id, movement, [g FOR g IN [{', '.join(f"CASE WHEN {g} < 0.75 THEN '{g}' END" for g in GROUP_RANGES)}] IF g IS NOT NULL] AS failing FROM gc),
+jn AS (SELECT q.session_id, q.movement, metric, place, j, sum(v) AS n, any_value(window_end - window_start + 1) AS f FROM (SELECT s.session_id, s.movement, metric, window_start, window_end, unnest(joints) AS jj, unnest(range(len(joints))) AS place FROM ss s) q
+ JOIN (SELECT session_id, movement, sample_idx, j, (x IS NOT NULL)::INT AS v FROM lp) l ON l.session_id = q.session_id AND l.movement = q.movement AND l.j = jj AND sample_idx BETWEEN window_start AND window_end GROUP BY ALL),
+jm AS (SELECT session_id, movement, metric, list(CAST(n AS INTEGER) ORDER BY place) AS joint_samples, coalesce(list(j ORDER BY place) FILTER (WHERE n < 0.75 * f), []) AS missing_joints FROM jn GROUP BY ALL),
+an AS (SELECT ss.*, coalesce(joint_samples, []) AS joint_samples, coalesce(missing_joints, []) AS missing_joints, list_filter(groups, lambda g: list_contains(failing, g)) AS failed_groups, CASE WHEN status = 'not_measurable' THEN CASE WHEN len(list_filter(groups, lambda g: list_contains(failing, g))) > 0 THEN 'segment_group_coverage_below_minimum'
+  WHEN len(coalesce(missing_joints, [])) > 0 THEN 'required_joint_window_coverage_below_minimum' ELSE 'metric_geometry_implausible_or_trajectory_evidence_insufficient' END END AS why
+ FROM ss JOIN gf USING (session_id, movement) LEFT JOIN jm USING (session_id, movement, metric))"""
+
+
+@query("h23_screening", f"WITH {SQL_SCREENED} SELECT session_id, movement, metric, family, unit, criterion, op AS operator, {r6('value', 5)} AS value, status, {r6('margin', 5)} AS threshold_margin, {r6('norm')} AS normalized_margin FROM ss")
+def h23(spark, sf):
+    """All 24 metrics of every movement against the rule table: 19 limits by technique and stance, the rest diagnostic only."""
+    return screened(spark, sf).select(*KEY, "metric", "family", "unit", "criterion", "operator", fixed("value", 5).alias("value"), "status", fixed("margin", 5).alias("threshold_margin"), fixed("norm").alias("normalized_margin"))
+
+
+@query("h24_evidence_annotation", f"WITH {SQL_SCREENED}, {_WHY} SELECT session_id, movement, metric, scope, window_start, window_end, failed_groups, joint_samples, missing_joints, why AS not_measurable_reason FROM an")
 def h24(spark, sf):
-    need = F.create_map(*[c for m, js in _MJ.items() for c in (F.lit(m), F.array(*map(F.lit, js)))])
-    rows = screened(spark, sf).withColumn("need", need[F.col("metric")])
-    counts = F.transform("need", lambda j: F.struct(j.alias("j"), F.size(F.filter("w_fixation", lambda f: F.get(f["pts"], j).isNotNull())).alias("n")))
-    rows = rows.withColumn("counts", counts)
-    missing = F.array_sort(F.transform(F.filter("counts", lambda c: c["n"] < 0.7 * F.size("w_fixation")), lambda c: c["j"]))
-    rows = rows.withColumns({"missing_joints": missing, "joint_samples": F.aggregate("counts", F.lit(0), lambda s, c: s + c["n"])})
-    why = F.when(F.size("missing_joints") > 0, "required_joint_window_coverage_below_minimum").otherwise("geometry_implausible")
-    return rows.select(*KEY, "metric", "missing_joints", "joint_samples", F.when(F.col("status") == "not_measurable", why).alias("not_measurable_reason"))
+    return annotated(spark, sf).select(*KEY, "metric", "scope", "window_start", "window_end", "failed_groups", "joint_samples", "missing_joints", "not_measurable_reason")
 
 
 @query(
     "h25_coverage_summary",
-    f"""WITH {SQL_METRICS} SELECT session_id, count(*) AS metric_count, count(*) FILTER (WHERE op IS NOT NULL) AS thresholded, count(*) FILTER (WHERE op IS NOT NULL AND value IS NOT NULL) AS measurable, count(*) FILTER (WHERE status = 'review_candidate') AS candidates,
- count(*) FILTER (WHERE op IS NOT NULL AND value IS NOT NULL) >= 0.8 * count(*) FILTER (WHERE op IS NOT NULL) AS coverage_passed FROM ss GROUP BY ALL""",
+    f"""WITH {SQL_SCREENED}, c AS (SELECT session_id, count(*) AS metric_count, count(*) FILTER (WHERE op IS NOT NULL) AS thresholded, count(*) FILTER (WHERE op IS NOT NULL AND value IS NOT NULL) AS measurable, count(*) FILTER (WHERE status = 'review_candidate') AS candidates,
+ count(*) FILTER (WHERE status = 'within_screening_range') AS within FROM ss GROUP BY ALL) SELECT *, {r6('measurable / thresholded')} AS coverage_ratio, measurable >= 0.9 * thresholded AS coverage_passed FROM c""",
 )
 def h25(spark, sf):
-    ruled = F.col("op").isNotNull()
-    out = screened(spark, sf).groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("metric_count"), count_where(ruled).alias("thresholded"), count_where(ruled & F.col("value").isNotNull()).alias("measurable"), count_where(F.col("status") == "review_candidate").alias("candidates")
-    )
-    return out.withColumn("coverage_passed", F.col("measurable") >= 0.8 * F.col("thresholded"))
+    return S.coverage_summary(screened(spark, sf), ["session_id"]).withColumn("coverage_ratio", fixed("coverage_ratio"))
+
+
+@query(
+    "h25_family_and_reason_counts",
+    f"WITH {SQL_SCREENED}, {_WHY} SELECT session_id, 'candidate_family' AS kind, family AS name, count(*) AS n FROM an WHERE status = 'review_candidate' GROUP BY ALL UNION ALL SELECT session_id, 'not_measurable_reason', why, count(*) FROM an WHERE status = 'not_measurable' GROUP BY ALL",
+)
+def h25b(spark, sf):
+    return S.status_counts(annotated(spark, sf), ["session_id"])
+
+
+@query(
+    "h25_candidate_events",
+    f"""WITH {SQL_SCREENED} SELECT 'WB-' || session_id || '-' || movement || '-' || metric AS event_id, session_id, movement, family, metric, criterion, {r6('value', 5)} AS value, unit, {r6('margin', 5)} AS threshold_margin, 'review_candidate_not_deduction' AS decision_status, 'pending' AS human_review_status,
+ 'blocked_unvalidated_screening_threshold' AS rule_eligibility FROM ss WHERE status = 'review_candidate'""",
+)
+def h25c(spark, sf):
+    events = S.candidate_events(screened(spark, sf), KEY)
+    return events.select("event_id", *KEY, "family", "metric", "criterion", fixed("value", 5).alias("value"), "unit", fixed("margin", 5).alias("threshold_margin"), "decision_status", "human_review_status", "rule_eligibility")
 
 
 @query(
