@@ -26,11 +26,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that ten documents share; n_chars counts what is left. One of only such lines stays, empty."""
-    kept = lines.dedup_lines(docs.withColumnRenamed("text", "__text").withColumn("text", F.col("__text")))
-    text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("__text"))
-    named = {"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return kept.select(*[named[c].alias(c) if named.get(c) is not None else F.col(c) for c in docs.columns])
+    """Every document, without the lines that ten documents share; n_chars counts what is left. One of only such lines stays, empty.
+
+    A row travels as one struct beside its id and text, so columns of any name come through as they were.
+    """
+    kept = lines.dedup_lines(docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row")))
+    changed = F.col("n_dropped") > 0
+    named = {"text": F.when(changed, F.col("kept")).otherwise(F.col("__row.text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("__row.n_chars")) if "n_chars" in docs.columns else None}
+    return kept.select(*[named[c].alias(c) if named.get(c) is not None else F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +43,10 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one on a source's cut is shortened and n_chars follows."""
-    mixed = mixing.mixed(docs)
+    """Documents as often as the mix takes them; the one on a source's cut is shortened and n_chars follows. Other columns are as they were."""
+    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("__row"))
+    mixed = mixing.mixed(rows)
+    mixed = mixed.select(*[(F.col("text") if c == "text" else F.col("__row").getField(c)).alias(c) for c in docs.columns])
     return mixed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else mixed
 
 
