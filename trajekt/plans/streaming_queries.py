@@ -9,6 +9,7 @@ from ..operators import boxes as B
 from ..session import ensure_checkpoint_dir
 from ..streaming import causal as C
 from . import tables as T
+from .geometry_queries import _sql_bbox
 from .registry import query
 from .source_queries import scratch
 
@@ -73,7 +74,49 @@ def candidate_boxes(spark, sf):
     return out.select(*FRAME, *[c.alias(n) for n, c in zip(("x0", "y0", "x1", "y1"), B.box("bbox"))])
 
 
-@query("e17_tracked_boxes")
+def _inside(text: str, last: int) -> str:
+    return f"greatest(least({text}, {last}), 0.0)"
+
+
+SQL_CANDIDATES = f"""{T.SQL_VIEWS}, {_sql_bbox(5, 32.0)},
+cb AS (SELECT session_id, camera_id, sample_idx, row_number() OVER (PARTITION BY session_id, camera_id ORDER BY sample_idx) AS rn, {', '.join(f"{_inside(f'c{a} {sign} {side} / 2', last)} AS {a}{k}" for k, sign in ((0, '-'), (1, '+')) for a, side, last in (('x', 'w', 1279), ('y', 'h', 719)))} FROM bx WHERE n >= 5)"""
+# the recurrence one frame at a time, from centre (c) and size (s) of the held box (o) and the seen one (n)
+SQL_FOLLOWED = f"""{SQL_CANDIDATES}, tr AS (SELECT session_id, camera_id, sample_idx, rn, x0, y0, x1, y1 FROM cb WHERE rn = 1 UNION ALL
+SELECT session_id, camera_id, sample_idx, rn, {_inside('cx - sx / 2', 1279)}, {_inside('cy - sy / 2', 719)}, {_inside('cx + sx / 2', 1279)}, {_inside('cy + sy / 2', 719)} FROM (
+ SELECT *, {', '.join(f'oc{a} + (1 - pow(0.65, g)) * k * (nc{a} - oc{a}) AS c{a}, os{a} + (1 - pow(CASE WHEN ch{a} >= 0 THEN 0.75 ELSE 0.92 END, g)) * ch{a} AS s{a}' for a in 'xy')} FROM (
+ SELECT *, least(1.0, 0.30 * sqrt(osx * osx + osy * osy) * g / greatest(sqrt(pow(ncx - ocx, 2) + pow(ncy - ocy, 2)), 1e-300)) AS k, {', '.join(f'least(greatest(ns{a}, os{a} * pow(0.75, least(g, 3))), os{a} * pow(1.35, least(g, 3))) - os{a} AS ch{a}' for a in 'xy')} FROM (
+ SELECT b.session_id, b.camera_id, b.sample_idx, b.rn, greatest(b.sample_idx - t.sample_idx, 1)::DOUBLE AS g, {', '.join(f'(t.{a}0 + t.{a}1) / 2 AS oc{a}, (b.{a}0 + b.{a}1) / 2 AS nc{a}, greatest(t.{a}1 - t.{a}0, 32.0) AS os{a}, greatest(b.{a}1 - b.{a}0, 32.0) AS ns{a}' for a in 'xy')}
+ FROM tr t JOIN cb b ON b.session_id = t.session_id AND b.camera_id = t.camera_id AND b.rn = t.rn + 1))))"""
+
+
+def _padded(name: str) -> str:
+    size = {a: f"greatest({name}{a}1 - {name}{a}0, 2.0) * 1.36" for a in "xy"}
+    return ", ".join(f"{_inside(f'({name}{a}0 + {name}{a}1) / 2 {sign} {size[a]} / 2', last)} AS p{name}{a}{k}" for k, sign in ((0, "-"), (1, "+")) for a, last in (("x", 1279), ("y", 719)))
+
+
+def sql_identity(mine: str, my_conf: str, decoy: str, decoy_conf: str) -> str:
+    """Identity and steadied box one frame at a time; every frame has the athlete's box (1) and a decoy (2), where their conditions hold."""
+    box = lambda a: f"CASE WHEN choice = id THEN oc{a} + wt * (nc{a} - oc{a}) {{0}} (os{a} + wt * (ns{a} - os{a})) / 2 ELSE n{a}{{1}} END"
+    return f"""{SQL_CANDIDATES}, dt AS (SELECT *, sample_idx + session_id AS n FROM cb),
+d1 AS (SELECT *, x0 AS mx0, y0 AS my0, x1 AS mx1, y1 AS my1, x0 + 60.0 AS dx0, y0 AS dy0, x0 + 60.0 + (x1 - x0) * 0.5 AS dx1, y1 AS dy1, CAST({my_conf} AS DOUBLE) AS mc, CAST({decoy_conf} AS DOUBLE) AS dc, ({mine}) AND x1 > x0 AND y1 > y0 AS mu, ({decoy}) AND x1 > x0 AND y1 > y0 AS du FROM dt),
+d2 AS (SELECT *, mu AND mc >= 0.65 AS ms, du AND dc >= 0.65 AS ds, (mx1 - mx0) * (my1 - my0) AS ma, (dx1 - dx0) * (dy1 - dy0) AS da FROM d1),
+d3 AS (SELECT *, greatest(CASE WHEN ms THEN ma ELSE 0 END, CASE WHEN ds THEN da ELSE 0 END, 1.0) AS top FROM d2),
+fd AS (SELECT session_id, camera_id, sample_idx, rn, mu, du, mc, dc, {_padded('m')}, {_padded('d')}, CASE WHEN ms AND (NOT ds OR mc + 0.08 * sqrt(ma / top) >= dc + 0.08 * sqrt(da / top)) THEN 1 WHEN ds THEN 2 END AS best FROM d3),
+tr AS (SELECT session_id, camera_id, CAST(0 AS BIGINT) AS sample_idx, CAST(0 AS BIGINT) AS rn, -1 AS id, 0 AS missed, 0.0::DOUBLE AS conf, 0.0::DOUBLE AS x0, 0.0::DOUBLE AS y0, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS y1, FALSE AS shown, FALSE AS found FROM fd WHERE rn = 1 UNION ALL
+SELECT session_id, camera_id, sample_idx, rn, CASE WHEN choice IS NULL THEN id ELSE choice END, CASE WHEN choice IS NULL THEN mi ELSE 0 END, CASE WHEN choice IS NULL THEN conf ELSE nconf END,
+ {', '.join(f"CASE WHEN choice IS NULL THEN {a}{k} ELSE {box(a).format('-' if k == 0 else '+', k)} END" for k in (0, 1) for a in 'xy')}, choice IS NOT NULL OR (id >= 0 AND mi <= 30), choice IS NOT NULL FROM (
+ SELECT *, 0.35 + 0.65 * least(1.0, (sqrt(pow(ncx - ocx, 2) + pow(ncy - ocy, 2)) / greatest(sqrt(osx * osx + osy * osy), 2.0) + greatest(abs(ln(nsx / osx)), abs(ln(nsy / osy)))) / 0.12) AS wt FROM (
+ SELECT *, {', '.join(f'({a}0 + {a}1) / 2 AS oc{a}, greatest({a}1 - {a}0, 2.0) AS os{a}, (n{a}0 + n{a}1) / 2 AS nc{a}, greatest(n{a}1 - n{a}0, 2.0) AS ns{a}' for a in 'xy')} FROM (
+ SELECT *, CASE choice WHEN 1 THEN mc ELSE dc END AS nconf, {', '.join(f'CASE choice WHEN 1 THEN pm{a}{k} ELSE pd{a}{k} END AS n{a}{k}' for a in 'xy' for k in (0, 1))} FROM (
+ SELECT *, CASE WHEN seen THEN id WHEN id < 0 OR mi >= 12 THEN best END AS choice FROM (
+ SELECT *, missed + (id >= 0 AND NOT seen)::INT AS mi FROM (
+ SELECT f.*, t.id, t.missed, t.conf, t.x0, t.y0, t.x1, t.y1, (t.id = 1 AND mu) OR (t.id = 2 AND du) AS seen FROM tr t JOIN fd f ON f.session_id = t.session_id AND f.camera_id = t.camera_id AND f.rn = t.rn + 1)))))))"""
+
+
+_BOX3 = ", ".join(f"{r6(c, 3)} AS {c}" for c in ("x0", "y0", "x1", "y1"))
+
+
+@query("e17_tracked_boxes", f"WITH RECURSIVE {SQL_FOLLOWED} SELECT session_id, camera_id, sample_idx, {_BOX3} FROM tr")
 def e17(spark, sf):
     return C.track_boxes(candidate_boxes(spark, sf)).withColumns({c: fixed(c, 3) for c in ("x0", "y0", "x1", "y1")})
 
@@ -89,12 +132,16 @@ def detections(spark, sf):
     return b.select(*FRAME, F.array_compact(F.array(F.when(n % 9 != 0, me), F.when(n % 4 != 3, decoy))).alias("dets"))
 
 
-@query("e18_identity_selection")
+@query(
+    "e18_identity_selection",
+    f"""WITH RECURSIVE {sql_identity('n % 9 <> 0', '0.60 + (n % 8) * 0.05::DOUBLE', 'n % 4 <> 3', '0.55 + (n % 5) * 0.09::DOUBLE')}
+SELECT session_id, camera_id, sample_idx, id AS track_id, {r6('conf', 3)} AS confidence, found AS detected, {_BOX3} FROM tr WHERE shown""",
+)
 def e18(spark, sf):
     return C.select_identity(detections(spark, sf)).withColumns({c: fixed(c, 3) for c in ("x0", "y0", "x1", "y1", "confidence")})
 
 
-@query("e19_box_stabiliser")
+@query("e19_box_stabiliser", f"WITH RECURSIVE {sql_identity('TRUE', '0.9', 'FALSE', '0.0')} SELECT session_id, camera_id, sample_idx, {_BOX3} FROM tr WHERE shown")
 def e19(spark, sf):
     """Every frame's own box padded and steadied, always the same identity."""
     b = candidate_boxes(spark, sf)

@@ -13,12 +13,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.skeleton import SIDE_PAIRS
 from ..operators.blocks import carry, index_block, with_halo
+from ..session import materialise
 
 FRAME = "session_id int, camera_id string, sample_idx bigint, person_id int, xs array<double>, ys array<double>, scores array<double>, valid array<boolean>"
 STATE = "frame bigint, person int, xy array<double>, velocity array<double>, scores array<double>, valid array<boolean>, pending binary"
@@ -298,67 +299,157 @@ class Tracks:
 
 
 TRACK = "session_id int, camera_id string, sample_idx bigint, track_id int, confidence double, detected boolean, x0 double, y0 double, x1 double, y1 double"
+#: Frames in a slice of a series. Tracks forget: two that start apart are bit for bit the same after some hundred frames.
+SLICE_FRAMES = 4096
 
 
-def _by_frame(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, list[np.ndarray]]]:
-    """Batches in frame order with each row's series number and the rows of each frame; a series is in a frame's rows once."""
+class Boxes:
+    """The followed box of many series at once, a row (x0, y0, x1, y1, frame) for each."""
+
+    width = 5
+
+    def __init__(self, image: tuple[int, int]):
+        self.image, self.state = image, np.zeros((0, 5))
+
+    def grow(self, n: int) -> None:
+        self.state = np.vstack([self.state, np.full((max(n - len(self.state), 0), 5), np.nan)])
+
+    def read(self, pdf: pd.DataFrame) -> None:
+        self.seen, self.frame = pdf[CORNERS].to_numpy(float), pdf["sample_idx"].to_numpy(float)
+
+    def step(self, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        held, seen = self.state[at], self.seen[rows]
+        fresh = np.isnan(held[:, 0])
+        gap = np.where(fresh, 1.0, self.frame[rows] - np.where(fresh, 0.0, held[:, 4]))
+        self.state[at, :4] = np.where(fresh[:, None], seen, followed(np.where(fresh[:, None], seen, held[:, :4]), seen, gap.astype(int), self.image))
+        self.state[at, 4] = self.frame[rows]
+        return np.ones(len(at), bool), np.ones(len(at), bool)
+
+
+class Identities(Tracks):
+    """Tracks whose state is one row (id, frames missed, confidence, box) for each series."""
+
+    width = 7
+    fields = (*CORNERS, "conf", "track_id")
+
+    @property
+    def state(self) -> np.ndarray:
+        return np.column_stack([self.id, self.missed, self.conf, self.box]).astype(float)
+
+    def read(self, pdf: pd.DataFrame) -> None:
+        size = pdf["x0"].str.len().to_numpy(int)
+        self.dets = np.full((len(pdf), max(size.max(), 1), len(self.fields)), np.nan)
+        here = np.arange(self.dets.shape[1]) < size[:, None]
+        for k, f in enumerate(self.fields):
+            self.dets[here, k] = np.concatenate(pdf[f].to_numpy()).astype(float)
+        self.sure = self.usable(self.dets)
+        self.best = best_detections(self.dets, self.sure, self.cfg.target_confidence)
+
+    def enter(self, slots: np.ndarray, state: np.ndarray) -> None:
+        self.id[slots], self.missed[slots], self.conf[slots], self.box[slots] = state[:, 0].astype(int), state[:, 1].astype(int), state[:, 2], state[:, 3:]
+
+    def step(self, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return super().step(at, self.dets[rows], self.sure[rows], self.best[rows])
+
+
+def _rows_of(state) -> np.ndarray:
+    return np.stack([np.array([np.nan if v is None else v for v in s], float) for s in state])
+
+
+def in_slices(rows: DataFrame, keys: Sequence[str], make, slice_frames: int = SLICE_FRAMES) -> DataFrame:
+    """`rows` with st, shown and found: the state of a recurrence after each row, in order of sample_idx within the keys.
+
+    A series is cut into slices of time, which all run at once, each as if nothing came before. Then the state at the end of a slice is handed
+    to the next one, which runs again from it, but only until its state is the one it had there anyway: from that row on nothing changes. Slices
+    whose end has changed hand over again, until none has. So the result is that of one run from the first row to the last, no task holds more than
+    its slices, and for recurrences that forget the second run is short and the last. Each run is a stored table.
+
+    `make()` gives the recurrence for many series at once: state, width, grow, read and step, and enter where state is not an array.
+    """
+    keys = list(keys)
+    inputs = rows.columns
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", slice bigint, st array<double>, shown boolean, found boolean"
+    sliced = rows.withColumn("slice", F.floor(F.col("sample_idx") / slice_frames).cast("long"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, met = make(), np.zeros(0, bool)
+        for pdf, series, frames in _by_frame(batches, [*keys, "slice"], slice_frames):
+            known, n = len(met), int(series.max()) + 1
+            model.grow(n)
+            met = np.append(met, np.zeros(max(n - known, 0), bool))
+            first = np.unique(series, return_index=True)
+            fresh = first[0] >= known
+            slots, at_row = first[0][fresh], first[1][fresh]
+            has = pdf["entry"].notna().to_numpy()
+            again = pdf["st"].notna().to_numpy()
+            given = has[at_row]
+            if given.any():
+                state = _rows_of(pdf["entry"].to_numpy()[at_row[given]])
+                model.enter(slots[given], state) if hasattr(model, "enter") else model.state.__setitem__(slots[given], state)
+            # a series that ran before and gets no new state stays as it is
+            met[slots[again[at_row] & ~given]] = True
+            old = np.full((len(pdf), model.width), np.nan)
+            if again.any():
+                old[again] = _rows_of(pdf["st"].to_numpy()[again])
+            shown, found = (pdf[c].eq(True).to_numpy(bool).copy() for c in ("shown", "found"))
+            state = old.copy()
+            model.read(pdf)
+            for own in frames:
+                own = own[~met[series[own]]]
+                if not len(own):
+                    continue
+                at = series[own]
+                shown[own], found[own] = model.step(at, own)
+                now = model.state[at]
+                state[own] = now
+                same = ((now == old[own]) | (np.isnan(now) & np.isnan(old[own]))).all(axis=1) & again[own]
+                met[at[same]] = True
+            yield pdf[[*inputs, "slice"]].assign(st=list(state), shown=shown, found=found)
+
+    none = [F.lit(None).cast("array<double>").alias("entry"), F.lit(None).cast("array<double>").alias("st"), F.lit(None).cast("boolean").alias("shown"), F.lit(None).cast("boolean").alias("found")]
+    place = F.col("sample_idx") - F.col("slice") * slice_frames
+
+    def ran(frame: DataFrame) -> DataFrame:
+        dealt = frame.withColumn("__at", place).repartition(*keys, "slice").sortWithinPartitions("__at", *keys, "slice").drop("__at")
+        return materialise(dealt.mapInPandas(run, schema), "slices")
+
+    now = ran(sliced.select("*", *none))
+    before = Window.partitionBy(*keys).orderBy("slice")
+    used = None
+    while True:
+        ends = now.groupBy(*keys, "slice").agg(F.max_by("st", "sample_idx").alias("end"))
+        handed = materialise(ends.select(*keys, "slice", F.lag("end").over(before).alias("entry")).where("entry is not null"), "handover")
+        fresh = handed if used is None else handed.join(used.withColumnRenamed("entry", "__was"), [*keys, "slice"], "left").where(~F.col("entry").eqNullSafe(F.col("__was"))).drop("__was")
+        if fresh.isEmpty():
+            return now.drop("slice")
+        used = handed
+        now = ran(now.join(fresh, [*keys, "slice"], "left").select(*inputs, "slice", "entry", "st", "shown", "found"))
+
+
+def _by_frame(batches: Iterator[pd.DataFrame], keys: Sequence[str], span: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, list[np.ndarray]]]:
+    """Batches with each row's series number and the rows of each place in a slice; a series is in a place's rows once."""
     numbers: dict[tuple, int] = {}
     for pdf in batches:
         if not len(pdf):
             continue
         series = pdf.groupby(list(keys), sort=False, dropna=False)
         own = [numbers.setdefault(k, len(numbers)) for k in pdf[list(keys)].drop_duplicates().itertuples(index=False, name=None)]
+        place = pdf["sample_idx"] - pdf["slice"] * span
         turn = pdf.groupby([*keys, "sample_idx"], sort=False, dropna=False).cumcount()
-        frames = pdf.groupby([pdf["sample_idx"], turn], sort=True).indices
+        frames = pdf.groupby([place, turn], sort=True).indices
         yield pdf, np.array(own)[series.ngroup().to_numpy()], list(frames.values())
 
 
-def select_identity(detections: DataFrame, cfg: TrackSettings = TrackSettings(), keys: Sequence[str] = ("session_id", "camera_id")) -> DataFrame:
+def select_identity(detections: DataFrame, cfg: TrackSettings = TrackSettings(), keys: Sequence[str] = ("session_id", "camera_id"), slice_frames: int = SLICE_FRAMES) -> DataFrame:
     """One tracked person per (session, camera, frame). ``detections`` has one row per frame with the
     frame's few boxes as dets array<struct<x0, y0, x1, y1, conf, track_id>>."""
-    fields = [*CORNERS, "conf", "track_id"]
-    columns = [F.coalesce(F.col("dets")[f].cast("array<double>"), F.array().cast("array<double>")).alias(f) for f in fields]
-    ordered = detections.select(*keys, "sample_idx", *columns).repartition(*keys).sortWithinPartitions("sample_idx", *keys)
+    columns = [F.coalesce(F.col("dets")[f].cast("array<double>"), F.array().cast("array<double>")).alias(f) for f in Identities.fields]
+    done = in_slices(detections.select(*keys, "sample_idx", *columns), keys, lambda: Identities(cfg), slice_frames)
+    box = [F.col("st")[3 + k].alias(c) for k, c in enumerate(CORNERS)]
+    return done.where("shown").select(*keys, "sample_idx", F.col("st")[0].cast("int").alias("track_id"), F.col("st")[2].alias("confidence"), F.col("found").alias("detected"), *box)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tracks = Tracks(cfg)
-        for pdf, series, frames in _by_frame(batches, keys):
-            tracks.grow(series.max() + 1)
-            size = pdf["x0"].str.len().to_numpy(int)
-            dets = np.full((len(pdf), max(size.max(), 1), len(fields)), np.nan)
-            here = np.arange(dets.shape[1]) < size[:, None]
-            for k, f in enumerate(fields):
-                dets[here, k] = np.concatenate(pdf[f].to_numpy()).astype(float)
-            usable = tracks.usable(dets)
-            best = best_detections(dets, usable, cfg.target_confidence)
-            shown, found = np.zeros(len(pdf), bool), np.zeros(len(pdf), bool)
-            ids, conf, box = np.zeros(len(pdf), int), np.zeros(len(pdf)), np.zeros((len(pdf), 4))
-            for rows in frames:
-                at = series[rows]
-                shown[rows], found[rows] = tracks.step(at, dets[rows], usable[rows], best[rows])
-                ids[rows], conf[rows], box[rows] = tracks.id[at], tracks.conf[at], tracks.box[at]
-            out = pdf[[*keys, "sample_idx"]].assign(track_id=ids, confidence=conf, detected=found, **dict(zip(CORNERS, box.T)))
-            yield out[shown]
-
-    return ordered.mapInPandas(scan, TRACK)
-
-
-def track_boxes(boxes: DataFrame, image: tuple[int, int] = (1280, 720), keys: Sequence[str] = ("session_id", "camera_id")) -> DataFrame:
-    """Sequentially updated box per camera from candidate boxes (columns x0, y0, x1, y1)."""
-    ordered = boxes.select(*keys, "sample_idx", *CORNERS).repartition(*keys).sortWithinPartitions("sample_idx", *keys)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, last = np.zeros((0, 4)), np.zeros(0, int)
-        for pdf, series, frames in _by_frame(batches, keys):
-            more = max(series.max() + 1 - len(held), 0)
-            held, last = np.vstack([held, np.full((more, 4), np.nan)]), np.append(last, np.zeros(more, int))
-            seen, frame = pdf[CORNERS].to_numpy(float), pdf["sample_idx"].to_numpy(int)
-            out = np.empty_like(seen)
-            for rows in frames:
-                at = series[rows]
-                next_box = followed(held[at], seen[rows], frame[rows] - last[at], image)
-                held[at] = np.where(np.isnan(held[at, :1]), seen[rows], next_box)
-                last[at], out[rows] = frame[rows], held[at]
-            yield pdf[[*keys, "sample_idx"]].assign(**dict(zip(CORNERS, out.T)))
-
-    return ordered.mapInPandas(scan, "session_id int, camera_id string, sample_idx bigint, x0 double, y0 double, x1 double, y1 double")
+def track_boxes(boxes: DataFrame, image: tuple[int, int] = (1280, 720), keys: Sequence[str] = ("session_id", "camera_id"), slice_frames: int = SLICE_FRAMES) -> DataFrame:
+    """Sequentially updated box per camera from candidate boxes (columns x0, y0, x1, y1)."""
+    done = in_slices(boxes.select(*keys, "sample_idx", *CORNERS), keys, lambda: Boxes(image), slice_frames)
+    return done.select(*keys, "sample_idx", *[F.col("st")[k].alias(c) for k, c in enumerate(CORNERS)])
