@@ -137,6 +137,26 @@ def test_bootstrap_interval_brackets_the_mean(spark):
     assert r.ci_low == pytest.approx(v.mean() - half, abs=0.5 * half) and r.ci_high == pytest.approx(v.mean() + half, abs=0.5 * half)
 
 
+@pytest.mark.parametrize("n,size", [(1000, 64), (64, 64), (65, 64), (3, 8), (513, 8)])
+def test_block_draws_of_a_resample_sum_to_its_frames(n, size):
+    blocks = -(-n // size)
+    draws = np.stack([V.block_draws(7, "s", n, b, size, 500) for b in range(blocks)])
+    assert (draws.sum(axis=0) == n).all() and (draws >= 0).all()
+    share = draws.mean(axis=1) / n
+    assert np.allclose(share, [min(size, n - b * size) / n for b in range(blocks)], atol=0.02)
+    assert np.array_equal(draws[0], V.block_draws(7, "s", n, 0, size, 500))
+
+
+def test_bootstrap_in_blocks_has_the_spread_of_the_mean(spark):
+    rng = np.random.default_rng(3)
+    values = rng.normal(10, 2, 900)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(values)] + [("a", 1000 + i, None) for i in range(40)] + [("b", 0, 4.0)], "session_id string, i long, v double")
+    rows = {r["session_id"]: r for r in V.bootstrap_ci(df, "session_id", "i", "v", samples=600, block=50).collect()}
+    half = 1.96 * values.std() / 30
+    assert abs(rows["a"]["ci_low"] - (values.mean() - half)) < 0.25 * half and abs(rows["a"]["ci_high"] - (values.mean() + half)) < 0.25 * half
+    assert (rows["b"]["ci_low"], rows["b"]["ci_high"]) == (4.0, 4.0)
+
+
 def test_greedy_match_equals_plain_loop(spark):
     rng = np.random.default_rng(12)
     rows, tol = [], 5

@@ -6,6 +6,8 @@ in the rows, never a range join that compares all pairs.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -126,12 +128,41 @@ def inferred_rate(df: DataFrame, keys: Sequence[str], idx: str, t: str, out: str
     return q.select(*keys, (1.0 / F.col("__m")).alias(out))
 
 
+class Pool:
+    """Unused detections of a stream in time order. What lies before the window of the reference asked last is dropped, as references come in order."""
+
+    def __init__(self):
+        self.times, self.ids, self.start = [], [], 0
+
+    def add(self, when, ident) -> None:
+        self.times.append(when)
+        self.ids.append(ident)
+
+    def nearest(self, when, tolerance):
+        """Place of the detection nearest to a time, the earlier and first added of equal ones; None if none is near enough."""
+        times = self.times
+        self.start = bisect_left(times, when - tolerance, self.start)
+        if self.start > 4096 and 2 * self.start > len(times):
+            del self.times[: self.start], self.ids[: self.start]
+            self.start = 0
+        right = bisect_left(times, when, self.start)
+        left = bisect_left(times, times[right - 1], self.start) if right > self.start else None
+        right = right if right < len(times) and times[right] - when <= tolerance else None
+        if left is None or right is None:
+            return right if left is None else left
+        return left if when - times[left] <= times[right] - when else right
+
+    def take(self, place: int):
+        del self.times[place]
+        return self.ids.pop(place)
+
+
 def greedy_match(detections: DataFrame, session: str, stream: str, t: str, det: str, reference: str, streams: Sequence[str], tolerance: float, block: Column) -> DataFrame:
     """Reference detections matched in time order with the nearest unused detection of every other stream.
 
     A choice commits only if all streams match, so the scan depends on its order. It runs separately on
     every stretch of time that no gap longer than the tolerance crosses (stretches cannot influence each
-    other) and keeps only the detections of the current tolerance window in memory.
+    other), keeps only the detections of the current tolerance window in memory and finds each choice by bisection.
     """
     others = [s for s in streams if s != reference]
     placed = ordinal(detections, [session], [t, stream, det], block, "__pos")
@@ -143,41 +174,30 @@ def greedy_match(detections: DataFrame, session: str, stream: str, t: str, det:
     schema = f"{session} {kinds[session]}, reference {kinds[det]}, " + ", ".join(f"{o} {kinds[det]}" for o in others)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {"key": None}
+        key, refs, pools = None, deque(), {}
 
         def flush(until) -> list[tuple]:
             done = []
-            while state["refs"] and (until is None or state["refs"][0][0] + tolerance < until):
-                when, ident = state["refs"].pop(0)
-                choice = []
-                for o in others:
-                    pool = [c for c in state["pool"][o] if abs(c[0] - when) <= tolerance]
-                    if not pool:
-                        break
-                    choice.append(min(pool, key=lambda c: abs(c[0] - when)))
-                if len(choice) == len(others):
-                    done.append((state["key"][0], ident, *[c[1] for c in choice]))
-                    for o, c in zip(others, choice):
-                        state["pool"][o].remove(c)
-                for o in others:
-                    state["pool"][o] = [c for c in state["pool"][o] if c[0] >= when - tolerance]
+            while refs and (until is None or refs[0][0] + tolerance < until):
+                when, ident = refs.popleft()
+                choice = [pools[o].nearest(when, tolerance) for o in others]
+                if all(c is not None for c in choice):
+                    done.append((key[0], ident, *[pools[o].take(c) for o, c in zip(others, choice)]))
             return done
 
         for pdf in batches:
             found: list[tuple] = []
-            for key, part, name, when, ident in zip(pdf[session], pdf["__part"], pdf[stream], pdf[t], pdf[det]):
-                if state["key"] != (key, part):
-                    if state["key"] is not None:
-                        found += flush(None)
-                    state = {"key": (key, part), "refs": [], "pool": {o: [] for o in others}}
+            for who, part, name, when, ident in zip(pdf[session], pdf["__part"], pdf[stream], pdf[t], pdf[det]):
+                if key != (who, part):
+                    found += flush(None)
+                    key, pools = (who, part), {o: Pool() for o in others}
                 found += flush(when)
                 if name == reference:
-                    state["refs"].append((when, ident))
-                elif name in state["pool"]:
-                    state["pool"][name].append((when, ident))
+                    refs.append((when, ident))
+                elif name in pools:
+                    pools[name].add(when, ident)
             yield pd.DataFrame(found, columns=[session, "reference", *others])
-        if state["key"] is not None:
-            yield pd.DataFrame(flush(None), columns=[session, "reference", *others])
+        yield pd.DataFrame(flush(None), columns=[session, "reference", *others])
 
     return ordered.mapInPandas(scan, schema)
 

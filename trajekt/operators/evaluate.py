@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
-from itertools import accumulate
-from math import exp, factorial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.numeric import reasons
-from .blocks import with_halo
+from .blocks import index_block, ordinal, with_halo
 from .quantiles import exact_quantiles
 
 # Default acceptance thresholds.
@@ -144,24 +144,51 @@ def bone_cv(lengths: DataFrame, session: str) -> DataFrame:
     return per_bone.groupBy(session).agg(F.median("cv").alias("bone_length_cv_percent"))
 
 
-def bootstrap_ci(frame_means: DataFrame, session: str, idx: str, value: str, samples: int = 1000, seed: int = 20260715) -> DataFrame:
-    """95 % interval of the mean frame value by resampling frames with replacement.
+def _source(seed: int, session, *place: int) -> np.random.Generator:
+    """Random numbers of one place: the same in every run and on every worker."""
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, zlib.crc32(str(session).encode()), *place])))
 
-    A frame's number of draws in one resample is Poisson(1) (the usual large-sample form of drawing n
-    of n): every frame adds its own weights, so the resample means are plain sums without any
-    regrouping of draws. Without resamples both ends are the mean. The draws are a hash of (seed, session, frame, resample), so reruns agree.
+
+def block_draws(seed: int, session, n: int, block: int, size: int, samples: int) -> np.ndarray:
+    """How many of the n draws of each resample fall into a block of `size` frames, when n frames are drawn n times with replacement.
+
+    A binary tree over the blocks: a node's draws split into its halves by a binomial with the halves' numbers of frames. A node's
+    numbers depend on the node alone, so every block finds its own share on the way from the root, and all shares sum to n.
     """
+    low, high, draws = 0, -(-n // size), np.full(samples, n)
+    while high - low > 1:
+        middle = (low + high) // 2
+        left, whole = (middle - low) * size, min(high * size, n) - low * size
+        taken = _source(seed, session, low, high).binomial(draws, left / whole)
+        draws, low, high = (taken, low, middle) if block < middle else (draws - taken, middle, high)
+    return draws
+
+
+def bootstrap_ci(frame_means: DataFrame, session: str, idx: str, value: str, samples: int = 1000, seed: int = 20260715, block: int = 4096) -> DataFrame:
+    """95 % interval of the mean frame value by resampling frames: n draws with replacement from n frames, `samples` times.
+
+    Draws are split over blocks of frames by a tree of binomials and within a block by a multinomial, so each resample has exactly n draws, every block
+    works alone, and what leaves it is `samples` sums, not a row for each frame and resample. Frames are numbered by `idx`, those
+    without a value left out. The numbers depend on (seed, session, block) only, so reruns agree. Without resamples both ends are the mean.
+    """
+    known = frame_means.where(F.col(value).isNotNull()).select(session, idx, F.col(value).cast("double").alias("__v"))
     if samples < 1:
-        return frame_means.where(F.col(value).isNotNull()).groupBy(session).agg(F.avg(value).alias("ci_low"), F.avg(value).alias("ci_high"))
-    # cumulative Poisson(1) probabilities, as far as a draw of 40 bits can tell them from 1
-    cdf = [c for c in accumulate(exp(-1.0) / factorial(k) for k in range(30)) if c <= 1.0 - 0.5**40]
-    draws = frame_means.where(F.col(value).isNotNull()).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    unit = F.pmod(F.xxhash64(F.lit(seed), F.col(session), F.col(idx), F.col("__b")), F.lit(1 << 40)) / float(1 << 40)
-    weight = sum((F.when(unit >= c, 1.0).otherwise(0.0) for c in cdf), F.lit(0.0))
-    sums = draws.withColumn("__w", weight).groupBy(session, "__b").agg(
-        F.sum("__w").alias("__n"), F.sum(F.col("__w") * F.col(value)).alias("__s")
-    )
-    means = sums.where("__n > 0").select(session, (F.col("__s") / F.col("__n")).alias("__m"))
+        return known.groupBy(session).agg(F.avg("__v").alias("ci_low"), F.avg("__v").alias("ci_high"))
+    placed = ordinal(known, [session], [idx], index_block(idx), "__pos").withColumn("__blk", F.floor(F.col("__pos") / block).cast("long"))
+    placed = placed.join(known.groupBy(session).agg(F.count(F.lit(1)).alias("__n")), session)
+    kind = dict(frame_means.dtypes)[session]
+
+    def sums(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__pos")
+        who, n, own = rows[session].iloc[0], int(rows["__n"].iloc[0]), int(rows["__blk"].iloc[0])
+        values, draws = rows["__v"].to_numpy(), block_draws(seed, who, n, own, block, samples)
+        inside = _source(seed, who, own, 0, 1)
+        even = np.full(len(values), 1.0 / len(values))
+        out = np.concatenate([inside.multinomial(draws[i : i + 64], even) @ values for i in range(0, samples, 64)])
+        return pd.DataFrame({session: [who] * samples, "__b": np.arange(samples), "__s": out, "__n": n})
+
+    parts = placed.groupBy(session, "__blk").applyInPandas(sums, f"{session} {kind}, __b int, __s double, __n long")
+    means = parts.groupBy(session, "__b").agg((F.sum("__s") / F.first("__n")).alias("__m"))
     # `samples` rows per session by construction
     return means.groupBy(session).agg(
         F.percentile("__m", F.lit(0.025)).alias("ci_low"), F.percentile("__m", F.lit(0.975)).alias("ci_high")

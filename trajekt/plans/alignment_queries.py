@@ -173,7 +173,20 @@ def b10(spark, sf):
     return mapped.unionByName(asked.join(truth, "name", "left_anti").select("name", F.lit("unknown").alias("verdict")))
 
 
-@query("b11_greedy_stream_match")
+_NEAR = lambda pool: f"list_sort(list_transform(list_filter({pool}, lambda c: abs(c.t - r.t) <= {12 * HOUR}), lambda c: {{'d': abs(c.t - r.t), 't': c.t, 'id': c.id}}))[1]"
+_LEFT = lambda pool, pick: f"CASE WHEN v IS NOT NULL AND w IS NOT NULL THEN list_filter({pool}, lambda c: c.id <> {pick}.id) ELSE {pool} END"
+
+
+@query(
+    "b11_greedy_stream_match",
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS t FROM events WHERE event_type IN ('click', 'view', 'error')),
+rf AS (SELECT user_id, event_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM e WHERE event_type = 'click'),
+pl AS (SELECT user_id, coalesce(list({{'t': t, 'id': event_id}}) FILTER (WHERE event_type = 'view'), []) AS vs, coalesce(list({{'t': t, 'id': event_id}}) FILTER (WHERE event_type = 'error'), []) AS es FROM e GROUP BY user_id),
+gr AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, vs, es, CAST(NULL AS BIGINT) AS reference, CAST(NULL AS BIGINT) AS "view", CAST(NULL AS BIGINT) AS error FROM pl UNION ALL
+ SELECT user_id, rn, {_LEFT('vs', 'v')}, {_LEFT('es', 'w')}, CASE WHEN v IS NOT NULL AND w IS NOT NULL THEN event_id END, CASE WHEN w IS NOT NULL THEN v.id END, CASE WHEN v IS NOT NULL THEN w.id END FROM (
+ SELECT g.user_id, r.rn, g.vs, g.es, r.event_id, {_NEAR('g.vs')} AS v, {_NEAR('g.es')} AS w FROM gr g JOIN rf r ON r.user_id = g.user_id AND r.rn = g.rn + 1))
+SELECT user_id, reference, "view", error FROM gr WHERE reference IS NOT NULL""",
+)
 def b11(spark, sf):
     e = T.read(spark, sf, "events").where(F.col("event_type").isin("click", "view", "error")).select("user_id", "event_type", T.micros("ts").alias("t_us"), "event_id")
     return A.greedy_match(e, "user_id", "event_type", "t_us", "event_id", "click", ["click", "view", "error"], 12 * HOUR, _block())
