@@ -58,10 +58,12 @@ def _residuals(xyz: np.ndarray, pixels: np.ndarray, mats: np.ndarray) -> tuple[n
 
 
 def _refine(xyz: np.ndarray, pixels: np.ndarray, mats: np.ndarray, use: np.ndarray, scale: float, steps: int = 60) -> np.ndarray:
-    """Robust Gauss-Newton on the pixel residuals (soft-L1 weights), damped by accepting only improvements."""
-    point = xyz.copy()
+    """Robust Gauss-Newton on the pixel residuals (soft-L1 weights), damped by accepting only improvements.
 
-    def cost_and_system(p):
+    A point whose step brings nothing would take the same step again, so it leaves the stack; later steps are solved for the rest only.
+    """
+
+    def cost_and_system(p, pixels, mats, use):
         proj = np.einsum("bnij,bj->bni", mats, np.concatenate([p, np.ones((len(p), 1))], axis=1))
         w = np.where(np.abs(proj[..., 2]) > 1e-12, proj[..., 2], 1e-12)
         r = np.where(use[..., None], proj[..., :2] / w[..., None] - pixels, 0.0)
@@ -70,19 +72,22 @@ def _refine(xyz: np.ndarray, pixels: np.ndarray, mats: np.ndarray, use: np.ndarr
         weight = np.where(use[..., None], 1.0 / np.sqrt(1.0 + z), 0.0)
         return (2.0 * scale**2 * (np.sqrt(1.0 + z) - 1.0)).sum(axis=(1, 2)), r, weight, jac
 
-    cost, r, weight, jac = cost_and_system(point)
+    out, at = xyz.copy(), np.arange(len(xyz))
+    point, views = xyz.copy(), (pixels, mats, use)
+    system = cost_and_system(point, *views)
     for _ in range(steps):
+        cost, r, weight, jac = system
         normal = np.einsum("bnci,bnc,bncj->bij", jac, weight, jac) + 1e-12 * np.eye(3)
         grad = np.einsum("bnci,bnc,bnc->bi", jac, weight, r)
         step = -np.linalg.solve(normal, grad[..., None])[..., 0]
         trial = np.where(np.isfinite(step).all(axis=1)[:, None], point + step, point)
-        new_cost, *rest = cost_and_system(trial)
-        better = new_cost < cost
+        tried = cost_and_system(trial, *views)
+        better = tried[0] < cost
         if not better.any():
             break
-        point = np.where(better[:, None], trial, point)
-        cost, r, weight, jac = cost_and_system(point)
-    return point
+        at, point, system, views = at[better], trial[better], tuple(v[better] for v in tried), tuple(v[better] for v in views)
+        out[at] = point
+    return out
 
 
 def _max_ray_angle(xyz: np.ndarray, mats: np.ndarray, use: np.ndarray) -> np.ndarray:

@@ -22,22 +22,27 @@ def build_session(cores: str | int = "*", shuffle_partitions: int | None = None)
         .config("spark.driver.memory", os.environ.get("TRAJEKT_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.extraJavaOptions", "-Xss16m")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="trajekt-"))
     )
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
 
 
+_private: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; make a private one only where none is set."""
+    """The shared folder that the cluster names; where none is set, a private one, in local mode only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder before running on a cluster")
-    private = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", private)
-    return private
+    own = spark.conf.get("spark.app.id")
+    if own not in _private:
+        _private[own] = tempfile.mkdtemp(prefix="trajekt-")
+    return _private[own]
 
 
 def materialise(df, label: str = "stage"):
