@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ GROUP = 4096
 #: A bin below this share is taken apart when groups are formed anew.
 FULL = 0.98
 SPECIAL = "<|endoftext|>"
-MOST_CACHED, LONGEST_CACHED = 300_000, 48
+MOST_CACHED, LONGEST_CACHED = 500_000, 48
 #: ASCII signs that are neither letters, digits nor white space: at a word's end they are a pre-token of their own.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space at which texts are not cut.
@@ -50,7 +51,7 @@ class Tokens(dict):
     def merged(self, word: str) -> bytes:
         """Ids of a single pre-token, straight from the tokenizer's merges."""
         coded = word.encode().decode("latin-1").translate(self.codes)
-        return np.array([t.id for t in self.merges.tokenize(coded)], "<u4").tobytes()
+        return array("I", [t.id for t in self.merges.tokenize(coded)]).tobytes()
 
     def signs(self, end: str) -> bytes:
         ids = self.ends.get(end)
