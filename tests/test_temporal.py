@@ -107,6 +107,26 @@ def test_streaming_filter_equals_batch_in_any_order_of_files(spark, tmp_path):
     assert arrays(spark.read.schema(C.FRAME).parquet(sink)) == arrays(C.causal_filter(frames))
 
 
+def test_reordering_stream_equals_batch_and_gives_late_frames_apart(spark, tmp_path):
+    """Frames within the delay are applied in order; one that comes after its turn leaves as it was, marked late, and the rest is the batch result without it."""
+    frames = wide_frames(spark)
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    turn = F.floor(F.col("sample_idx") / 10) + F.when(F.col("sample_idx") % 4 == 1, 1).otherwise(0)
+    lost = F.col("sample_idx") == 5
+    dealt = frames.withColumn("turn", F.when(lost, 99).otherwise(turn))
+    turns = sorted(r[0] for r in dealt.select("turn").distinct().collect())
+    for k in turns:
+        dealt.where(F.col("turn") == k).drop("turn").coalesce(1).write.mode("append").parquet(source)
+    ends = [(s, c, 10_000, 0, [], [], [], []) for s, c in {(r.session_id, r.camera_id) for r in frames.select("session_id", "camera_id").collect()}]
+    spark.createDataFrame(ends, C.FRAME).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    job = C.causal_filter_reordered(stream, delay_frames=20).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append")
+    job.trigger(availableNow=True).start(sink).awaitTermination()
+    found = spark.read.schema(C.REORDERED).parquet(sink)
+    assert arrays(found.where("not late").drop("late")) == arrays(C.causal_filter(frames.where(~lost)))
+    assert arrays(found.where("late").drop("late")) == arrays(frames.where(lost))
+
+
 def test_side_repair_leaves_the_face_alone():
     xy = np.stack([np.arange(17) * 40.0, np.full(17, 100.0)], axis=1)
     cfg = C.FilterSettings(repair_sides=True)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import fixed
 from ..operators import boxes as B
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialise
 from ..streaming import causal as C
 from . import tables as T
 from .geometry_queries import _sql_bbox
@@ -38,30 +38,34 @@ def e15(spark, sf):
     return exploded(C.causal_filter(view_frames(spark, sf)))
 
 
+DELAY = 30
+
+
+def arriving(spark, sf, source: str):
+    """Frames as files in the order of time, as a recorder leaves them; every seventh frame comes a file later than it should, and an empty frame
+    ends each camera's recording."""
+    frames = view_frames(spark, sf)
+    turn = F.floor(F.col("sample_idx") / DELAY) + F.when(F.col("sample_idx") % 7 == 3, 1).otherwise(0)
+    ends = frames.groupBy("session_id", "camera_id").agg((F.max("sample_idx") + 2 * DELAY + 1).alias("sample_idx")).withColumn("person_id", F.lit(0))
+    ends = ends.withColumns({c: F.array().cast(dict(frames.dtypes)[c]) for c in ("xs", "ys", "scores", "valid")}).select(*frames.columns)
+    stored = materialise(frames.withColumn("__turn", turn).unionByName(ends.withColumn("__turn", F.lit(None).cast("bigint"))), "arriving")
+    last = stored.agg(F.coalesce(F.max("__turn"), F.lit(-1))).first()[0]
+    for k in range(last + 1):
+        stored.where(F.col("__turn") == k).drop("__turn").coalesce(1).write.mode("append").parquet(source)
+    stored.where("__turn is null").drop("__turn").coalesce(1).write.mode("append").parquet(source)
+    return frames.schema
+
+
 @query("e15_causal_filter_stream")
 def e15s(spark, sf):
-    """The same recurrence as a streaming job over files of frames in any order, run to the end of the input."""
+    """The same recurrence as a streaming job over files in the order of time, with frames up to twice DELAY behind; its state holds those only."""
     source, sink = scratch(spark, "frames"), scratch(spark, "filtered")
-    frames = view_frames(spark, sf)
-    frames.repartitionByRange(3, "sample_idx").write.parquet(source)
-    stored = spark.read.schema(frames.schema).parquet(source)
-    last = stored.agg(F.coalesce(F.max("sample_idx"), F.lit(0))).first()[0]
-    # the three files come in no order, so a frame may be as late as the whole recording is long
-    span = int(last / T.FPS) + 2
-    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    schema = arriving(spark, sf, source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     offsets = f"{ensure_checkpoint_dir(spark)}/{sink.rsplit('/', 1)[1]}-offsets"
-
-    def drain():
-        job = C.causal_filter_stream(stream, delay=f"{span} seconds", fps=T.FPS).writeStream.format("parquet").option("checkpointLocation", offsets)
-        job.outputMode("append").trigger(availableNow=True).start(sink).awaitTermination()
-
-    drain()
-    # a frame of a camera of its own, late enough to let the watermark pass all others, ends the recording
-    none = F.array().cast("array<double>")
-    end = spark.range(1).select(F.lit(-1).alias("session_id"), F.lit("end").alias("camera_id"), F.lit(int(last + (span + 2) * T.FPS)).cast("long").alias("sample_idx"), F.lit(0).alias("person_id"), none.alias("xs"), none.alias("ys"), none.alias("scores"), F.array().cast("array<boolean>").alias("valid"))
-    end.write.mode("append").parquet(source)
-    drain()
-    return exploded(spark.read.schema(C.FRAME).parquet(sink))
+    job = C.causal_filter_reordered(stream, delay_frames=2 * DELAY).writeStream.format("parquet").option("checkpointLocation", offsets)
+    job.outputMode("append").trigger(availableNow=True).start(sink).awaitTermination()
+    return exploded(spark.read.schema(C.REORDERED).parquet(sink).where("not late"))
 
 
 @query("e16_left_right_repair")
