@@ -230,3 +230,38 @@ def test_interval_decisions(spark):
     df = spark.createDataFrame(rows, "op string, lo double, hi double, v double, u double, want string")
     got = df.select("want", R.interval_status(F.col("op"), F.col("lo"), F.col("hi"), F.lit(0.5), F.col("v"), F.col("u"), F.lit(0.2)).alias("s")).collect()
     assert all(r.want == r.s for r in got)
+
+
+def planted(kind, rng, frames=40):
+    """Views of one camera that are wrong in a known way: (frame, joint, px, py, qx, qy)."""
+    rows = []
+    for f in range(frames):
+        q = rng.uniform([300, 100], [900, 600], (17, 2))
+        p = q + rng.normal(0, 0.5, q.shape)
+        if kind == "shift":
+            p = p + [60, -35]
+        if kind == "swap":
+            p = p[D.SWAP]
+        if kind == "affine":
+            p = p @ (1.05 * np.array([[np.cos(0.05), np.sin(0.05)], [-np.sin(0.05), np.cos(0.05)]])) + [40, 25]
+            wrong = rng.random(17) < 0.35
+            p[wrong] += rng.uniform(60, 200, (wrong.sum(), 2))
+        rows += [("s", kind, f, j, *map(float, p[j]), *map(float, q[j])) for j in range(17)]
+    return rows
+
+
+def test_consensus_similarity_finds_planted_cameras(spark):
+    rng = np.random.default_rng(17)
+    kinds = ("healthy", "shift", "swap", "affine")
+    rows = [r for kind in kinds for r in planted(kind, rng)] + [("s", "few", 0, 0, 1.0, 1.0, 2.0, 2.0), ("s", "null", 0, 0, None, 1.0, 2.0, 2.0)]
+    views = spark.createDataFrame(rows, "session_id string, camera_id string, sample_idx long, joint_idx int, px double, py double, qx double, qy double")
+    fits = {r["camera_id"]: r for r in D.consensus_similarity(views, ["session_id", "camera_id"]).collect()}
+    assert "few" not in fits and "null" not in fits
+    near = lambda r, a, b, x, y: np.allclose([r["fa"], r["fb"]], [a, b], atol=2e-3) and np.allclose([r["ftx"], r["fty"]], [x, y], atol=2.0)
+    assert near(fits["healthy"], 1, 0, 0, 0) and near(fits["shift"], 1, 0, 60, -35)
+    assert near(fits["affine"], 1.05 * np.cos(0.05), 1.05 * np.sin(0.05), 40, 25)
+    found = D.camera_hypotheses(views.where("camera_id not in ('few', 'null')"), "session_id", "sample_idx").withColumns(
+        {"target_count": F.when(F.col("camera_id") == "healthy", 0).otherwise(20), "bad_joints": F.when(F.col("camera_id") == "healthy", 0).otherwise(12), "bad_arm_joints": F.lit(0), "best_shift": F.lit(0), "best_shift_error": F.lit(1.0), "zero_shift_error": F.lit(1.0)}
+    )
+    got = {r["camera_id"]: r["c"] for r in found.select("camera_id", D.classify_camera().alias("c")).collect()}
+    assert got == {"healthy": "healthy", "shift": "calibration_alignment_bias", "swap": "left_right_identity_mismatch", "affine": "calibration_alignment_bias"}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.numeric import clip, count_where
+from ..session import materialise
 from .quantiles import attach, exact_quantiles
 
 POINT_FIELDS = "x double, y double, z double, conditioning double, reproj_px double, used_cameras int, used_views array<string>"
@@ -299,18 +300,48 @@ def aligned_residual() -> Column:
     return F.sqrt((F.col("px") - ax) ** 2 + (F.col("py") - ay) ** 2)
 
 
-def trimmed_similarity(pairs: DataFrame, keys: Sequence[str], threshold: float = 15.0, rounds: int = 2) -> DataFrame:
-    """Similarity fitted, then re-fitted on the pairs within the threshold (or below their median residual, whichever is wider).
+PROPOSALS, SEED = 48, 20260715
+FIT = ("fa", "fb", "ftx", "fty")
 
-    Deterministic stand-in for random-sample fitting: the same data always give the same transform.
+
+def consensus_similarity(pairs: DataFrame, keys: Sequence[str], threshold: float = 15.0, proposals: int = PROPOSALS, seed: int = SEED) -> DataFrame:
+    """2D similarity (fa, fb, ftx, fty) per key that most pairs agree with: proposals from pairs drawn by a hash, votes of all, refits on the inliers.
+
+    A hash deals a key's pairs to `proposals` draws and orders them inside, and the first and last of each draw propose a transform: minima and maxima, so
+    nothing is gathered. Every pair votes for the proposals that bring it within the threshold. The winner, of ties the first, is fitted again to its inliers
+    until they stay the same, or come back to a set they had. Keys with fewer than six inliers have no row. Reruns agree.
     """
     keys = list(keys)
-    fit = similarity_fit(pairs, keys, F.lit(True))
-    for _ in range(rounds):
-        rows = pairs.join(fit, keys).withColumn("__r", aligned_residual())
-        middle = exact_quantiles(rows, keys, F.col("__r"), {"__m": 0.5})
-        fit = similarity_fit(attach(rows, middle, keys), keys, F.col("__r") <= F.greatest(F.lit(threshold), F.col("__m")))
-    return fit
+    xy = [F.col(c) for c in ("px", "py", "qx", "qy")]
+    known = materialise(pairs.select(*keys, *xy).where(" AND ".join(f"{c} IS NOT NULL" for c in ("px", "py", "qx", "qy"))), "pairs")
+    mark = F.xxhash64(F.lit(seed), *xy)
+    entry = F.struct(F.xxhash64(F.lit(seed + 1), mark).alias("o"), *xy)
+    two = known.withColumn("__d", F.pmod(mark, F.lit(proposals))).groupBy(*keys, "__d").agg(F.min(entry).alias("a"), F.max(entry).alias("b"))
+    d = {c: F.col(f"b.{c}") - F.col(f"a.{c}") for c in ("px", "py", "qx", "qy")}
+    size = d["qx"] ** 2 + d["qy"] ** 2
+    turned = two.where(size > 1e-9).withColumns({"fa": (d["qx"] * d["px"] + d["qy"] * d["py"]) / size, "fb": (d["qx"] * d["py"] - d["qy"] * d["px"]) / size})
+    moved = turned.withColumns({"ftx": F.col("a.px") - F.col("fa") * F.col("a.qx") + F.col("fb") * F.col("a.qy"), "fty": F.col("a.py") - F.col("fb") * F.col("a.qx") - F.col("fa") * F.col("a.qy")})
+    # at most `proposals` for each key
+    offered = materialise(moved.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__d", *FIT))).alias("__offers")), "offers")
+
+    def residual(p: Column) -> Column:
+        ax = p["fa"] * F.col("qx") - p["fb"] * F.col("qy") + p["ftx"]
+        ay = p["fb"] * F.col("qx") + p["fa"] * F.col("qy") + p["fty"]
+        return F.sqrt((F.col("px") - ax) ** 2 + (F.col("py") - ay) ** 2)
+
+    votes = attach(known, offered, keys).withColumn("__v", F.transform("__offers", lambda p: F.when(residual(p) <= threshold, 1).otherwise(0)))
+    counted = votes.groupBy(*keys).agg(F.array(*[F.coalesce(F.sum(F.get("__v", F.lit(i))), F.lit(0)) for i in range(proposals)]).alias("__n"))
+    best = F.array_position("__n", F.array_max("__n")).cast("int") - 1
+    fit = counted.join(offered, keys).select(*keys, F.get("__offers", best).alias("__f")).select(*keys, *[F.col(f"__f.{c}").alias(c) for c in FIT])
+    fit, seen = materialise(fit, "consensus"), set()
+    while True:
+        inside = known.join(fit, keys).where(aligned_residual() <= threshold)
+        own = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"))
+        state = tuple(own.agg(F.count(F.lit(1)), F.sum("n"), F.bit_xor(F.xxhash64(*keys, "n", "x"))).first())
+        if state in seen:
+            return fit
+        seen.add(state)
+        fit = materialise(similarity_fit(inside, keys, F.lit(True)), "consensus")
 
 
 # Partner joint of each body joint when left and right are exchanged.
@@ -328,7 +359,7 @@ def camera_hypotheses(views: DataFrame, session: str, frame: str) -> DataFrame:
     shift = exact_quantiles(tall, [*keys, "axis"], F.col("d"), {"m": 0.5}).groupBy(*keys).agg(
         F.max(F.when(F.col("axis") == "x", F.col("m"))).alias("mx"), F.max(F.when(F.col("axis") == "y", F.col("m"))).alias("my")
     )
-    fit = trimmed_similarity(known.select(*keys, "px", "py", "qx", "qy"), keys)
+    fit = consensus_similarity(known, keys)
     rows = attach(attach(rows, shift, keys), fit, keys)
     gap = lambda x, y: F.sqrt((x - F.col("qx")) ** 2 + (y - F.col("qy")) ** 2)
     kinds = {
