@@ -10,9 +10,10 @@ from ..functions.numeric import count_where, finite, fixed, reasons
 from ..functions.skeleton import BODY_JOINTS
 from ..operators.rules import violations
 from ..session import ensure_checkpoint_dir
-from ..sources import scans, sinks
+from ..sources import scans, sinks, store
 from . import tables as T
 from .alignment_queries import SQL_NEAR, click_to_view
+from .geometry_queries import _R
 from .registry import query
 
 r6 = T.r6
@@ -138,6 +139,38 @@ def a7(spark, sf):
     return rows.select("sequence", "setting", "camera_group", verdict.alias("verdict"))
 
 
+# a setting's cameras: rotation vector, translation and a camera that lacks a number, as text valid in both engines
+_RX, _RY, _RZ = "(n * CAST(0.02 AS DOUBLE))", "(c * CAST(0.3 AS DOUBLE) - CAST(0.4 AS DOUBLE))", "((n + c) % 5 * CAST(0.1 AS DOUBLE) + CAST(0.01 AS DOUBLE))"
+_TX, _TY, _TZ = "(c * CAST(0.25 AS DOUBLE))", "(n * CAST(0.125 AS DOUBLE))", "CAST(4 AS DOUBLE)"
+_POSE = [_R[0], _R[1], _R[2], "tx", _R[3], _R[4], _R[5], "ty", _R[6], _R[7], _R[8], "tz"]
+_P = [f"1000.0 * ({_POSE[j]}) + 640.0 * ({_POSE[8 + j]})" for j in range(4)] + [f"1000.0 * ({_POSE[4 + j]}) + 360.0 * ({_POSE[8 + j]})" for j in range(4)] + [_POSE[8 + j] for j in range(4)]
+
+
+@query(
+    "a7_setting_import",
+    f"""WITH s AS (SELECT DISTINCT s_nationkey AS n, 'setting' || s_nationkey AS setting FROM supplier), cm AS (SELECT setting, n, c, 'c' || c AS camera_id, {_RX} AS rx, {_RY} AS ry, {_RZ} AS rz, {_TX} AS tx, {_TY} AS ty, {_TZ} AS tz FROM s, unnest(range(0, 3 + n % 2)) u(c)),
+pr AS (SELECT *, sqrt(rx * rx + ry * ry + rz * rz) AS th FROM cm), pm AS (SELECT setting, camera_id, {', '.join(f'{r6(t, 4)} AS p{i}' for i, t in enumerate(_P))} FROM pr WHERE (n + c) % 7 <> 6),
+w AS (SELECT DISTINCT 'setting' || n_nationkey % 30 AS setting, 'c' || j AS camera_id FROM (SELECT n_nationkey FROM nation UNION SELECT n_nationkey + 25 FROM nation WHERE n_nationkey < 5), unnest([0, 2, 3]) u(j))
+SELECT w.setting, w.camera_id, CASE WHEN w.setting NOT IN (SELECT setting FROM s) THEN 'setting_missing' WHEN p0 IS NULL THEN 'camera_missing' ELSE 'found' END AS verdict, {', '.join(f'p{i}' for i in range(12))} FROM w LEFT JOIN pm USING (setting, camera_id)""",
+)
+def a7s(spark, sf):
+    """Setting files, a JSON array of cameras each, read into calibrations; asked for three cameras of thirty settings, some of which are not there."""
+    base = T.read(spark, sf, "supplier").select(F.col("s_nationkey").alias("n")).distinct().withColumn("c", F.explode(F.expr("sequence(0, CAST(2 + n % 2 AS INT))")))
+    number = lambda *texts: F.array(*[F.expr(t) for t in texts])
+    matrix = F.array(*[F.array(*map(F.lit, T.intrinsics()[3 * i : 3 * i + 3])) for i in range(3)])
+    camera = F.struct(
+        F.concat(F.lit("c"), F.col("c").cast("string")).alias("name"), F.array(F.lit(1280), F.lit(720)).alias("size"), matrix.alias("matrix"), F.array(*[F.lit(0.0)] * 5).alias("distortions"),
+        number(_RX, _RY, _RZ).alias("rotation"), F.when((F.col("n") + F.col("c")) % 7 == 6, number(_TX, _TY)).otherwise(number(_TX, _TY, _TZ)).alias("translation"),
+    )
+    files = base.groupBy(F.concat(F.lit("setting"), F.col("n").cast("string")).alias("setting")).agg(F.to_json(F.collect_list(camera)).alias("value"))
+    path = scratch(spark, "settings")
+    files.repartition("setting").write.partitionBy("setting").text(path)
+    nation = T.read(spark, sf, "nation").select(F.col("n_nationkey").alias("n"))
+    asked = nation.union(nation.where("n < 5").select(F.col("n") + 25)).select(F.concat(F.lit("setting"), (F.col("n") % 30).cast("string")).alias("setting"), F.explode(F.array(*[F.lit(f"c{j}") for j in (0, 2, 3)])).alias("camera_id")).distinct()
+    rows = scans.selected_cameras(scans.setting_cameras(spark, path), asked)
+    return rows.select("setting", "camera_id", "verdict", *[fixed(F.get("p", F.lit(i)), 4).alias(f"p{i}") for i in range(12)])
+
+
 _FILE = r"^([A-Z]+)_(\d+)_C(\d)\.avi$"
 SQL_FILES = """fl AS (SELECT p_type || '_' || p_partkey // 4 || CASE WHEN p_partkey % 17 = 0 THEN '_X' ELSE '_C' || p_partkey % 4 END || '.avi' AS name, p_size * 1000 AS length FROM part),
 ps AS (SELECT name, length, regexp_extract(name, '^([A-Z]+)_(\\d+)_C(\\d)\\.avi$', 1) AS action, regexp_extract(name, '^([A-Z]+)_(\\d+)_C(\\d)\\.avi$', 2) AS seq, regexp_extract(name, '^([A-Z]+)_(\\d+)_C(\\d)\\.avi$', 3) AS cam FROM fl WHERE regexp_matches(name, '^([A-Z]+)_(\\d+)_C(\\d)\\.avi$'))"""
@@ -187,9 +220,8 @@ def a10(spark, sf):
     )
     docs = T.read(spark, sf, "supplier").select(text.alias("value"), key.cast("string").alias("doc"))
     path = scratch(spark, "sessions")
-    # one file per document: the document is a partition of its own
-    docs.repartition("doc").write.partitionBy("doc").option("lineSep", "\n").text(path)
-    rows = scans.session_documents(spark, f"{path}/*")
+    store.store_documents(docs, path, "doc", "value")
+    rows = scans.parsed_sessions(store.stored(spark, path).select(F.col("name").alias("path"), F.col("content").alias("value")))
     return violations(rows, ["session_id", "camera_id"], scans.session_problems())
 
 
@@ -264,16 +296,18 @@ def a15(spark, sf):
     return sinks.latest_runs(spark.read.schema(registry.schema).parquet(path), "session_id")
 
 
-@query("a16_artifact_manifest")
+@query(
+    "a16_artifact_manifest",
+    """WITH n AS (SELECT label AS session_id, count(*) AS frames FROM embeddings GROUP BY ALL), f AS (SELECT CAST(session_id AS VARCHAR) AS name, '{"session_id":' || session_id || ',"frames":' || frames || '}' AS c FROM n)
+SELECT CAST(session_id + 2 AS VARCHAR) AS name, length(c) AS size, sha256(c) AS sha256, c IS NOT NULL AS present FROM n LEFT JOIN f ON f.name = CAST(session_id + 2 AS VARCHAR)""",
+)
 def a16(spark, sf):
-    """Session reports written as files; the manifest lists expected names with size and hash."""
+    """Session reports kept in a document store; the manifest lists expected names with size and hash from the store's index."""
     n = T.frames(spark, sf).groupBy("session_id").agg(F.count(F.lit(1)).alias("frames"))
     path = scratch(spark, "artifacts")
-    n.select(F.to_json(F.struct("session_id", "frames")).alias("value"), F.col("session_id").cast("string").alias("doc")).repartition("doc").write.partitionBy("doc").text(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
-    present = files.select(F.regexp_extract("path", r"doc=([^/]+)/", 1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    store.store_documents(n.select(F.to_json(F.struct("session_id", "frames")).alias("content"), F.col("session_id").cast("string").alias("name")), path)
     expected = n.select((F.col("session_id") + 2).cast("string").alias("name"))
-    return sinks.manifest(expected, present)
+    return sinks.manifest(expected, store.index(spark, path).drop("container"))
 
 
 @query(

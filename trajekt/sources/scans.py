@@ -98,6 +98,35 @@ def mapping_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.get(parts, F.lit(0)).alias("sequence"), F.get(parts, F.lit(1)).alias("setting")).where("setting IS NOT NULL")
 
 
+SETTING_CAMERA = "name string, size array<int>, matrix array<array<double>>, distortions array<double>, rotation array<double>, translation array<double>"
+
+
+def setting_cameras(spark: SparkSession, path: str) -> DataFrame:
+    """Cameras of setting files, each a JSON array of cameras in a folder setting=<name>: image size, intrinsics, distortion, pose and projection.
+
+    The rotation is a vector; the projection is the intrinsic matrix times (rotation | translation). A camera without three numbers each for
+    rotation and translation has a null projection.
+    """
+    raw = spark.read.schema(SETTING_CAMERA + ", setting string").option("basePath", path).json(path)
+    k = [F.get(F.get("matrix", F.lit(i)), F.lit(j)) for i in range(3) for j in range(3)]
+    r = G.rotation_from_vector([F.get("rotation", F.lit(i)) for i in range(3)])
+    t = [F.get("translation", F.lit(i)) for i in range(3)]
+    pose = [r[0], r[1], r[2], t[0], r[3], r[4], r[5], t[1], r[6], r[7], r[8], t[2]]
+    whole = (F.size("rotation") == 3) & (F.size("translation") == 3)
+    return raw.select(
+        "setting", F.col("name").alias("camera_id"), F.get("size", F.lit(0)).alias("width"), F.get("size", F.lit(1)).alias("height"), F.array(*k).alias("k"), F.col("distortions").alias("dist"),
+        F.col("rotation").alias("rvec"), F.col("translation").alias("tvec"), F.when(whole, F.array(*G.matmul3(k, pose, 4))).alias("p"),
+    )
+
+
+def selected_cameras(settings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Wanted cameras (setting, camera_id) with their calibration and a verdict: found, camera_missing or setting_missing."""
+    known = settings.select("setting").distinct().withColumn("__known", F.lit(True))
+    rows = wanted.join(known, "setting", "left").join(settings, ["setting", "camera_id"], "left")
+    verdict = F.when(F.col("__known").isNull(), "setting_missing").when(F.col("p").isNull(), "camera_missing").otherwise("found")
+    return rows.withColumn("verdict", verdict).drop("__known")
+
+
 def file_listing(spark: SparkSession, path: str, pattern: str, groups: Sequence[str], glob: str = "*") -> DataFrame:
     """File names parsed by a regular expression; only path and length are read, never the content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "length")
@@ -119,7 +148,11 @@ SESSION_ROW = "path string, session_id string, camera_id string, frame_offset do
 
 def session_documents(spark: SparkSession, path: str) -> DataFrame:
     """Session YAML files, one row per camera; unreadable ones carry an error. Parsing runs in the tasks."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return parsed_sessions(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def parsed_sessions(texts: DataFrame) -> DataFrame:
+    """Session documents (path, value) from files or from a document store, one row per camera."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
