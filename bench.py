@@ -13,7 +13,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = (
     "b2_nearest_timestamp_join", "b16_label_lookup", "c6_reprojection_error", "c11_joint_angles", "d1_robust_triangulation", "d5_depth_and_ray_angle", "e1_centered_mean",
-    "e9_joint_speed", "e13_temporal_rejection", "f1_validity_by_grouping_sets", "f7_activity_segments", "g1_point_error_summary", "i14_interval_decisions", "i15_deduplicated_deductions", "i19_accuracy_score",
+    "e9_joint_speed", "e13_temporal_rejection", "e17_tracked_boxes", "f1_validity_by_grouping_sets", "f7_activity_segments", "g1_point_error_summary", "g7_bootstrap_interval", "h12_h16_trajectory_metrics", "i3_monotone_alignment", "i14_interval_decisions", "i15_deduplicated_deductions", "i19_accuracy_score",
 )
 
 
