@@ -14,6 +14,10 @@ from trajekt.llm.common import small_or_shuffled, table
 from trajekt.session import materialise
 
 
+#: Parts of texts that a worker keeps encoded while packing.
+CACHED = 150_000
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of docs whose id is not in `gone` (a column __id); rows without an id stay."""
     return docs.join(small_or_shuffled(materialise(gone, "gone")), F.col("doc_id") == F.col("__id"), "left_anti")
@@ -51,8 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 2048 tokens."""
-    return packing.pack(packing.pieces(docs))
+    """Pieces of the documents with their places in sequences of 2048 tokens. The cache of encoded words is small: workers still hold other stages' memory."""
+    return packing.pack(packing.pieces(docs, cached=CACHED))
 
 
 STAGES = [

@@ -35,13 +35,14 @@ class Tokens(dict):
 
     The tokenizer merges within pre-tokens only, and a pre-token never spans the end of a word before white space. So a text cut
     before single spaces and line breaks has the ids of its parts, and a part is encoded once while the cache holds it. The cache
-    keeps two generations of MOST_CACHED parts. Texts with other white space or special tokens are encoded whole.
+    keeps two generations of `most` parts, about 250 bytes each; a worker keeps it from task to task. Texts with other white space or special tokens are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_CACHED):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.most = most
         self.encoder, self.old, self.ends = Tokenizer.from_file(path), {}, {}
         self.merges, self.codes = self.encoder.model, {b: c for c, b in byte_codes().items()}
 
@@ -72,7 +73,7 @@ class Tokens(dict):
         if ids is None:
             ids = self.fresh(part)
         if len(part) <= LONGEST_CACHED:
-            if len(self) >= MOST_CACHED:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[part] = ids
@@ -90,17 +91,19 @@ class Tokens(dict):
         return head + b"".join(map(self.__getitem__, parts[1:]))
 
 
-_tokens: dict[str, Tokens] = {}
+_tokens: dict[tuple[str, int], Tokens] = {}
 
 
-def _pieces(path: str | None, length: int, end: int, with_ids: bool):
+def _pieces(path: str | None, length: int, end: int, with_ids: bool, cached: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = path
         if place is None:
             import public_tokenizers
 
             place = public_tokenizers.path("byte_bpe_50k.json")
-        tokens = _tokens.setdefault(place, None) or _tokens.update({place: Tokens(place)}) or _tokens[place]
+        if (place, cached) not in _tokens:
+            _tokens[place, cached] = Tokens(place, cached)
+        tokens = _tokens[place, cached]
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             owner, piece, start, size, crc, kept = [], [], [], [], [], []
@@ -124,14 +127,15 @@ def _pieces(path: str | None, length: int, end: int, with_ids: bool):
     return run
 
 
-def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, with_ids: bool = False, cached: int = MOST_CACHED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of each row of docs (doc_id, text).
 
     A null text is empty: its only id is `end`. Documents of more than `length` ids are cut from the end, so the first piece
     may be shorter. `path` is a tokenizer file that exists on every worker; None is the public byte-level one.
+    `cached` is the number of parts of texts that a worker keeps encoded, its time against its memory.
     """
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(_pieces(path, length, end, with_ids), schema)
+    return docs.select("doc_id", "text").mapInArrow(_pieces(path, length, end, with_ids, cached), schema)
 
 
 def best_fit(sizes: np.ndarray, length: int) -> np.ndarray:
