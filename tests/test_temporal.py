@@ -175,3 +175,17 @@ def test_series_step_together_as_they_do_alone(spark):
             held, last = seen if held is None else C.followed(held, seen, np.array([r[2] - last]), (1280, 720)), r[2]
             assert np.allclose(got[(r[1], r[2])], held[0])
     assert len(got) == len(rows)
+
+
+def test_long_recordings_arrive_in_few_steps_and_equal_the_batch_form(spark, tmp_path):
+    """Many turns make a step, so triggers don't grow with the recording; late frames cross the ends of steps, and none is lost."""
+    from trajekt.plans import streaming_queries as S
+
+    assert S.turns_in_step(0) == 1 and S.turns_in_step(60_000) == 84 and S.turns_in_step(10**9) == S.MOST_TURNS
+    frames, source = S.view_frames(spark, "/root/testdata/sf0.001"), str(tmp_path / "in")
+    S.arriving(spark, "/root/testdata/sf0.001", source, delay=2)
+    came = spark.read.schema(C.FRAME).parquet(source).select("_metadata.file_modification_time").distinct().count()
+    assert frames.agg(F.max("sample_idx")).first()[0] // 2 + 2 > S.STEPS and came <= S.STEP_FILES * (S.STEPS // 2 + 2) + 1
+    found = S.filtered_stream(spark, "/root/testdata/sf0.001", delay=2)
+    rows = lambda df: {(r.session_id, r.camera_id, r.sample_idx): (tuple(r.xs), tuple(r.ys), tuple(r.scores), tuple(r.valid)) for r in df.collect()}
+    assert found.where("late").isEmpty() and rows(found) == rows(C.causal_filter(frames))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import fixed
 from ..operators import boxes as B
-from ..session import ensure_checkpoint_dir, materialise
+from ..session import ensure_checkpoint_dir
 from ..streaming import causal as C
 from . import tables as T
 from .geometry_queries import _sql_bbox
@@ -39,33 +39,49 @@ def e15(spark, sf):
 
 
 DELAY = 30
+#: Steps in which a recording arrives, as long as a step has at most MOST_TURNS turns of DELAY frames; longer recordings take more steps, not longer ones.
+STEPS, MOST_TURNS = 24, 128
+#: Files of a step; a camera is in one of them, so a trigger may end between any two.
+STEP_FILES = 8
 
 
-def arriving(spark, sf, source: str):
-    """Frames as files in the order of time, as a recorder leaves them; every seventh frame comes a file later than it should, and an empty frame
-    ends each camera's recording."""
+def turns_in_step(frames: int, delay: int = DELAY) -> int:
+    """Turns of `delay` frames that arrive together in a recording of so many frames, whose last turn may come late."""
+    turns = frames // delay + 2
+    return min(-(-turns // STEPS), MOST_TURNS)
+
+
+def arriving(spark, sf, source: str, delay: int = DELAY):
+    """Frames as files in the order of time, as a recorder leaves them; every seventh frame comes a turn later than it should, and an empty frame
+    ends each camera's recording. The frames are stored once by step, and each step is written from its own part."""
     frames = view_frames(spark, sf)
-    turn = F.floor(F.col("sample_idx") / DELAY) + F.when(F.col("sample_idx") % 7 == 3, 1).otherwise(0)
-    ends = frames.groupBy("session_id", "camera_id").agg((F.max("sample_idx") + 2 * DELAY + 1).alias("sample_idx")).withColumn("person_id", F.lit(0))
+    longest = T.sequence_frames(spark, sf).agg(F.coalesce(F.max("sample_idx") + 1, F.lit(0))).first()[0]
+    turn = F.floor(F.col("sample_idx") / delay) + F.when(F.col("sample_idx") % 7 == 3, 1).otherwise(0)
+    dealt, camera = scratch(spark, "arriving"), ["session_id", "camera_id"]
+    frames.withColumn("__step", F.floor(turn / turns_in_step(longest, delay)).cast("int")).repartition("__step", *camera).write.partitionBy("__step").parquet(dealt)
+    stored = spark.read.schema(f"{C.FRAME}, __step int").parquet(dealt)
+    for k in sorted(r[0] for r in stored.select("__step").distinct().collect()):
+        stored.where(F.col("__step") == k).drop("__step").repartition(STEP_FILES, *camera).write.mode("append").parquet(source)
+    ends = stored.groupBy(*camera).agg((F.max("sample_idx") + 2 * delay + 1).alias("sample_idx")).withColumn("person_id", F.lit(0))
     ends = ends.withColumns({c: F.array().cast(dict(frames.dtypes)[c]) for c in ("xs", "ys", "scores", "valid")}).select(*frames.columns)
-    stored = materialise(frames.withColumn("__turn", turn).unionByName(ends.withColumn("__turn", F.lit(None).cast("bigint"))), "arriving")
-    last = stored.agg(F.coalesce(F.max("__turn"), F.lit(-1))).first()[0]
-    for k in range(last + 1):
-        stored.where(F.col("__turn") == k).drop("__turn").coalesce(1).write.mode("append").parquet(source)
-    stored.where("__turn is null").drop("__turn").coalesce(1).write.mode("append").parquet(source)
+    ends.coalesce(1).write.mode("append").parquet(source)
     return frames.schema
 
 
 @query("e15_causal_filter_stream")
 def e15s(spark, sf):
     """The same recurrence as a streaming job over files in the order of time, with frames up to twice DELAY behind; its state holds those only."""
+    return exploded(filtered_stream(spark, sf).where("not late"))
+
+
+def filtered_stream(spark, sf, delay: int = DELAY):
     source, sink = scratch(spark, "frames"), scratch(spark, "filtered")
-    schema = arriving(spark, sf, source)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    schema = arriving(spark, sf, source, delay)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", STEP_FILES).parquet(source)
     offsets = f"{ensure_checkpoint_dir(spark)}/{sink.rsplit('/', 1)[1]}-offsets"
-    job = C.causal_filter_reordered(stream, delay_frames=2 * DELAY).writeStream.format("parquet").option("checkpointLocation", offsets)
+    job = C.causal_filter_reordered(stream, delay_frames=2 * delay).writeStream.format("parquet").option("checkpointLocation", offsets)
     job.outputMode("append").trigger(availableNow=True).start(sink).awaitTermination()
-    return exploded(spark.read.schema(C.REORDERED).parquet(sink).where("not late"))
+    return spark.read.schema(C.REORDERED).parquet(sink)
 
 
 @query("e16_left_right_repair")
