@@ -1,8 +1,8 @@
 """Exact quantiles of groups too large for one task.
 
-``percentile`` keeps every distinct value of a group in memory. Here values are counted first
-(map-side combined), a coarse order-preserving bucket finds where each wanted rank falls, an even
-split of that bucket's own range narrows it down, and only the part with the rank is ordered exactly.
+``percentile`` keeps every distinct value of a group in memory. Here a coarse order-preserving bucket is
+counted first (map-side combined) and finds where each wanted rank falls, an even split of that bucket's
+own range narrows it down, and only the values of the part with the rank are counted and ordered exactly.
 Linear interpolation between the two neighbouring ranks. NaN and infinities count as missing.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
+from ..session import materialise
 
 #: Even parts of a bucket; values that crowd in one bucket still spread over them.
 PARTS = 4096
@@ -26,11 +27,11 @@ def value_bucket(value: Column, per_octave: int = 64) -> Column:
     return F.when(value > 0, level).when(value < 0, -level).otherwise(F.lit(0)).cast("int")
 
 
-def _parts(counts: DataFrame, buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The counted values of the wanted buckets with the even part __p of their bucket that holds them."""
+def _parts(values: DataFrame, buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The values of the wanted buckets with the even part __p of their bucket that holds them."""
     share = (F.col("__v") - F.col("__low")) / (F.col("__high") - F.col("__low"))
     part = F.when(F.col("__high") > F.col("__low"), F.least(F.floor(share * PARTS), F.lit(PARTS - 1))).otherwise(0).cast("int")
-    return counts.join(buckets, [*keys, "__b"]).withColumn("__p", part).drop("__low", "__high")
+    return values.join(buckets, [*keys, "__b"]).withColumn("__p", part).drop("__low", "__high")
 
 
 def exact_quantiles(
@@ -38,17 +39,14 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key with one column per wanted quantile; groups without values do not appear."""
     keys = list(keys)
-    source = df.select(*keys, finite(value.cast("double")).alias("__v")).where(F.col("__v").isNotNull())
-    counts = (
-        source.withColumn("__b", value_bucket(F.col("__v")))
-        .groupBy(*keys, "__b", "__v")
-        .agg(F.count(F.lit(1)).alias("__m"))
-    )
+    # three passes read the values; no pass holds more of them than a task's buckets and the parts with a wanted rank
+    values = df.select(*keys, finite(value.cast("double")).alias("__v")).where(F.col("__v").isNotNull())
+    source = materialise(values, "values").withColumn("__b", value_bucket(F.col("__v")))
     anchor = keys or [F.lit(0)]
     by_bucket = Window.partitionBy(*anchor).orderBy("__b")
     histogram = (
-        counts.groupBy(*keys, "__b")
-        .agg(F.sum("__m").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+        source.groupBy(*keys, "__b")
+        .agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
         .withColumn("__before", F.coalesce(F.sum("__n").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("__total", F.sum("__n").over(Window.partitionBy(*anchor)))
     )
@@ -64,12 +62,13 @@ def exact_quantiles(
     for p in probs.values():
         low, high, _ = ranks(p)
         wanted = wanted | inside(low, F.col("__before"), F.col("__n")) | inside(high, F.col("__before"), F.col("__n"))
-    near = _parts(counts, histogram.where(wanted).drop("__n"), keys)
+    near = _parts(source, materialise(histogram.where(wanted).drop("__n"), "buckets"), keys)
     by_part = Window.partitionBy(*keys, "__b").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    parts = near.groupBy(*keys, "__b", "__p").agg(F.sum("__m").alias("__n"), F.max("__before").alias("__before"), F.max("__total").alias("__total"))
+    parts = near.groupBy(*keys, "__b", "__p").agg(F.count(F.lit(1)).alias("__n"), F.max("__before").alias("__before"), F.max("__total").alias("__total"))
     parts = parts.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__n").over(by_part), F.lit(0))).where(wanted).drop("__n")
     ordered = Window.partitionBy(*keys, "__b", "__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    exact = near.drop("__before", "__total").join(parts, [*keys, "__b", "__p"]).withColumn(
+    inner = near.drop("__before", "__total").join(parts, [*keys, "__b", "__p"])
+    exact = inner.groupBy(*keys, "__b", "__p", "__before", "__total", "__v").agg(F.count(F.lit(1)).alias("__m")).withColumn(
         "__start", F.col("__before") + F.coalesce(F.sum("__m").over(ordered), F.lit(0))
     )
     aggregates = []
