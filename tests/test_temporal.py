@@ -189,3 +189,17 @@ def test_long_recordings_arrive_in_few_steps_and_equal_the_batch_form(spark, tmp
     found = S.filtered_stream(spark, "/root/testdata/sf0.001", delay=2)
     rows = lambda df: {(r.session_id, r.camera_id, r.sample_idx): (tuple(r.xs), tuple(r.ys), tuple(r.scores), tuple(r.valid)) for r in df.collect()}
     assert found.where("late").isEmpty() and rows(found) == rows(C.causal_filter(frames))
+
+
+def test_short_runs_need_no_quantiles_by_bucket_and_long_ones_agree(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    xyz, valid = rng.normal(0, 0.02, (60, 3)).cumsum(axis=0), np.ones(60, bool)
+    xyz[[12, 40]] += 1.5
+    valid[[20, 21, 33]] = False
+    smoothed = lambda: columns(E.robust_savgol(points(spark, xyz, valid), ["k"], "i", "xyz", F.lit(True)), ["x_sm", "y_sm", "z_sm"])
+    with monkeypatch.context() as m:
+        m.setattr(E, "exact_quantiles", None)
+        short = smoothed()
+    monkeypatch.setattr(E, "BLOCK_ROWS", 14)
+    assert short == smoothed()
+    assert abs(short[40][0] - xyz[40][0]) > 0.5 and short[20] == (None, None, None)

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.numeric import finite
 from ..functions.skeleton import J, RELIABILITY_BONES
 from ..session import materialise
-from .blocks import runs, with_halo
+from .blocks import BLOCK_ROWS, runs, with_halo
 from .quantiles import attach, exact_quantiles
 
 PROVENANCE = {"unavailable": 0, "observed": 1, "recovered": 2}
@@ -110,6 +111,31 @@ def savgol_fit(
     return with_halo(df, keys, idx, reach, reach, build).drop("__near", "__eff", "__from", "__row")
 
 
+def _run_limits(first: DataFrame, run_key: Sequence[str], length: Column, least: float) -> DataFrame:
+    """Per run with residuals ``__res``: the outlier limit, and whether a point is beyond it. Median and MAD of a run of at most
+    ``BLOCK_ROWS`` positions come from its sorted values, in one pass; longer runs take the exact quantiles of any size."""
+    scored = first.where(F.col("__res").isNotNull())
+    value, long = finite(F.col("__res")), scored.where(length > BLOCK_ROWS)
+    own = scored.where(length <= BLOCK_ROWS).groupBy(*run_key).agg(F.sort_array(F.collect_list(value)).alias("__all"), F.max("__res").alias("__top"))
+    own = own.withColumn("__mid", _middle("__all"))
+    own = own.withColumn("__all", F.sort_array(F.transform("__all", lambda v: F.abs(v - F.col("__mid")))))
+    stats = own.select(*run_key, "__top", "__mid", _middle("__all").alias("__mad"))
+    if not long.isEmpty():
+        middle = exact_quantiles(long, run_key, F.col("__res"), {"__mid": 0.5})
+        spread = exact_quantiles(attach(long, middle, run_key), run_key, F.abs(F.col("__res") - F.col("__mid")), {"__mad": 0.5})
+        tops = long.groupBy(*run_key).agg(F.max("__res").alias("__top"))
+        stats = stats.unionByName(attach(attach(tops, middle, run_key), spread, run_key))
+    limit = F.greatest(F.lit(least), F.col("__mid") + 4.0 * 1.4826 * F.col("__mad"))
+    return stats.select(*run_key, limit.alias("__limit"), F.when(F.col("__top") > limit, True).alias("__dirty"))
+
+
+def _middle(values: str) -> Column:
+    """Median of a sorted array, as ``exact_quantiles`` interpolates it; NULL where it is empty."""
+    position = (F.size(values) - 1) * F.lit(0.5)
+    low, high = F.get(values, F.floor(position).cast("int")), F.get(values, F.ceil(position).cast("int"))
+    return F.when(F.size(values) > 0, low + (high - low) * (position - F.floor(position)))
+
+
 def robust_savgol(
     df: DataFrame, keys: Sequence[str], idx: str, coords: Sequence[str], valid: Column,
     window: int = 7, order: int = 2, min_outlier_distance: float = 0.04, breaks: Column | None = None, suffix: str = "_sm",
@@ -124,17 +150,11 @@ def robust_savgol(
     first = savgol_fit(marked, keys, idx, coords, window, order, "_p1")
     length = F.col("run_end") - F.col("run_start") + 1
     miss = G.norm(G.sub(cols, [F.col(f"{c}_p1") for c in coords]))
-    # four later passes read this
+    # several later passes read this
     first = materialise(first.withColumn("__res", F.when((length >= 5) & (min_outlier_distance > 0), miss)), "fit")
     run_key = [*keys, "run_start"]
-    middle = exact_quantiles(first, run_key, F.col("__res"), {"__mid": 0.5})
-    first = attach(first, middle, run_key)
-    spread = exact_quantiles(first, run_key, F.abs(F.col("__res") - F.col("__mid")), {"__mad": 0.5})
-    first = attach(first, spread, run_key)
-    limit = F.greatest(F.lit(min_outlier_distance), F.col("__mid") + 4.0 * 1.4826 * F.col("__mad"))
-    first = first.withColumn("__out", F.coalesce(F.col("__res") > limit, F.lit(False)))
-    dirty = first.where("__out").select(*run_key).distinct().withColumn("__dirty", F.lit(True))
-    first = attach(first, dirty, run_key)
+    first = attach(first, _run_limits(first, run_key, length, min_outlier_distance), run_key)
+    first = first.withColumn("__out", F.coalesce(F.col("__res") > F.col("__limit"), F.lit(False)))
     first = first.withColumns({f"{c}_cl": F.when(F.col("__out"), F.col(f"{c}_p1")).otherwise(F.col(c)) for c in coords})
     second = savgol_fit(first, keys, idx, [f"{c}_cl" for c in coords], window, order, "_p2")
     result = {
@@ -145,7 +165,7 @@ def robust_savgol(
         for c in coords
     }
     helpers = [f"{c}{s}" for c in coords for s in ("_p1", "_cl", "_cl_p2")]
-    return second.withColumns(result).drop("__res", "__mid", "__mad", "__out", "__dirty", *helpers)
+    return second.withColumns(result).drop("__res", "__limit", "__out", "__dirty", *helpers)
 
 
 def _moving_average(df, keys, idx, coords, valid, window, **_):
