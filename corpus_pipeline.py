@@ -55,8 +55,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 2048 tokens. The cache of encoded words is small: workers still hold other stages' memory."""
-    return packing.pack(packing.pieces(docs, cached=CACHED))
+    """Pieces of the documents with their places in sequences of 2048 tokens. The cache of encoded words is small and ends with its task: workers hold
+    other stages' memory, and stages run again in the same workers."""
+    return packing.pack(packing.pieces(docs, cached=CACHED, kept_on=False))
 
 
 STAGES = [

@@ -127,3 +127,13 @@ def test_run_is_its_stages(spark, folder):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_packing_stage_leaves_no_cache_in_its_worker():
+    import pyarrow as pa
+
+    from trajekt.llm import packing
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words, some more words", None]})
+    kept = [list(packing._pieces(None, 8, 0, False, 100, kept_on)([batch])) for kept_on in (True, False)]
+    assert kept[0] == kept[1] and not packing._tokens

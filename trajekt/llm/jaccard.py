@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajekt.llm import words as W
-from trajekt.llm.common import components, small_or_shuffled, table
+from trajekt.llm.common import components, released, small_or_shuffled, table
 from trajekt.session import materialise
 
 GRAM = 5
@@ -199,7 +199,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged; fewer than `gram` words are one shingle. Null, empty and blank texts have the empty set and
     are copies of each other. A row without an id has no class and no links. Rows of one id are one document.
     """
-    sketch = materialise(docs.select("doc_id", "text").mapInArrow(_sketches(gram), "doc_id long, n long, s1 long, s2 long, bands array<long>"), "sketch")
+    sketch = materialise(docs.select("doc_id", "text").mapInArrow(released(_sketches(gram)), "doc_id long, n long, s1 long, s2 long, bands array<long>"), "sketch")
     known = sketch.where("doc_id is not null")
     reps = known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("weight"))
     reps = materialise(reps, "reps")
@@ -214,7 +214,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM
     family = materialise(family, "members")
     texts = docs.select("doc_id", "text").join(small_or_shuffled(family.select(F.col("rep").alias("__id"))), F.col("doc_id") == F.col("__id"), "left_semi")
     texts = texts.join(family.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("family", "rep", "weight", "blocks", "text")
-    members = texts.mapInArrow(_members(gram), "family long, rep long, weight long, blocks int, sig binary, grams binary")
+    members = texts.mapInArrow(released(_members(gram)), "family long, rep long, weight long, blocks int, sig binary, grams binary")
     members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     with_blocks = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = with_blocks.select("family", "rep", "weight", "sig", "grams", "block", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"))

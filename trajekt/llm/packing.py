@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajekt.llm.common import table
+from trajekt.llm.common import released, table
 from trajekt.llm.wordpiece import byte_codes
 from trajekt.session import materialise
 
@@ -94,8 +94,15 @@ class Tokens(dict):
 _tokens: dict[tuple[str, int], Tokens] = {}
 
 
-def _pieces(path: str | None, length: int, end: int, with_ids: bool, cached: int):
+def _pieces(path: str | None, length: int, end: int, with_ids: bool, cached: int, kept_on: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from cut(batches)
+        finally:
+            if not kept_on:
+                _tokens.clear()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = path
         if place is None:
             import public_tokenizers
@@ -124,18 +131,19 @@ def _pieces(path: str | None, length: int, end: int, with_ids: bool, cached: int
             out = {"doc_id": batch["doc_id"].take(pa.array(owner, pa.int32())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(size, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
             yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(kept, pa.list_(pa.int32()))} if with_ids else {}))
 
-    return run
+    return run if kept_on else released(run)
 
 
-def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, with_ids: bool = False, cached: int = MOST_CACHED) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, with_ids: bool = False, cached: int = MOST_CACHED, kept_on: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of each row of docs (doc_id, text).
 
     A null text is empty: its only id is `end`. Documents of more than `length` ids are cut from the end, so the first piece
     may be shorter. `path` is a tokenizer file that exists on every worker; None is the public byte-level one.
-    `cached` is the number of parts of texts that a worker keeps encoded, its time against its memory.
+    `cached` is the number of parts of texts that a worker keeps encoded, its time against its memory; without `kept_on` it forgets
+    them, and the tokenizer, at the end of each task.
     """
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(_pieces(path, length, end, with_ids, cached), schema)
+    return docs.select("doc_id", "text").mapInArrow(_pieces(path, length, end, with_ids, cached, kept_on), schema)
 
 
 def best_fit(sizes: np.ndarray, length: int) -> np.ndarray:

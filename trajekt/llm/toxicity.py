@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajekt.llm import words as W
-from trajekt.llm.common import small_or_shuffled, table
+from trajekt.llm.common import released, small_or_shuffled, table
 from trajekt.session import materialise
 
 ORDER = 6
@@ -86,7 +86,7 @@ def _counted(order: int, most: int = 1 << 20):
         if held:
             yield batch_of(*out(held))
 
-    return run
+    return released(run)
 
 
 def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -255,7 +255,7 @@ def _ratios(parts: list, order: int, others: list[str]):
             ratio = [scorer.ratios(w) for _, _, w in W.chunks(batch["text"], scorer.most_bytes)]
             yield pa.RecordBatch.from_pydict({c: batch[c] for c in others} | {"ratio": pa.array(np.concatenate(ratio) if ratio else np.zeros(0))})
 
-    return run
+    return released(run)
 
 
 def calibration(binned: DataFrame) -> tuple[float, float]:
