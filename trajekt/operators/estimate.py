@@ -272,21 +272,24 @@ def upper_bound_failed(reference: Column, candidate: Column, ratio: float, incre
     return candidate > F.greatest(reference * ratio, reference + increase)
 
 
-def similarity_fit(pairs: DataFrame, keys: Sequence[str], weight: Column) -> DataFrame:
-    """Closed-form 2D similarity (a, b, tx, ty) mapping (qx, qy) to (px, py) from sums of products."""
-    w = F.when(weight, 1.0).otherwise(0.0)
-    sums = pairs.groupBy(*keys).agg(
-        F.sum(w).alias("n"), *[F.sum(w * F.col(c)).alias(f"s_{c}") for c in ("qx", "qy", "px", "py")],
-        F.sum(w * (F.col("qx") ** 2 + F.col("qy") ** 2)).alias("qq"),
-        F.sum(w * (F.col("qx") * F.col("px") + F.col("qy") * F.col("py"))).alias("qp"),
-        F.sum(w * (F.col("qx") * F.col("py") - F.col("qy") * F.col("px"))).alias("cr"),
-    ).where("n >= 6")
+def similarity_sums(pairs: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """Count n and sums of products of the pairs (qx, qy), (px, py), and ``more`` aggregates, in one pass."""
+    return pairs.groupBy(*keys).agg(
+        F.sum(F.lit(1.0)).alias("n"), *[F.sum(F.col(c)).alias(f"s_{c}") for c in ("qx", "qy", "px", "py")],
+        F.sum(F.col("qx") ** 2 + F.col("qy") ** 2).alias("qq"),
+        F.sum(F.col("qx") * F.col("px") + F.col("qy") * F.col("py")).alias("qp"),
+        F.sum(F.col("qx") * F.col("py") - F.col("qy") * F.col("px")).alias("cr"), *more,
+    )
+
+
+def similarity_fit(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Closed-form 2D similarity (a, b, tx, ty) mapping (qx, qy) to (px, py) from ``similarity_sums`` of at least six pairs."""
     n = F.col("n")
     den = F.col("qq") - (F.col("s_qx") ** 2 + F.col("s_qy") ** 2) / n
     ok = F.when(den > 1e-9, den)
     a = (F.col("qp") - (F.col("s_qx") * F.col("s_px") + F.col("s_qy") * F.col("s_py")) / n) / ok
     b = (F.col("cr") - (F.col("s_qx") * F.col("s_py") - F.col("s_qy") * F.col("s_px")) / n) / ok
-    fitted = sums.withColumns({"fa": a, "fb": b})
+    fitted = sums.where("n >= 6").withColumns({"fa": a, "fb": b})
     return fitted.select(
         *keys, "fa", "fb",
         ((F.col("s_px") - F.col("fa") * F.col("s_qx") + F.col("fb") * F.col("s_qy")) / n).alias("ftx"),
@@ -324,24 +327,27 @@ def consensus_similarity(pairs: DataFrame, keys: Sequence[str], threshold: float
     # at most `proposals` for each key
     offered = materialise(moved.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__d", *FIT))).alias("__offers")), "offers")
 
-    def residual(p: Column) -> Column:
-        ax = p["fa"] * F.col("qx") - p["fb"] * F.col("qy") + p["ftx"]
-        ay = p["fb"] * F.col("qx") + p["fa"] * F.col("qy") + p["fty"]
-        return F.sqrt((F.col("px") - ax) ** 2 + (F.col("py") - ay) ** 2)
+    # plain columns of numbers, one sum for each proposal: a lambda over the array would be interpreted for every pair
+    lists = attach(known, offered.select(*keys, *[F.col(f"__offers.{c}").alias(f"__{c}") for c in FIT]), keys)
+
+    def vote(i: int) -> Column:
+        a, b, tx, ty = (F.get(f"__{c}", F.lit(i)) for c in FIT)
+        ax, ay = a * F.col("qx") - b * F.col("qy") + tx, b * F.col("qx") + a * F.col("qy") + ty
+        return F.when(F.sqrt((F.col("px") - ax) ** 2 + (F.col("py") - ay) ** 2) <= threshold, 1).otherwise(0)
 
-    votes = attach(known, offered, keys).withColumn("__v", F.transform("__offers", lambda p: F.when(residual(p) <= threshold, 1).otherwise(0)))
-    counted = votes.groupBy(*keys).agg(F.array(*[F.coalesce(F.sum(F.get("__v", F.lit(i))), F.lit(0)) for i in range(proposals)]).alias("__n"))
+    counted = lists.groupBy(*keys).agg(F.array(*[F.sum(vote(i)) for i in range(proposals)]).alias("__n"))
     best = F.array_position("__n", F.array_max("__n")).cast("int") - 1
     fit = counted.join(offered, keys).select(*keys, F.get("__offers", best).alias("__f")).select(*keys, *[F.col(f"__f.{c}").alias(c) for c in FIT])
     fit, seen = materialise(fit, "consensus"), set()
     while True:
+        # one pass gives the inliers' count and digest, which tell whether they changed, and the sums of their fit
         inside = known.join(fit, keys).where(aligned_residual() <= threshold)
-        own = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"))
-        state = tuple(own.agg(F.count(F.lit(1)), F.sum("n"), F.bit_xor(F.xxhash64(*keys, "n", "x"))).first())
+        own = materialise(similarity_sums(inside, keys, F.bit_xor(mark).alias("x")), "consensus")
+        state = tuple(own.agg(F.count(F.lit(1)), F.sum(F.col("n").cast("long")), F.bit_xor(F.xxhash64(*keys, F.col("n").cast("long"), "x"))).first())
         if state in seen:
             return fit
         seen.add(state)
-        fit = materialise(similarity_fit(inside, keys, F.lit(True)), "consensus")
+        fit = similarity_fit(own, keys)
 
 
 # Partner joint of each body joint when left and right are exchanged.
