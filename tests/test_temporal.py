@@ -203,3 +203,32 @@ def test_short_runs_need_no_quantiles_by_bucket_and_long_ones_agree(spark, monke
     monkeypatch.setattr(E, "BLOCK_ROWS", 14)
     assert short == smoothed()
     assert abs(short[40][0] - xyz[40][0]) > 0.5 and short[20] == (None, None, None)
+
+
+def test_stability_fits_raw_and_smoothed_points_in_one_pass(spark, monkeypatch):
+    """Before, the runs and the windows of every series were built twice, once for each kind."""
+    from trajekt.plans import quality_queries as Q
+
+    rng, fits, fit = np.random.default_rng(3), [], E.savgol_fit
+    raw = rng.normal(0, 1, (2, 40, 2)).cumsum(axis=1)
+    smooth = raw + rng.normal(0, 0.1, raw.shape)
+    rows = [("s", j, i, *(None if i == 20 else float(v) for v in (*raw[j, i], *smooth[j, i]))) for j in range(2) for i in range(40)]
+    points = spark.createDataFrame(rows, "session_id string, joint_idx int, sample_idx long, x double, y double, x_sm double, y_sm double")
+    monkeypatch.setattr(Q.E, "savgol_fit", lambda *a, **k: (fits.append(1), fit(*a, **k))[1])
+    row = Q.stability(points, ["session_id", "joint_idx"], "session_id", "sample_idx", ["x", "y"], ["x_sm", "y_sm"]).first()
+    assert len(fits) == 1
+
+    box = np.sqrt(((raw.max(axis=0) - raw.min(axis=0)) ** 2).sum(axis=1))
+
+    def ratio(values):
+        out = []
+        for j in range(2):
+            for start, stop in ((0, 20), (21, 40)):
+                part, hat = values[j, start:stop], E.polynomial_hat(11, 2)
+                for p in range(stop - start):
+                    a = min(max(p - 5, 0), stop - start - 11)
+                    out.append(np.linalg.norm(part[p] - hat[p - a] @ part[a:a + 11]) / box[start + p])
+        return np.median(out)
+
+    assert row["comparable_samples"] == 78
+    assert np.allclose([row["raw_ratio"], row["stable_ratio"]], [ratio(raw), ratio(smooth)], rtol=1e-9)

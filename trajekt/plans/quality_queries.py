@@ -219,11 +219,13 @@ def attach_source_timeline(segments, frames):
 # ---------------------------------------------------------------- stability
 
 
-def high_frequency(df, keys, idx, coords, valid, out="residual", window=11):
-    """Distance to the order-2 trend of the run (at least five samples), NULL elsewhere."""
+def high_frequency(df, keys, idx, groups, valid, window=11):
+    """Distance of each group of coordinates, ``{name: coords}``, to the order-2 trend of the run (at least five samples), NULL
+    elsewhere. All groups share the runs and one pass over the windows."""
+    coords = [c for group in groups.values() for c in group]
     fitted = E.savgol_fit(runs(df, keys, idx, valid), keys, idx, coords, window, 2, "_tr", min_window=5)
-    gap = G.norm(G.sub([F.col(c) for c in coords], [F.col(f"{c}_tr") for c in coords]))
-    return fitted.withColumn(out, gap).drop("run_start", "run_end", *[f"{c}_tr" for c in coords])
+    gaps = {out: G.norm(G.sub([F.col(c) for c in group], [F.col(f"{c}_tr") for c in group])) for out, group in groups.items()}
+    return fitted.withColumns(gaps).drop("run_start", "run_end", *[f"{c}_tr" for c in coords])
 
 
 def stability(points, keys, session, idx, raw, stable):
@@ -233,8 +235,7 @@ def stability(points, keys, session, idx, raw, stable):
     scale = box_diagonal_scale(
         both.select(session, idx, *[F.when(F.col("__ok"), F.col(c)).alias(c) for c in raw]), session, idx, raw
     )
-    jitter = high_frequency(both, keys, idx, raw, F.col("__ok"), "__raw")
-    jitter = high_frequency(jitter, keys, idx, stable, F.col("__ok"), "__stable")
+    jitter = high_frequency(both, keys, idx, {"__raw": raw, "__stable": stable}, F.col("__ok"))
     jitter = jitter.join(scale, [session, idx], "left").withColumns(
         {
             "__raw": F.col("__raw") / F.col("box_scale"), "__stable": F.col("__stable") / F.col("box_scale"),
@@ -300,7 +301,7 @@ def f10b(spark, sf):
         for n, (a, c, b) in ANGLES.items()
     ])
     tall = T.sequence_frames(spark, sf).select("session_id", "sample_idx", F.inline(names))
-    residual = high_frequency(tall, ["session_id", "angle"], "sample_idx", ["v"], F.col("v").isNotNull())
+    residual = high_frequency(tall, ["session_id", "angle"], "sample_idx", {"residual": ["v"]}, F.col("v").isNotNull())
     q = exact_quantiles(residual, ["session_id", "angle"], F.col("residual"), {"m": 0.5})
     n = tall.groupBy("session_id", "angle").agg(F.count("v").alias("valid_frame_count"))
     return n.join(q, ["session_id", "angle"], "left").select(
