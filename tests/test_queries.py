@@ -3,7 +3,9 @@
 import os
 import sys
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 import check  # noqa: E402
@@ -31,3 +33,24 @@ def test_entry_runs(spark):
 def test_query_equals_oracle(spark, name):
     result = check.compare(entry_module.queries()[name](spark, SF), check.connect(SF), entry_module.oracle_sql()[name])
     assert result.startswith("ok"), result
+
+
+def test_shift_assessment_shuffles_points_not_distances(spark, tmp_path):
+    """One long session has 13 distances for each point of 8 joints; no stage may pass them on, so that a task's memory doesn't follow them."""
+    n, sc = 2000, spark.sparkContext
+    values = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: (F.pmod(F.xxhash64("id", j), F.lit(2000)) / 10000.0 - 0.1).cast("float"))
+    frames = spark.range(n).select(F.col("id").alias("vec_id"), values.alias("embedding"), F.lit(0).alias("label"))
+    frames.write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def written():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = set(written())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    name = "b23_shift_assessment"
+    result = check.compare(entry_module.queries()[name](spark, str(tmp_path)), con, entry_module.oracle_sql()[name])
+    assert result == "ok 4", result
+    points = n * 9 * 4  # the signature reads nine joints in four cameras
+    assert max(records for stage, records in written().items() if stage not in before) < 2 * points
